@@ -201,6 +201,14 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
 
 
+def with_ranges(df: DataFrame, chapters: DataFrame, keep_unread: bool = False) -> DataFrame:
+    """Add the ``ranges`` of ``vers_name, book_ord, passage``; rows without any drop out."""
+    d = attach(df, dims.book_chapters(chapters), ["vers_name", "book_ord"])
+    ranges = ranges_of(F.col("passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
+    d = computed_once(d, "ranges", ranges).drop("last_verses", "starts", "chapter_count")
+    return d if keep_unread else d.where(F.size("ranges") > 0)
+
+
 def find_citations(
     df: DataFrame, chapters: DataFrame, text: str = "text", lang: Column | str = "de", vers_name: Column | str = "esv",
     keep_unread: bool = False,
@@ -214,10 +222,7 @@ def find_citations(
     kept = [c for c in df.columns if c not in (text, "vers_name")]
     # Outer, so that no filter on the number of matches runs the pattern a second time.
     d = df.select(*kept, vers.alias("vers_name"), F.inline_outer(found)).where("book_ord is not null")
-    d = attach(d, dims.book_chapters(chapters), ["vers_name", "book_ord"])
-    ranges = ranges_of(F.col("passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
-    d = computed_once(d, "ranges", ranges).drop("last_verses", "starts", "chapter_count")
-    return d if keep_unread else d.where(F.size("ranges") > 0)
+    return with_ranges(d, chapters, keep_unread)
 
 
 def reach(text: Column, end: Column, lang: str) -> Column:

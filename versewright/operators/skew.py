@@ -2,12 +2,13 @@
 
 * :func:`attach` broadcasts the right side only when the optimizer's size estimate proves it small.  Otherwise the
   left side is salted and the right side repeated once per salt, so the rows of one hot key spread over many tasks.
-* :func:`previous` and :func:`running_total` split every key into buckets of its order column.  The per-bucket work is
-  an ordinary window; only one small summary row per bucket travels along the key.
+* :func:`islands` numbers the runs of consecutive rows of a key.  It splits every key into buckets of its order
+  column: the per-bucket work is an ordinary window, and only one summary row per bucket travels along the key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,32 +48,44 @@ def _hashable(df: DataFrame, name: str) -> Column:
     return F.to_json(F.struct(F.col(name))) if "map<" in simple else F.col(name)
 
 
-def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("__b", F.floor(F.col(order) / F.lit(width)).cast("long"))
-
+def islands(
+    df: DataFrame, keys: list[str], order: str, width: int,
+    specs: dict[str, tuple[Column, Callable[[Column, Column], Column]]],
+) -> DataFrame:
+    """Number runs of consecutive rows per ``keys`` in the order of a numeric column, counted from 1.
 
-def previous(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int) -> DataFrame:
-    """``lag(value)`` per ``keys`` in the order of a numeric column, at most ``width`` of its range per window group."""
-    d = _bucketed(df, order, width).withColumn("__v", value)
+    ``specs`` maps an output column to a value and a test ``begins(previous, current)`` that tells where a run begins.
+    A window group spans at most ``width`` of the order column.
+    """
+    d = df.withColumn("__b", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    d = d.withColumns({f"__v_{n}": F.struct(v.alias("v")) for n, (v, _) in specs.items()})
     inner = Window.partitionBy(*keys, "__b").orderBy(order)
-    d = d.withColumn("__prev", F.lag(F.struct("__v")).over(inner))
-    last = d.groupBy(*keys, "__b").agg(F.max_by(F.struct("__v"), order).alias("__last"))
+    flag = lambda begins, prev, cur: F.coalesce(begins(prev["v"], cur["v"]), F.lit(False)).cast("int")
+    d = d.withColumns({f"__p_{n}": F.lag(f"__v_{n}").over(inner) for n in specs})
+    d = d.withColumns({
+        f"__f_{n}": F.when(F.col(f"__p_{n}").isNull(), 0).otherwise(flag(b, F.col(f"__p_{n}"), F.col(f"__v_{n}")))
+        for n, (_, b) in specs.items()
+    })
+    summary = d.groupBy(*keys, "__b").agg(*[x for n in specs for x in (
+        F.min_by(f"__v_{n}", order).alias(f"__first_{n}"), F.max_by(f"__v_{n}", order).alias(f"__last_{n}"),
+        F.sum(f"__f_{n}").alias(f"__sum_{n}"),
+    )])
     along = Window.partitionBy(*keys).orderBy("__b")
-    carried = last.select(*keys, "__b", F.lag("__last").over(along).alias("__carry"))
-    d = attach(d, carried, [*keys, "__b"], "left")
-    return d.withColumn(name, F.coalesce("__prev", "__carry")["__v"]).drop("__b", "__v", "__prev", "__carry")
-
-
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int) -> DataFrame:
-    """Running sum of ``value`` per ``keys``, the current row included; buckets as in :func:`previous`."""
-    d = _bucketed(df, order, width).withColumn("__v", value)
-    inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__sum", F.sum("__v").over(inner))
-    totals = d.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__carry"))
-    d = attach(d, carried, [*keys, "__b"], "left")
-    return d.withColumn(name, F.col("__sum") + F.col("__carry")).drop("__b", "__v", "__sum", "__carry")
+    summary = summary.withColumns({f"__carry_{n}": F.lag(f"__last_{n}").over(along) for n in specs})
+    summary = summary.withColumns({
+        f"__open_{n}": F.when(F.col(f"__carry_{n}").isNull(), 1).otherwise(
+            flag(b, F.col(f"__carry_{n}"), F.col(f"__first_{n}"))
+        ) for n, (_, b) in specs.items()
+    })
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*keys, "__b", *[
+        (F.coalesce(F.sum(F.col(f"__open_{n}") + F.col(f"__sum_{n}")).over(before), F.lit(0)) + F.col(f"__open_{n}"))
+        .alias(f"__base_{n}") for n in specs
+    ])
+    run = inner.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"__run_{n}": F.sum(f"__f_{n}").over(run) for n in specs})
+    d = attach(d, carried, [*keys, "__b"])
+    return d.select(*df.columns, *[(F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(n) for n in specs])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
