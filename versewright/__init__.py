@@ -1 +1,8 @@
 """Citation extraction and versified-corpus analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

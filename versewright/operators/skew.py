@@ -50,16 +50,17 @@ def _hashable(df: DataFrame, name: str) -> Column:
 
 def islands(
     df: DataFrame, keys: list[str], order: str, width: int,
-    specs: dict[str, tuple[Column, Callable[[Column, Column], Column]]],
+    specs: dict[str, tuple[Column, Callable[[Column, Column], Column]]], tiebreak: tuple[str, ...] = (),
 ) -> DataFrame:
     """Number runs of consecutive rows per ``keys`` in the order of a numeric column, counted from 1.
 
     ``specs`` maps an output column to a value and a test ``begins(previous, current)`` that tells where a run begins.
-    A window group spans at most ``width`` of the order column.
+    A window group spans at most ``width`` of the order column; ``tiebreak`` orders rows equal in it.
     """
+    at = F.struct(order, *tiebreak)
     d = df.withColumn("__b", F.floor(F.col(order) / F.lit(width)).cast("long"))
     d = d.withColumns({f"__v_{n}": F.struct(v.alias("v")) for n, (v, _) in specs.items()})
-    inner = Window.partitionBy(*keys, "__b").orderBy(order)
+    inner = Window.partitionBy(*keys, "__b").orderBy(order, *tiebreak)
     flag = lambda begins, prev, cur: F.coalesce(begins(prev["v"], cur["v"]), F.lit(False)).cast("int")
     d = d.withColumns({f"__p_{n}": F.lag(f"__v_{n}").over(inner) for n in specs})
     d = d.withColumns({
@@ -67,7 +68,7 @@ def islands(
         for n, (_, b) in specs.items()
     })
     summary = d.groupBy(*keys, "__b").agg(*[x for n in specs for x in (
-        F.min_by(f"__v_{n}", order).alias(f"__first_{n}"), F.max_by(f"__v_{n}", order).alias(f"__last_{n}"),
+        F.min_by(f"__v_{n}", at).alias(f"__first_{n}"), F.max_by(f"__v_{n}", at).alias(f"__last_{n}"),
         F.sum(f"__f_{n}").alias(f"__sum_{n}"),
     )])
     along = Window.partitionBy(*keys).orderBy("__b")
