@@ -87,18 +87,21 @@ def _bound(df: DataFrame, chapters: DataFrame, rng: str, side: str) -> DataFrame
     }).drop(p + "book", p + "chapter", p + "last", p + "start")
 
 
+def _bounds(df: DataFrame, chapters: DataFrame, rng: str) -> DataFrame:
+    return _bound(_bound(df, chapters, rng, "from"), chapters, rng, "to")
+
+
 def with_bounds(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
     """Add ``from_ord, to_ord, from_idx, to_idx``, the verse ordinals and chapter indexes of a range."""
-    d = _bound(_bound(df, chapters, rng, "from"), chapters, rng, "to")
-    for side in ("from", "to"):
-        d = d.withColumnsRenamed({f"__{side}_ord": f"{side}_ord", f"__{side}_idx": f"{side}_idx"})
-    return d
+    return _bounds(df, chapters, rng).withColumnsRenamed({
+        f"__{side}_{kind}": f"{side}_{kind}" for side in ("from", "to") for kind in ("ord", "idx")
+    })
 
 
 def range_size(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
     """Add ``size``, the verses a range covers; null if either end does not exist."""
-    d = with_bounds(df, chapters, rng)
-    return d.withColumn("size", F.col("to_ord") - F.col("from_ord") + 1).drop("from_ord", "to_ord", "from_idx", "to_idx")
+    d = _bounds(df, chapters, rng)
+    return d.select(*df.columns, (F.col("__to_ord") - F.col("__from_ord") + 1).alias("size"))
 
 
 def split_by_chapter(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
@@ -106,25 +109,23 @@ def split_by_chapter(df: DataFrame, chapters: DataFrame, rng: str = "range") ->
 
     The chapter indexes between the bounds are generated per row and equi-joined, so nothing is compared by range.
     """
-    d = with_bounds(df, chapters, rng).withColumn(
-        "chapter_idx", F.explode(F.sequence("from_idx", "to_idx"))
-    )
-    whole = chapters.select("vers_name", "chapter_idx", "book_ord", "chapter", "last_verse")
-    d = attach(d, whole, ["vers_name", "chapter_idx"])
-    first = F.when(F.col("chapter_idx") == F.col("from_idx"), F.col(rng)["from"]["verse"]).otherwise(1)
-    last = F.when(F.col("chapter_idx") == F.col("to_idx"), F.col(rng)["to"]["verse"]).otherwise(F.col("last_verse"))
-    part = F.struct(
-        refs.ref("book_ord", "chapter", first).alias("from"), refs.ref("book_ord", "chapter", last).alias("to")
-    )
-    return d.withColumn("part", part).drop(
-        "from_ord", "to_ord", "from_idx", "to_idx", "chapter_idx", "book_ord", "chapter", "last_verse"
+    d = _bounds(df, chapters, rng).withColumn("__idx", F.explode(F.sequence("__from_idx", "__to_idx")))
+    whole = chapters.select(
+        "vers_name", F.col("chapter_idx").alias("__idx"), F.col("book_ord").alias("__book"),
+        F.col("chapter").alias("__chapter"), F.col("last_verse").alias("__last"),
     )
+    d = attach(d, whole, ["vers_name", "__idx"])
+    first = F.when(F.col("__idx") == F.col("__from_idx"), F.col(rng)["from"]["verse"]).otherwise(1)
+    last = F.when(F.col("__idx") == F.col("__to_idx"), F.col(rng)["to"]["verse"]).otherwise(F.col("__last"))
+    bound = lambda verse: refs.ref("__book", "__chapter", verse)
+    return d.select(*df.columns, F.struct(bound(first).alias("from"), bound(last).alias("to")).alias("part"))
 
 
 def expand(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
     """One row per verse of a range with ``verse_ord, book_ord, chapter, verse``."""
-    d = with_bounds(df, chapters, rng).withColumn("verse_ord", F.explode(F.sequence("from_ord", "to_ord")))
-    return from_ordinals(d.drop("from_ord", "to_ord", "from_idx", "to_idx"), chapters)
+    d = _bounds(df, chapters, rng)
+    d = d.select(*df.columns, F.explode(F.sequence("__from_ord", "__to_ord")).alias("verse_ord"))
+    return from_ordinals(d, chapters)
 
 
 def neighbours(df: DataFrame, chapters: DataFrame) -> DataFrame:
