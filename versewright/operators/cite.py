@@ -132,18 +132,27 @@ def joined_text(verses: Column, numbered: bool) -> Column:
 def contents(ranges: DataFrame, verses: DataFrame, chapters: DataFrame) -> DataFrame:
     """``content`` and ``content_numbered`` per distinct ``scripture, vers_name, range``; null if a verse is missing.
 
-    Equal requests are answered once.  A range is gathered verse by verse in one group, which the canon bounds.
+    Equal requests are answered once.  Verses are gathered by chapter (176 at most), ranges are split by chapter and
+    take their slice, so a range costs one row per chapter, not per verse.
     """
     keys = ["scripture", "vers_name", "range"]
-    wanted = ranges.select(*keys).distinct()
-    expanded = versify.expand(wanted, chapters)
-    plain = verses.select(*VERSE, tx.markup_to_plain(F.col("markup")).alias("plain"))
-    d = attach(expanded, plain, VERSE, "left")
+    parts = versify.split_by_chapter(ranges.select(*keys).distinct(), chapters)
+    parts = parts.select(
+        *keys, F.col("part.from.book_ord").alias("book_ord"), F.col("part.from.chapter").alias("chapter"),
+        F.col("part.from.verse").alias("first"), F.col("part.to.verse").alias("last"),
+    )
+    texts = verses.select(*VERSE, tx.markup_to_plain(F.col("markup")).alias("plain")).groupBy(
+        "scripture", "book_ord", "chapter"
+    ).agg(F.array_sort(F.collect_list(F.struct("verse", "plain"))).alias("v"))
+    d = attach(parts, texts, ["scripture", "book_ord", "chapter"], "left")
+    d = d.withColumn("v", F.filter("v", lambda v: v["verse"].between(F.col("first"), F.col("last"))))
     gathered = d.groupBy(*keys).agg(
-        F.bool_and(F.col("plain").isNotNull()).alias("complete"),
-        F.array_sort(F.collect_list(F.struct("verse_ord", "verse", "plain"))).alias("v"),
+        F.bool_and(F.coalesce(F.size("v"), F.lit(-1)) == F.col("last") - F.col("first") + 1).alias("complete"),
+        F.array_sort(F.collect_list(F.struct("book_ord", "chapter", "v"))).alias("c"),
+    )
+    text = lambda numbered: F.when(
+        F.col("complete"), joined_text(F.flatten("c.v"), numbered)
     )
-    text = lambda numbered: F.when(F.col("complete"), joined_text(F.col("v"), numbered))
     return gathered.select(*keys, text(False).alias("content"), text(True).alias("content_numbered"))
 
 

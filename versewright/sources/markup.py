@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as tx
+from ..operators.extract import computed_once
 
 A, Z = "\uFDD0", "\uFDD1"
 # Stand-ins for escaped characters of USFM until the markers are read.
@@ -138,7 +139,8 @@ def documents(entries: DataFrame) -> DataFrame:
     """Add ``flat``, ``code``, ``book_ord`` and ``error`` to ``entry, text, format``; the text is dropped."""
     usx = F.col("format") == "usx"
     rooted = F.regexp_replace("text", "(?s)<\\?.*?\\?>|<!--.*?-->|<!DOCTYPE[^>]*>|^\uFEFF", "").rlike("^\\s*<usx[\\s>/]")
-    d = entries.withColumn("flat", F.when(usx, flat_usx(F.col("text"))).otherwise(flat_usfm(F.col("text"))))
+    flat = F.when(usx, flat_usx(F.col("text"))).otherwise(flat_usfm(F.col("text")))
+    d = computed_once(entries, "flat", flat)
     identified = F.col("flat").rlike(f"^(?:\\s|{tag('/p')})*{A}b:")
     reason = (
         F.when(usx & ~well_formed(F.col("text")), "no XML")
