@@ -35,15 +35,15 @@ def category_count(text: Column, name: str, lang: str) -> Column:
     """How many characters of a text are of a category, counted without taking it apart."""
     letters = fixed.LETTERS[lang]
     kept = {
-        "letter": f"[^{letters}]", "whitespace": f"[^{WS}]", "line": f"[^{LINE}]", "fullstop": "[^.]", "digit": "[^0-9]",
-        "other": f"[{letters}0-9.{WS}{LINE}]",
+        "letter": f"[^{letters}]+", "whitespace": f"[^{WS}]+", "line": f"[^{LINE}]+", "fullstop": "[^.]+", "digit": "[^0-9]+",
+        "other": f"[{letters}0-9.{WS}{LINE}]+",
     }[name]
     return F.char_length(F.regexp_replace(text, kept, ""))
 
 
 def normalized(text: Column, lang: str) -> Column:
     """The text book names are searched in: white space, lines and full stops dropped, other characters as ``*``."""
-    dropped = F.regexp_replace(text, f"[{DROPPED}]", "")
+    dropped = F.regexp_replace(text, f"[{DROPPED}]+", "")
     return F.regexp_replace(dropped, f"[^{fixed.LETTERS[lang]}0-9]", "*")
 
 

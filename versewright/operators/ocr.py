@@ -142,7 +142,7 @@ def position_texts(words: DataFrame, searches: DataFrame) -> DataFrame:
     """
     # Read seven times below.
     words = written(with_islands(words), "words")
-    runs = text_runs(words, cursor_words(words, searches))
+    runs = text_runs(words, written(cursor_words(words, searches), "cursors"))
     key = ["image_id", "search_id", "x", "y"]
     # The words of a run by its ordinals: an equi-join, the run as wide as its own text.
     wanted = runs.withColumn("word_idx", F.explode(F.sequence("first_word", "last_word")))

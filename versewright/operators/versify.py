@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import refs
-from .skew import BROADCAST_LIMIT, attach
+from .skew import attach
 
 CHAPTER = ["vers_name", "book_ord", "chapter"]
-# A verse index has at most 176 rows per chapter row the size estimate sees.
-INDEX_LIMIT = BROADCAST_LIMIT // 256
 
 
 def verse_count(df: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def from_ordinals(df: DataFrame, chapters: DataFrame, name: str = "verse_ord") -
     index = dims.verse_index(chapters).select(
         "vers_name", F.col("verse_ord").alias(name), "book_ord", "chapter", "verse"
     )
-    return attach(df, index, ["vers_name", name], limit=INDEX_LIMIT)
+    return attach(df, index, ["vers_name", name])
 
 
 def to_ordinals(df: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -137,7 +135,7 @@ def neighbours(df: DataFrame, chapters: DataFrame) -> DataFrame:
             "vers_name", (F.col("verse_ord") - step).alias("verse_ord"),
             refs.ref("book_ord", "chapter", "verse").alias(name),
         )
-        d = attach(d, side, ["vers_name", "verse_ord"], "left", limit=INDEX_LIMIT)
+        d = attach(d, side, ["vers_name", "verse_ord"], "left")
     return d.drop("verse_ord")
 
 
@@ -158,7 +156,7 @@ def context_window(df: DataFrame, chapters: DataFrame, verses: int = 10) -> Data
     index = dims.verse_index(chapters).select(
         "vers_name", F.col("verse_ord").alias("context_ord"), refs.ref("book_ord", "chapter", "verse").alias("context")
     )
-    return attach(d, index, ["vers_name", "context_ord"], limit=INDEX_LIMIT).drop("__first", "__total", "verse_ord", "context_ord")
+    return attach(d, index, ["vers_name", "context_ord"]).drop("__first", "__total", "verse_ord", "context_ord")
 
 
 def page(df: DataFrame, chapters: DataFrame, count: int, forward: bool = True) -> DataFrame:
