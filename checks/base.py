@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versewright import dims, fixed
+from versewright.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,8 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables of long texts: work on a row outweighs moving it.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *exprs: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS:
+        df = spread(df, TEXTS[name])
     return df.selectExpr(*exprs) if exprs else df
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from versewright.functions import rects
 from versewright.operators import ocr
-from versewright.session import shared_folder
+from versewright.session import shared_folder, written
 from versewright.sources import captures
 from versewright.streaming import dwell, signals
 
@@ -41,15 +41,20 @@ def words(spark, sf_dir):
     )
 
 
+def stored_words(spark, sf_dir):
+    """The words as the stored table recognition leaves behind."""
+    return written(words(spark, sf_dir), "words")
+
+
 SEARCHES_SQL = """s AS (SELECT doc_id AS image_id, doc_id * 4 + k AS search_id, CASE WHEN k = 0 THEN 920 ELSE (doc_id * 37 + k * 211) % 1010 END AS sx,
   CASE WHEN k = 0 THEN 10 ELSE k * 30 + doc_id % 25 END AS sy FROM documents, range(0, 4) r(k))"""
 
 
 def searches(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id as image_id", "explode(sequence(0, 3)) as k").selectExpr(
+    return written(table(spark, sf_dir, "documents", "doc_id as image_id", "explode(sequence(0, 3)) as k").selectExpr(
         "image_id", "image_id * 4 + k as search_id", "cast(case when k = 0 then 920 else (image_id * 37 + k * 211) % 1010 end as int) as x",
         "cast(case when k = 0 then 10 else k * 30 + image_id % 25 end as int) as y",
-    )
+    ), "searches")
 
 
 @query("ocr_line_islands", f"""WITH {WORDS_SQL}, g AS (SELECT *, CASE WHEN image_id % 5 = 1 AND word_idx % 13 = 0 THEN NULL ELSE line END AS l FROM w),
@@ -59,7 +64,7 @@ n AS (SELECT image_id, word_idx, dense_rank() OVER (PARTITION BY image_id ORDER
 SELECT r.image_id, CAST(r.word_idx AS INTEGER) AS word_idx, CAST(line_run AS BIGINT) AS line_run, line_no FROM r LEFT JOIN n USING (image_id, word_idx)""")
 def ocr_line_islands(spark, sf_dir):
     gone = (F.col("image_id") % 5 == 1) & (F.col("word_idx") % 13 == 0)
-    d = words(spark, sf_dir).withColumn("line", F.when(~gone, F.col("line")))
+    d = stored_words(spark, sf_dir).withColumn("line", F.when(~gone, F.col("line")))
     return ocr.with_islands(d).select("image_id", "word_idx", F.col("line_run").cast("long"), F.col("line_no").cast("long"))
 
 
@@ -69,7 +74,7 @@ CURSOR_SQL = f"""{WORDS_SQL}, {SEARCHES_SQL}, cur AS (SELECT search_id, image_id
 
 @query("ocr_cursor_words", f"WITH {CURSOR_SQL} SELECT search_id, CAST(cw AS INTEGER) AS cursor_word FROM cur")
 def ocr_cursor_words(spark, sf_dir):
-    return ocr.cursor_words(words(spark, sf_dir), searches(spark, sf_dir)).select("search_id", "cursor_word")
+    return ocr.cursor_words(stored_words(spark, sf_dir), searches(spark, sf_dir)).select("search_id", "cursor_word")
 
 
 @query("ocr_text_at_position", f"""WITH {CURSOR_SQL}, span AS (SELECT *, cw // 10 AS l, CASE WHEN image_id % 4 = 0 THEN cw // 50 * 50 ELSE (cw // 10 - 1) * 10 END AS a,
@@ -81,14 +86,14 @@ c AS (SELECT search_id, off + i AS idx, sqrt(power(x + i * 8 + 4 - sx, 2) + powe
 n AS (SELECT search_id, first(idx ORDER BY d, idx) AS idx FROM c GROUP BY search_id)
 SELECT search_id, md5(txt) AS digest, CAST(idx AS INTEGER) AS idx FROM t JOIN n USING (search_id)""")
 def ocr_text_at_position(spark, sf_dir):
-    d = ocr.position_texts(words(spark, sf_dir), searches(spark, sf_dir))
+    d = ocr.position_texts(stored_words(spark, sf_dir), searches(spark, sf_dir))
     return d.select("search_id", F.md5("text").alias("digest"), F.col("idx").cast("int"))
 
 
 # Text, cursor, gaps and parsing together: compared with brute force on a fixture in the tests.
 @query("references_under_positions")
 def references_under_positions(spark, sf_dir):
-    d = ocr.find_references(words(spark, sf_dir), searches(spark, sf_dir), chapters(spark, "esv"))
+    d = ocr.find_references(stored_words(spark, sf_dir), searches(spark, sf_dir), chapters(spark, "esv"))
     return d.select("search_id", F.size("ranges").alias("n"), "box.x", "box.y", "box.w", "box.h")
 
 

@@ -73,6 +73,7 @@ def test_attach_equals_a_join_with_a_hot_key(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, left.join(right, "k", how).select(*left.columns).collect()))
         got = attach(left, right, ["k"], how, limit=-1)
+        assert got.select(*left.columns).count() == len(want)
         assert sorted(map(tuple, got.select(*left.columns).collect())) == want
 
 

@@ -67,39 +67,35 @@ def with_islands(words: DataFrame) -> DataFrame:
     return lined.unionByName(d.where("line is null").withColumn("line_no", F.lit(None).cast("long")))
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """``image_id, line_no, line_text, box, first_word, last_word`` of words with islands."""
-    return words.where("line_no is not null").groupBy("image_id", "line_no").agg(
-        F.min_by("line.text", "word_idx").alias("line_text"), F.min_by("line.box", "word_idx").alias("line_box"),
-        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"),
+def _spans(islands_: DataFrame, run: str) -> DataFrame:
+    return islands_.where(F.col(run).isNotNull()).groupBy("image_id", run).agg(
+        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word")
     )
 
 
-def _spans(words: DataFrame, run: str) -> DataFrame:
-    return words.groupBy("image_id", run).agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"))
-
-
-def text_runs(words: DataFrame, cursors: DataFrame) -> DataFrame:
+def text_runs(words: DataFrame, runs: DataFrame, cursors: DataFrame) -> DataFrame:
     """The text around each cursor word as runs: ``search_id, run_no, run_text, first_word, last_word, focus_*``.
 
-    The paragraph if the engine reports one, else the line with its neighbours, else the word alone.
+    The paragraph if the engine reports one, else the line with its neighbours, else the word alone.  ``runs`` are the
+    islands of the words; the texts of lines and paragraphs are taken from the few words that need them.
     """
     key = ["image_id", "search_id", "x", "y"]
     here = words.select(
         "image_id", F.col("word_idx").alias("cursor_word"), F.col("text").alias("word_text"),
         F.col("para.text").alias("para_text"), F.col("para").isNotNull().alias("has_para"),
-        F.col("line").isNotNull().alias("has_line"), "line_run", "para_run", "line_no",
+        F.col("line").isNotNull().alias("has_line"),
     )
     d = attach(cursors, here, ["image_id", "cursor_word"])
-    focus = _spans(words, "line_run").withColumnsRenamed({"first_word": "focus_first", "last_word": "focus_last"})
+    d = attach(d, runs.withColumnRenamed("word_idx", "cursor_word"), ["image_id", "cursor_word"])
+    focus = _spans(runs, "line_run").withColumnsRenamed({"first_word": "focus_first", "last_word": "focus_last"})
     d = attach(d, focus, ["image_id", "line_run"])
-    d = d.withColumns({
+    d = written(d.withColumns({
         "focus_first": F.when(F.col("has_line"), F.col("focus_first")).otherwise(F.col("cursor_word")),
         "focus_last": F.when(F.col("has_line"), F.col("focus_last")).otherwise(F.col("cursor_word")),
-    })
+    }), "cursors")
     shown = lambda t: F.translate(t, "\n\r", "  ")
     out = [*key, "run_no", "run_text", "first_word", "last_word", "focus_first", "focus_last"]
-    paragraphs = attach(d.where("has_para"), _spans(words, "para_run"), ["image_id", "para_run"]).withColumns({
+    paragraphs = attach(d.where("has_para"), _spans(runs, "para_run"), ["image_id", "para_run"]).withColumns({
         "run_no": F.lit(0).cast("long"), "run_text": shown(F.col("para_text")),
     }).select(*out)
     single = d.where("not has_para and not has_line").withColumns({
@@ -110,7 +106,11 @@ def text_runs(words: DataFrame, cursors: DataFrame) -> DataFrame:
         "line_no", F.explode(F.sequence(F.col("line_no") - 1, F.col("line_no") + 1))
     )
     ended = F.concat(F.regexp_replace("line_text", "[\\r\\n]+$", ""), F.lit(" "))
-    around = attach(near, lines(words), ["image_id", "line_no"]).withColumns({
+    line_texts = words.where("line is not null").select(
+        "image_id", F.col("word_idx").alias("first_word"), F.col("line.text").alias("line_text")
+    )
+    around = attach(near, _spans(runs, "line_no"), ["image_id", "line_no"])
+    around = attach(around, line_texts, ["image_id", "first_word"]).withColumns({
         "run_no": F.col("line_no"), "run_text": ended,
     }).select(*out)
     return paragraphs.unionByName(single).unionByName(around)
@@ -140,9 +140,18 @@ def position_texts(words: DataFrame, searches: DataFrame) -> DataFrame:
     ``image_id, search_id, x, y, text, found ARRAY<STRUCT<word_idx, begin, box, n>>, idx``; searches that point
     nowhere are left out.
     """
-    # Read seven times below.
-    words = written(with_islands(words), "words")
-    runs = text_runs(words, written(cursor_words(words, searches), "cursors"))
+    # Only images that are pointed at count.
+    words = attach(words, searches.select("image_id").distinct(), ["image_id"], "left_semi")
+    boxes = words.select(
+        "image_id", "word_idx", F.struct("line.box").alias("line"), F.struct("para.box").alias("para"),
+        F.col("line").isNotNull().alias("l"), F.col("para").isNotNull().alias("p"),
+    )
+    slim = boxes.select(
+        "image_id", "word_idx", F.when(F.col("l"), F.col("line")).alias("line"), F.when(F.col("p"), F.col("para")).alias("para")
+    )
+    # The islands without the texts, read several times below.
+    runs = written(with_islands(slim).select("image_id", "word_idx", "line_run", "para_run", "line_no"), "islands")
+    runs = text_runs(words, runs, cursor_words(words, searches))
     key = ["image_id", "search_id", "x", "y"]
     # The words of a run by its ordinals: an equi-join, the run as wide as its own text.
     wanted = runs.withColumn("word_idx", F.explode(F.sequence("first_word", "last_word")))

@@ -22,27 +22,40 @@ SALTS = 16
 GROWTH = 256
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether Catalyst's size estimate proves a table small; plans that grow rows unseen get a tighter limit."""
+def estimate(df: DataFrame) -> int:
+    """Catalyst's size estimate; plans that grow rows unseen count as if they grew to the full."""
     plan = df._jdf.queryExecution().optimizedPlan()
     shape = plan.toString()
     grows = "Generate " in shape or "MapInPandas" in shape
-    return 0 <= int(plan.stats().sizeInBytes()) <= (limit // GROWTH if grows else limit)
+    return int(plan.stats().sizeInBytes()) * (GROWTH if grows else 1)
 
 
 def attach(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_LIMIT,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join ``right`` to ``left`` (inner, left, left_semi or left_anti) without a hot task on ``keys``."""
-    if is_small(right, limit):
+    """Equi-join ``right`` to ``left`` (inner, left, left_semi or left_anti) without a hot task on ``keys``.
+
+    A side proved small is broadcast.  Otherwise one side is salted and the other repeated once per salt; of an inner
+    join the smaller one is repeated.
+    """
+    right_bytes = estimate(right)
+    if right_bytes <= limit:
         return left.join(F.broadcast(right), keys, how)
+    swap = False
+    if how == "inner":
+        left_bytes = estimate(left)
+        if left_bytes <= limit:
+            return F.broadcast(left).join(right, keys)
+        swap = left_bytes < right_bytes
+    spread, repeated = (right, left) if swap else (left, right)
     salt = "__salt"
-    others = [c for c in left.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*[_hashable(left, c) for c in others]), F.lit(salts)) if others else F.lit(0)
-    salted = left.withColumn(salt, spread.cast("int"))
-    repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, salt], how).drop(salt)
+    others = [c for c in spread.columns if c not in keys]
+    drawn = F.pmod(F.xxhash64(*[_hashable(spread, c) for c in others]), F.lit(salts)) if others else F.lit(0)
+    spread = spread.withColumn(salt, drawn.cast("int"))
+    repeated = repeated.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left, right = (repeated, spread) if swap else (spread, repeated)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def _hashable(df: DataFrame, name: str) -> Column:
@@ -87,7 +100,8 @@ def islands(
     ])
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"__run_{n}": F.sum(f"__f_{n}").over(run) for n in specs})
-    d = attach(d, carried, [*keys, "__b"])
+    # At most ``width`` of the order per key and bucket, and partitioned for the window already: a plain join.
+    d = d.join(carried, [*keys, "__b"])
     return d.select(*df.columns, *[(F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(n) for n in specs])
 
 
