@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versewright.llm.common import of_worker, share, values
 
@@ -213,6 +214,7 @@ def tokenized(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] =
     keep = tuple(c for c in keep if c not in results)
     shared = share(docs.sparkSession, tokens)
     rows = docs.select(*keep, F.col("text").alias(COLUMN))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != COLUMN]
-    kinds += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * with_ids]
-    return rows.mapInArrow(_coder(shared, pattern, with_ids), ", ".join(kinds))
+    schema = rows.drop(COLUMN).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(_coder(shared, pattern, with_ids), schema)

@@ -249,8 +249,8 @@ def _searched(docs: DataFrame, items: DataFrame, least_score: float, least_overl
     rows = docs.withColumn(FOUND, F.array().cast(_LEAKS))
     for n, shared in enumerate(groups):
         text_too = with_text or n + 1 < len(groups)  # the next group asks again
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != FOUND and (text_too or f.name != TEXT)]
-        rows = rows.mapInArrow(_searcher(shared, least_score, least_overlap, text_too), ", ".join([*kinds, f"{FOUND} {_LEAKS}"]))
+        asked = _searcher(shared, least_score, least_overlap, text_too)
+        rows = rows.mapInArrow(asked, rows.drop(*[FOUND] if text_too else [FOUND, TEXT]).schema.add(rows.schema[FOUND]))
     return rows
 
 

@@ -17,46 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versewright.llm.common import of_worker, share, values
+from versewright.llm.ngrams import ngrams
 
-BUCKETS, DIMENSIONS, LONGEST = 1 << 16, 16, 4
+BITS, DIMENSIONS, LONGEST = 16, 16, 4
+BUCKETS = 1 << BITS
 #: Labelled rows that a model is fitted on, at most twice as many; a documented bound of the fit, not of the prediction.
 SAMPLE_ROWS = 2000
 EPOCHS, RATE = 6, 0.5
 #: A prediction of a lower calibrated probability is rejected.
 LEAST_SCORE = 0.5
 UNDETERMINED = "und"
-#: Characters that are hashed at a time.
-STEP = 1 << 18
-
-_letters: np.ndarray | None = None
-
-
-def _is_letter() -> np.ndarray:
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _letters
-
-
-def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, each run of other characters than letters as one space, one at both ends."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(_is_letter()[codes], codes, np.uint32(32))
-    codes = np.concatenate(([np.uint32(32)], codes, [np.uint32(32)]))
-    return codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-
 
 def features(text: str) -> Iterator[np.ndarray]:
     """Buckets of the features of a text, occurrence by occurrence, in steps of bounded size."""
-    for start in range(0, len(text), STEP):
-        codes = _codes(text[start:start + STEP])
-        hashed = np.zeros(len(codes), np.uint32)
-        for n in range(1, min(LONGEST, len(codes)) + 1):
-            hashed = (hashed[:len(codes) - n + 1] * np.uint32(0x01000193)) ^ (codes[n - 1:] * np.uint32(0x9E3779B1))
-            within = codes[:len(codes) - n + 1] != 32 if n == 1 else np.ones(len(hashed), bool)
-            for i in range(1, n - 1):  # a space only at the borders
-                within &= codes[i:len(codes) - n + 1 + i] != 32
-            yield ((hashed[within] * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.int64)
+    return ngrams(text, 1, LONGEST, BITS)
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +164,7 @@ def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     get equal results; an empty table gives an empty one. Columns of ``keep`` named like a result are replaced by it.
     """
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", "accepted"))
-    shared = share(docs.sparkSession, model)
     rows = docs.select(*keep, F.col("text").alias(COLUMN))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != COLUMN]
-    out = rows.mapInArrow(_predictor(shared), ", ".join([*kinds, "lang_pred string", "score double"]))
+    schema = rows.drop(COLUMN).schema.add("lang_pred", "string").add("score", "double")
+    out = rows.mapInArrow(_predictor(share(docs.sparkSession, model)), schema)
     return out.withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
