@@ -40,7 +40,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         # Tokens that merging their own bytes doesn't give stand only for pieces that equal them.
         self.made = [self.merged(t) == [i] for i, t in enumerate(tokens)]
-        self.halves = [self._undone(t) for t in tokens]
+        self.halves = [self._undone(t) if made else (-1, -1) for t, made in zip(tokens, self.made)]
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
             if self.made[i]:

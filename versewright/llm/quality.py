@@ -21,8 +21,8 @@ from versewright.llm.common import labelled_sample, of_worker, share, values
 
 #: Labelled rows of each class that a model is fitted on; a documented bound of the fit, not of the scores.
 SAMPLE_ROWS = 4000
-#: Bytes of a chunk, of each dictionary and of what a sampled text gives to it.
-CHUNK, DICTIONARY, EXCERPT = 128, 1 << 18, 256
+#: Bytes of a chunk, of each dictionary and of what a sampled text gives to it (more if there are few).
+CHUNK, DICTIONARY, EXCERPT, LONGEST_EXCERPT = 128, 1 << 18, 256, 8192
 LEVEL = 3
 
 
@@ -79,7 +79,7 @@ def calibrated(labels: np.ndarray, weights: np.ndarray, x: np.ndarray) -> tuple[
     probability is 0 or 1.
     """
     half = 0.5 * weights.mean()
-    x, labels, weights = (np.concatenate(v) for v in (([x.min(), x.max()], x), ([1.0, 0.0], labels), ([half, half], weights)))
+    x, labels, weights = (np.concatenate(v) for v in (([x.min() - 1e-9, x.max() + 1e-9], x), ([1.0, 0.0], labels), ([half, half], weights)))
     pools: list[list[float]] = []  # weight, sum of x, sum of labels
     for k in np.lexsort((labels, x)):
         pools.append([weights[k], weights[k] * x[k], weights[k] * labels[k]])
@@ -106,12 +106,16 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int =
         return Model(b"", b"", [0.0], [float(1 in sizes)])
     half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))
     hashed = F.xxhash64("text", F.lit(9))
-    start = F.pmod(hashed, F.greatest(F.lit(1), F.length("text") - EXCERPT)).cast("int") + 1
-    chunks = sample.where(half == 0).select("label", hashed.alias("hash"), F.col("text").substr(start, F.lit(EXCERPT)).alias("chunk"))
+    length = {k: min(LONGEST_EXCERPT, max(EXCERPT, 2 * DICTIONARY // n)) for k, n in sizes.items()}
+    length = F.when(F.col("label") == 1, length[1]).otherwise(length[0])
+    start = F.pmod(hashed, F.greatest(F.lit(1), F.length("text") - length)).cast("int") + 1
+    chunks = sample.where(half == 0).select("label", hashed.alias("hash"), F.col("text").substr(start, length).alias("chunk"))
     by_label: dict[int, list[bytes]] = {0: [], 1: []}
     for row in chunks.distinct().orderBy("label", "hash").collect():
         by_label[row["label"]].append(row["chunk"].encode("utf-8"))
-    model = Model(dictionary(by_label[1]), dictionary(by_label[0]), [0.0], [0.5])
+    good, bad = dictionary(by_label[1]), dictionary(by_label[0])
+    size = min(len(good), len(bad))  # neither side knows more for being larger
+    model = Model(good[-size:], bad[-size:], [0.0], [0.5])
     rest = sample.where(half == 1).select("label", "weight", F.col("text").cast("binary").alias("text"))
     rows = rest.mapInArrow(_differences(share(docs.sparkSession, model)), "label int, weight double, difference double").toArrow()
     if not rows.num_rows:
