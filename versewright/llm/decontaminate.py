@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ K1, B = 1.2, 0.75
 LEAST_SCORE = 0.5
 #: Least share of the question's and the answer's shingles of five words that lie in the passage.
 LEAST_OVERLAP, SHINGLE_WORDS = 0.8, 5
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 #: Items of up to so many words share an index; longer ones go by powers of two.
 SHORT_ITEM = 64
 #: Postings in one index that goes to the executors; more items make more indexes, each asked with all documents.
@@ -40,8 +41,13 @@ WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[.?!]\s+(?=\S)")
 
 
+#: What isn't part of a word in ASCII becomes a space.
+_ASCII = {i: " " for i in range(128) if not WORD.match(chr(i))}
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -75,77 +81,80 @@ class Index:
     terms: dict[str, int]
     postings: list[tuple[np.ndarray, np.ndarray]]  # items, rising, and their impacts
     block_max: np.ndarray  # by term and block
-
-    def passages(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """Start and end of the passages; half a passage apart."""
-        for start in range(0, max(1, len(words) - self.longest), self.longest):
-            yield start, start + 2 * self.longest
+    block_start: np.ndarray  # where the block begins within the term's postings
 
     def search(self, words: list[str], least: float) -> Iterator[tuple[int, int, int, float]]:
         """``start, end, item, score`` of all items above the threshold, passage by passage."""
         get = self.terms.get
-        numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        numbers = np.array(list(map(get, words, repeat(-1))), np.int64)
         known = np.flatnonzero(numbers >= 0)
         if not len(known):
             return
-        spans = np.array(list(self.passages(words)))
-        edges = np.searchsorted(known, spans)
-        # A repeated word counts each time, so that these sums are bounds, never too low.
-        sums = np.zeros((len(known) + 1, self.block_max.shape[1]))
-        np.cumsum(self.block_max[numbers[known]], axis=0, out=sums[1:])
-        bounds = sums[edges[:, 1]] - sums[edges[:, 0]]
-        for k in np.flatnonzero(bounds.max(axis=1) >= least - 1e-9):
-            own = np.unique(numbers[known[edges[k, 0]:edges[k, 1]]])
-            for item, score in self.wand(own, least, bounds[k]):
-                yield int(spans[k, 0]), int(spans[k, 1]), item, score
+        # Each place lies in the passage of its stretch and in the one before. A word counts once in a passage.
+        stretch, own = known // self.longest, numbers[known]
+        last = max(0, -(-(len(words) - self.longest) // self.longest) - 1)
+        size = len(self.terms)
+        pairs = np.unique(np.concatenate((
+            np.minimum(stretch, last) * size + own, (np.maximum(stretch, 1) - 1) * size + own)))
+        passage, own = np.divmod(pairs, size)
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1))
+        bounds = np.add.reduceat(self.block_max[own], starts, axis=0)
+        stops = [*starts[1:].tolist(), len(own)]
+        for k in np.flatnonzero(bounds.max(axis=1) >= least - 1e-6).tolist():
+            start = int(passage[starts[k]]) * self.longest
+            for item, score in self.wand(own[starts[k]:stops[k]], least, bounds[k]):
+                yield start, start + 2 * self.longest, item, score
 
     def wand(self, terms: np.ndarray, least: float, bounds: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
-        """Items whose impacts over these different terms sum to ``least``, by block-max WAND."""
-        least -= 1e-9
-        maxima = self.block_max[terms]
-        ceilings = maxima.max(axis=1)
-        lists = [self.postings[t] for t in terms]
-        at = [0] * len(lists)
-        if bounds is not None:  # start at the first block that the passage can reach
-            first = int(np.flatnonzero(bounds >= least)[0]) * BLOCK_ITEMS
-            at = [int(np.searchsorted(items, first)) for items, _ in lists]
-        alive = [(int(lists[i][0][at[i]]), i) for i in range(len(lists)) if at[i] < len(lists[i][0])]
+        """Items whose impacts over these different terms sum to ``least``, by block-max WAND.
+
+        ``bounds`` are the sums of the terms' block maxima. Blocks that can't reach the threshold are skipped; within the
+        others only the postings of the block are opened.
+        """
+        if bounds is None:
+            bounds = self.block_max[terms].sum(axis=0)
+        for block in np.flatnonzero(bounds >= least - 1e-6).tolist():
+            ceilings = self.block_max[terms, block]
+            there = np.flatnonzero(ceilings)
+            alive = []
+            for t, most in zip(terms[there].tolist(), ceilings[there].tolist()):
+                items, impacts = self.postings[t]
+                start, stop = self.block_start[t, block], self.block_start[t, block + 1]
+                alive.append((items[start:stop].tolist(), impacts[start:stop].tolist(), most))
+            yield from self._within(alive, least - 1e-9)
+
+    @staticmethod
+    def _within(lists: list[tuple[list[int], list[float], float]], least: float) -> Iterator[tuple[int, float]]:
+        """WAND over the lists of one block, document at a time."""
+        alive = [(items[0], 0, k) for k, (items, _, _) in enumerate(lists)]
         while alive:
             alive.sort()
             total, pivot = 0.0, -1
-            for n, (item, i) in enumerate(alive):
-                total += ceilings[i]
+            for _, _, k in alive:
+                pivot += 1
+                total += lists[k][2] + 1e-9
                 if total >= least:
-                    pivot = n
                     break
-            if pivot < 0:
+            else:
                 return
             item = alive[pivot][0]
-            while pivot + 1 < len(alive) and alive[pivot + 1][0] == item:
-                pivot += 1
-            block = item // BLOCK_ITEMS
-            if sum(maxima[i, block] for _, i in alive[:pivot + 1]) < least:
-                # Nothing up to the end of the block, or to where the next list joins, can reach the threshold.
-                target = (block + 1) * BLOCK_ITEMS
-                if pivot + 1 < len(alive):
-                    target = min(target, alive[pivot + 1][0])
-                target = max(target, item + 1)
-            elif alive[0][0] == item:
-                score = sum(float(lists[i][1][at[i]]) for x, i in alive[:pivot + 1])
+            if alive[0][0] == item:
+                score = sum(lists[k][1][at] for x, at, k in alive if x == item)
                 if score >= least:
                     yield item, score
                 target = item + 1
             else:
                 target = item
             moved = []
-            for n, (x, i) in enumerate(alive):
-                if n <= pivot and x < target:
-                    items = lists[i][0]
-                    at[i] += int(np.searchsorted(items[at[i]:], target))
-                    if at[i] >= len(items):
-                        continue
-                    x = int(items[at[i]])
-                moved.append((x, i))
+            for x, at, k in alive:
+                items = lists[k][0]
+                while x < target:
+                    at += 1
+                    if at == len(items):
+                        break
+                    x = items[at]
+                else:
+                    moved.append((x, at, k))
             alive = moved
 
 
@@ -167,14 +176,16 @@ def build(items: list[tuple[object, str]], document_count: int, frequency: dict[
         for w, x in impacts.items():
             postings.setdefault(w, []).append((n, x / own))
     terms = {w: i for i, w in enumerate(sorted(postings))}
-    block_max = np.zeros((len(terms), -(-len(items) // BLOCK_ITEMS)))
+    block_max = np.zeros((len(terms), -(-len(items) // BLOCK_ITEMS)), np.float32)
     lists = []
     for w in terms:
         numbers, impacts = np.array([n for n, _ in postings[w]]), np.array([x for _, x in postings[w]])
         np.maximum.at(block_max[terms[w]], numbers // BLOCK_ITEMS, impacts)
         lists.append((numbers, impacts))
+    edges = np.arange(block_max.shape[1] + 1) * BLOCK_ITEMS
+    block_start = np.array([np.searchsorted(numbers, edges) for numbers, _ in lists], np.int32)
     longest = max(SHORT_ITEM, max((len(q) + len(a) for q, a in split), default=0))
-    return Index([i for i, _ in items], split, longest, terms, lists, block_max)
+    return Index([i for i, _ in items], split, longest, terms, lists, block_max, block_start)
 
 
 def leaks(text: str, indexes: list[Index], least_score: float, least_overlap: float) -> list[tuple]:

@@ -35,18 +35,20 @@ NOTICES = {
 }
 # Spellings that count as equal, the second for the first. They stand between spaces.
 SPELLINGS = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
+    ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("authorisation", "authorization"), ("behaviour", "behavior"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("favour", "favor"), ("fulfil", "fulfill"),
     ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"), ("modelling", "modeling"), ("noncommercial", "non commercial"),
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("organisations", "organizations"), ("per cent", "percent"),
     ("recognise", "recognize"), ("recognised", "recognized"), ("whilst", "while"), ("wilful", "willful"),
 ]
+# The same within words.
+STEMS = [("licenc", "licens")]
 # Both patterns mean the same to Java and to RE2.
 COPYRIGHT_LINE = (
     r"(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|[<{\[]|the regents)|(\(c\)|©)[ \t]*[0-9]{4}|all rights reserved)[^\n]*"
 )
-LIST_NUMBER = r"(^|\n)[ \t]*\(?[0-9]{1,2}[.)][ \t]+"
+LIST_NUMBER = r"(^|\n)[ \t*#/;-]*\(?[0-9]{1,2}[.)][ \t]+"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
@@ -55,6 +57,8 @@ def canonical(text: Column) -> Column:
     form = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
     form = F.regexp_replace(form, LIST_NUMBER, "\n")
     form = F.concat(F.lit(" "), F.trim(F.regexp_replace(form, PUNCTUATION, " ")), F.lit(" "))
+    for stem, same in STEMS:
+        form = F.replace(form, F.lit(stem), F.lit(same))
     for spelling, same in SPELLINGS:
         form = F.replace(form, F.lit(f" {spelling} "), F.lit(f" {same} "))
     return form
@@ -115,6 +119,8 @@ def _sql_form(text: str) -> str:
     form = f"regexp_replace(lower({text}), {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
     form = f"regexp_replace({form}, {quote(LIST_NUMBER)}, chr(10), 'g')"
     form = f"' ' || trim(regexp_replace({form}, {quote(PUNCTUATION)}, ' ', 'g')) || ' '"
+    for stem, same in STEMS:
+        form = f"replace({form}, '{stem}', '{same}')"
     for spelling, same in SPELLINGS:
         form = f"replace({form}, ' {spelling} ', ' {same} ')"
     return f"sha256({form})"

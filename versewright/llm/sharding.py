@@ -82,9 +82,8 @@ def sizes_of(rows: int, parts: int) -> np.ndarray:
 def _dealer(rows: np.ndarray, blocks: np.ndarray, seed: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        if part >= len(rows):
-            raise RuntimeError("the input's partitions have changed since they were counted")
-        labels = np.repeat(np.arange(len(blocks), dtype=np.int32), matrix_row(part, rows, blocks, seed))
+        own_row = matrix_row(part, rows, blocks, seed) if part < len(rows) else np.zeros_like(blocks)
+        labels = np.repeat(np.arange(len(blocks), dtype=np.int32), own_row)
         np.random.default_rng((seed, 1, part)).shuffle(labels)
         done = 0
         for batch in batches:
