@@ -179,7 +179,8 @@ r AS (SELECT o_orderkey, o_orderkey * 5 % 31102 + 1 AS ord, CASE WHEN o_orderkey
 x AS (SELECT r.*, verse_ord, v.book_ord, chapter, verse, plain, coalesce(nullif(short_name, ''), nullif(abbreviation, ''), nullif(long_name, ''), book_id) AS book_name
   FROM r JOIN verse v ON verse_ord BETWEEN r.ord - 2 AND r.ord + 2 LEFT JOIN verses t ON t.scripture = r.scripture AND t.ord = verse_ord
   LEFT JOIN sbooks s ON s.scripture = r.scripture AND s.book_ord = v.book_ord JOIN books b ON b.book_ord = v.book_ord)
-SELECT o_orderkey, CAST(verse_ord - greatest(ord - 2, 1) AS INTEGER) AS "row", book_name, verse = 1 AS chapter_header, plain IS NOT NULL AS has_text FROM x""")
+SELECT o_orderkey, CAST(verse_ord - greatest(ord - 2, 1) AS INTEGER) AS "row", book_name, verse = 1 AS chapter_header,
+  CASE WHEN plain IS NULL THEN NULL WHEN plain = '' THEN '' ELSE '<p data-id="begin">  ' || replace(plain, '&', '<i>&amp;</i>') || '</p>' END AS markup FROM x""")
 def reading_view(spark, sf_dir):
     d = table(
         spark, sf_dir, "orders", "o_orderkey", "'kjv' as vers_name", "cast(o_orderkey * 5 % 31102 + 1 as int) as ord",
@@ -189,7 +190,7 @@ def reading_view(spark, sf_dir):
     d = versify.from_ordinals(d.withColumnRenamed("ord", "verse_ord"), kjv).drop("verse_ord")
     d = versify.context_window(d, kjv, 2).drop("book_ord", "chapter", "verse")
     d = cite.reading_rows(d, verses(spark, sf_dir), scripture_books(spark, sf_dir))
-    return d.select("o_orderkey", "row", "book_name", "chapter_header", F.col("markup").isNotNull().alias("has_text"))
+    return d.select("o_orderkey", "row", "book_name", "chapter_header", "markup")
 
 
 @query("cross_reference_edges", f"""WITH {vers_cte('kjv')}, {VERSES_SQL}, k AS (SELECT scripture, ord, min(o_orderkey) AS k FROM orders_of GROUP BY ALL)

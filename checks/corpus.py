@@ -113,7 +113,7 @@ def rejected_documents(spark, sf_dir):
         spark, sf_dir, "pages", "cast(page_id as int) as entry_idx", "'p.zip' as file",
         "case when page_id % 3 = 0 then page_id || '.usfm' else page_id || '.usx' end as entry",
         "case when page_id % 3 = 0 then 'usfm' else 'usx' end as format",
-        r"case page_id % 3 when 0 then '\\p ' || html when 1 then '<usx><para>' || html else '<html>' || page_id || '</html>' end as text",
+        r"case page_id % 3 when 0 then '\\p ' || html when 1 then '<usx><para>' || html else '<html><!--' || replace(html, '-', ' ') || '--></html>' end as text",
     )
     return markup.documents(d).select(F.col("entry_idx").cast("long").alias("page_id"), "error")
 
@@ -151,11 +151,14 @@ _HTML = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)
 
 @query("metadata_copyright_page", f"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h,
   regexp_replace(regexp_extract(html, '(?s)<p(?:>|\\s[^>]*>)(.*?)</p>', 1), '(?s)<br.*$', '') AS p FROM pages)
-SELECT page_id, nullif({_HTML.format("trim(regexp_replace(h, '<[^>]*>', '', 'g'))")}, '') AS name,
+SELECT page_id, 'p' || page_id AS abbreviation, 'Language ' || page_id % 7 AS language,
+  nullif({_HTML.format("trim(regexp_replace(h, '<[^>]*>', '', 'g'))")}, '') AS name,
   nullif({_HTML.format("trim(regexp_replace(p, '<[^>]*>', '', 'g'))")}, '') AS copyright FROM p""")
 def metadata_copyright_page(spark, sf_dir):
-    d = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", metadata.ebible(F.col("html")).alias("i"))
-    return d.select("page_id", "i.name", "i.copyright")
+    contents = """'<div class="toc"> <a class="x" href="https://x.example/in/p' || page_id || '">T</a></div>'"""
+    spoken = """'Language: <a href="l">Language ' || page_id % 7 || ' (own name)</a>'"""
+    d = table(spark, sf_dir, "pages", "page_id", f"html || {contents} || {spoken} as html")
+    return d.select("page_id", metadata.ebible(F.col("html")).alias("i")).select("page_id", "i.*")
 
 
 ENTRIES_SQL = """entries AS (SELECT 'a' || (page_id % 20) AS file, page_id, repeat('d/', CAST(page_id // 20 % 3 AS INTEGER)) || CASE page_id % 6 WHEN 0 THEN 'Settings.XML'

@@ -10,7 +10,7 @@ from versewright.functions import text as tx
 from versewright.operators import extract
 from versewright.plans import pipelines
 
-from .base import books_cte, chapters, flat, lit, query, table, vers_cte
+from .base import ORD, books_cte, chapters, flat, lit, query, table, vers_cte, verse_refs
 
 # The text of every document with one citation added: name, chapter, verse and form are picked by its number.
 FORMS = 6
@@ -86,20 +86,48 @@ def citations_in_text(spark, sf_dir):
 @query("citation_counts", f"""WITH {CITED_SQL}
 SELECT book_ord, count(*) + count(*) FILTER (form = 2) AS ranges,
   CAST(sum(CASE WHEN form = 2 THEN 2 ELSE last_of - first_verse + 1 END) AS BIGINT) AS verses
-FROM cited WHERE lang = 'de' GROUP BY book_ord""")
+FROM cited GROUP BY book_ord""")
 def citation_counts(spark, sf_dir):
-    return pipelines.citation_counts(cited(spark, sf_dir).where("lang = 'de'"))
-
-
-@query("citation_at_position", f"""WITH {CITED_SQL}, asked AS (SELECT *, begin_at + CASE WHEN doc_id % 3 = 0 THEN 0
-  WHEN doc_id % 3 = 1 THEN end_at - begin_at - 1 ELSE end_at - begin_at + CASE WHEN form = 4 THEN 5 ELSE 3 END END AS idx FROM cited)
-SELECT doc_id, idx < end_at AS hit, CAST(CASE WHEN idx < end_at THEN begin_at END AS INTEGER) AS begin_at,
-  CAST(CASE WHEN idx >= end_at THEN 0 WHEN form = 2 THEN 2 ELSE 1 END AS INTEGER) AS n FROM asked""")
+    return pipelines.citation_counts(cited(spark, sf_dir), F.col("lang"))
+
+
+# One name a book and language that isn't the one whose shorter spelling leaves a letter.
+PLAIN_NAMES = {
+    lang: {b: n for b, n in reversed(fixed.names_of(lang)) if n not in ("Ezra", "Esra")} for lang in ("de", "en")
+}
+PLAIN_BOOKS = ", ".join(str(b) for b in range(1, 67) if all(b in names for names in PLAIN_NAMES.values()))
+
+
+@query("several_citations", f"""WITH {vers_cte('kjv')}
+SELECT l_orderkey, book_ord AS fb, chapter AS fc, verse AS fv, book_ord AS tb, chapter AS tc, verse AS tv
+FROM lineitem JOIN verse ON verse_ord = {ORD} WHERE book_ord IN ({PLAIN_BOOKS})""")
+def several_citations(spark, sf_dir):
+    """Texts of an order each, citing a verse for every line item, in both languages."""
+    d = verse_refs(spark, sf_dir).where(f"book_ord in ({PLAIN_BOOKS})")
+    lang = F.when(F.col("l_orderkey") % 2 == 0, "de").otherwise("en")
+    named = F.when(lang == "de", _named("de", "book_ord")).otherwise(_named("en", "book_ord"))
+    one = F.concat_ws("", named, F.lit(" "), F.col("chapter"), F.lit(":"), F.col("verse"))
+    texts = d.groupBy("l_orderkey", lang.alias("lang")).agg(F.array_join(F.array_sort(F.collect_list(one)), " oder ").alias("text"))
+    found = extract.find_citations(texts, chapters(spark, "kjv"), "text", F.col("lang"), "kjv")
+    return flat(found.select("l_orderkey", F.explode("ranges").alias("r")), "r")
+
+
+def _named(lang, book):
+    names = PLAIN_NAMES[lang]
+    return F.get(F.array(*[F.lit(names.get(b)) for b in range(1, 67)]), F.col(book) - 1)
+
+
+@query("citation_at_position", f"""WITH {CITED_SQL},
+-- Of a name that isn't followed by a passage only the shorter spelling itself is a match.
+spans AS (SELECT doc_id, form, begin_at, end_at, CASE WHEN form = 2 THEN 2 ELSE 1 END AS n, end_at AS shown_end FROM cited
+  UNION ALL SELECT doc_id, form, length(text) + 2, length(text) + 2 + length(spelled) + 1 + length(passage) - CASE WHEN form = 4 THEN 2 ELSE 0 END, 0,
+    length(text) + 2 + length(spelled) - 1 FROM written WHERE name IN ('Ezra', 'Esra')),
+asked AS (SELECT *, begin_at + CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN end_at - begin_at - 1
+  ELSE end_at - begin_at + CASE WHEN form = 4 THEN 5 ELSE 3 END END AS idx FROM spans)
+SELECT doc_id, idx < shown_end AS hit, CAST(CASE WHEN idx < shown_end THEN begin_at END AS INTEGER) AS begin_at,
+  CAST(CASE WHEN idx < shown_end THEN n ELSE 0 END AS INTEGER) AS n FROM asked""")
 def citation_at_position(spark, sf_dir):
-    listed = {lang: [n for _, n in fixed.names_of(lang)] for lang in ("en", "de")}
-    quirky = (F.col("doc_id") * 7 % 133).isin([listed["en"].index("Ezra")]) & (F.col("lang") == "en")
-    quirky = quirky | ((F.col("doc_id") * 7 % 143).isin([listed["de"].index("Esra")]) & (F.col("lang") == "de"))
-    d = cited(spark, sf_dir).where(~quirky)
+    d = cited(spark, sf_dir)
     end = F.char_length("text") - F.when(F.col("doc_id") % FORMS == 4, 7).otherwise(5)
     idx = F.when(F.col("doc_id") % 3 == 0, F.col("name_at")).when(F.col("doc_id") % 3 == 1, end - 1).otherwise(
         end + F.when(F.col("doc_id") % FORMS == 4, 5).otherwise(3)
@@ -130,13 +158,25 @@ def passage_separators(spark, sf_dir):
     )
 
 
-@query("book_name_occurrences", f"""WITH {CITED_SQL}
-SELECT doc_id, book_ord, count(*) AS n FROM written WHERE lang = 'de' AND name <> 'Esra' GROUP BY ALL""")
+def _re2(lang: str) -> str:
+    """The pattern of names without what RE2 lacks: where a name begins, the shorter one is taken either way."""
+    return tx.name_pattern(lang).replace("*+", "*")
+
+
+def _folded_names(lang: str) -> str:
+    return ", ".join(f"('{lang}', {lit(extract._folded(n))}, {b})" for n, b in {n: b for b, n in fixed.names_of(lang)}.items())
+
+
+@query("book_name_occurrences", f"""WITH {CITED_SQL}, names_folded(lang, folded, book_ord) AS (VALUES {_folded_names('de')}, {_folded_names('en')}),
+whole AS (SELECT doc_id, lang, text || ' (' || spelled || ' ' || passage || ') und' AS whole FROM written),
+found AS (SELECT doc_id, lang, unnest(CASE WHEN lang = 'de' THEN regexp_extract_all(whole, {lit(_re2('de'))})
+  ELSE regexp_extract_all(whole, {lit(_re2('en'))}) END) AS name FROM whole)
+SELECT doc_id, n.book_ord, count(*) AS n FROM found f JOIN names_folded n ON n.lang = f.lang
+  AND n.folded = translate(regexp_replace(f.name, {lit(f"[{tx.DROPPED}]")}, '', 'g'), '0OIlmS', 'oo11Ms') GROUP BY ALL""")
 def book_name_occurrences(spark, sf_dir):
-    # Whole texts hold name spellings by chance, so only names followed by a number count.
-    d = cited(spark, sf_dir).where("lang = 'de'").withColumn("m", F.explode(extract.matches(F.col("text"), "de")))
-    d = d.where("m.passage <> '' and m.passage not rlike '^a'")
-    return d.select("doc_id", F.col("m.book_ord").alias("book_ord")).groupBy("doc_id", "book_ord").agg(F.count(F.lit(1)).alias("n"))
+    d = cited(spark, sf_dir).select("doc_id", "lang", "text")
+    found = [extract.name_occurrences(d.where(F.col("lang") == lang), "text", lang) for lang in ("de", "en")]
+    return found[0].unionByName(found[1]).groupBy("doc_id", "book_ord").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("name_spellings", """WITH RECURSIVE c(m, r) AS (VALUES ('o','0'), ('1','I'), ('1','l'), ('M','m'), ('o','O'), ('S','s'), ('s','S')),

@@ -22,7 +22,8 @@ def screen(image, rows, para=False):
     return [(image, i, t, b, line, paragraph) for i, (t, b, line) in enumerate(out)]
 
 
-GAP = [[("(Lk", 9, 36), ("7,19;", 52, 45), ("6,13)", 138, 45)]]
+# One line, its last word far away from the others.
+GAP = [[("Jona", 12, 58), ("2,3;", 78, 40), ("4,1.", 300, 40)]]
 TWO = [[("Siehe", 10, 50), ("Lk", 68, 20), ("3,", 94, 20)], [("16", 10, 20), ("und", 36, 30), ("1.Mose", 72, 60), ("1,1", 138, 30)]]
 
 
@@ -32,11 +33,11 @@ def words(spark):
 
 
 def test_references_under_positions(spark, chapters, words):
-    at = [("gap", 1, 60, 55), ("gap", 2, 115, 60), ("gap", 3, 150, 60), ("two", 4, 70, 55), ("two", 5, 15, 85),
+    at = [("gap", 1, 95, 55), ("gap", 2, 210, 60), ("gap", 3, 320, 60), ("two", 4, 70, 55), ("two", 5, 15, 85),
           ("two", 6, 150, 85), ("two", 7, 900, 85), ("para", 8, 15, 85)]
     found = ocr.find_references(words, spark.createDataFrame(at, SEARCHES), chapters).collect()
     got = {r.search_id: [tuple(x["from"]) for x in r.ranges] for r in found}
-    assert got == {1: [(42, 7, 19)], 4: [(42, 3, 16)], 5: [(42, 3, 16)], 6: [(1, 1, 1)], 8: [(42, 3, 16)]}
+    assert got == {1: [(32, 2, 3)], 4: [(42, 3, 16)], 5: [(42, 3, 16)], 6: [(1, 1, 1)], 8: [(42, 3, 16)]}
     boxes = {r.search_id: tuple(r.box) for r in found}
     assert boxes[6] == (72, 80, 96, 20) and boxes[4] == (10, 50, 104, 50)
 

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 import tempfile
 import zipfile
 
@@ -8,45 +10,41 @@ from pyspark.sql import functions as F
 from versewright import registry
 from versewright.sources import archives, captures, markup, metadata
 
-USFM = r"""\id RUT Ruth
-\usfm 3.0
-\h Rut
-\toc2 Das Buch Rut
+USFM = r"""\id JON Probe
+\h Jona
+\toc1 Das Buch Jona
+\toc3 Jon
+\mt Jona
 \c 1
-\s1 Heading
-\p
-\v 1 first \nd Lord\nd*\f + \fr 1.1 \ft a \wj note\wj*.\f*.
-\v 2 \va 7\va*second \w grace|lemma="g"\w* & more
-\q1 line // two
-\p
-\v 3-4 bridge\x - \xo 1.3 \xt Mk 1.2; Lk 3.4\x*
-\tr \th1 Head \tc1 Cell
 \esb
-\p Side
+\p Am Rand
 \esbe
+\q1
+\v 1-2 Wind\x + \xt Am 3.7\x* und \qt Wellen\qt*
+\q2 hoch
+\b
+\m
+\v 3 Schiff \fig Bild|src="s.png"\fig*und \k Mast\k*
+\tr \tc1 Fracht \tc2 Gold
 \c 2
 \p
-\v 1 \+add said\+add* a~b \\ c\~d
-\v 1 again
-\v 2
-\v 3-999 far
+\v 1 \w Fisch|strong="H1"\w*\f - \ft Anmerkung\f* <gross>
+\v 3
+\v 3 noch
 """
 USX = (
-    '<?xml version="1.0"?><usx version="3.0"><book code="RUT" style="id">Ruth</book><para style="h">Rut</para>'
-    '<para style="toc2">Das Buch Rut</para><chapter number="1" style="c"/><para style="s1">Heading</para><para style="p">'
-    '<verse number="1" style="v"/>first <char style="nd">Lord</char><note caller="+" style="f"><char style="ft">a</char></note>. '
-    '<verse number="2" style="v" altnumber="7"/>second <char style="w" lemma="g">grace</char> &amp; more</para><para style="q1">'
-    'line <optbreak/> two</para><para style="p"><verse number="3-4" style="v"/>bridge<note caller="-" style="x">'
-    '<char style="xo">1.3 </char><char style="xt">Mk 1.2; Lk 3.4</char></note></para><table><row style="tr"><cell style="th1">Head</cell>'
-    '<cell style="tc1">Cell</cell></row></table><sidebar style="esb"><para style="p">Side</para></sidebar><chapter number="2" style="c"/>'
-    '<para style="p"><verse number="1" style="v"/><char style="add">said</char> a&#160;b \\ c~d <verse number="1" style="v"/>again '
-    '<verse number="2" style="v"/><verse number="3-999" style="v"/>far</para></usx>'
+    '<usx version="3.0"><book code="JON" style="id">Probe</book><para style="h">Jona</para><para style="toc1">Das Buch Jona</para>'
+    '<para style="toc3">Jon</para><para style="mt">Jona</para><chapter number="1" style="c"/><sidebar style="esb"><para style="p">Am Rand</para></sidebar>'
+    '<para style="q1"><verse number="1-2" style="v"/>Wind<note caller="+" style="x"><char style="xt">Am 3.7</char></note> und <char style="qt">Wellen</char></para>'
+    '<para style="q2">hoch</para><para style="b"/><para style="m"><verse number="3" style="v"/>Schiff <figure style="fig" file="s.png">Bild</figure>und '
+    '<char style="k">Mast</char></para><table><row style="tr"><cell style="tc1">Fracht</cell><cell style="tc2">Gold</cell></row></table>'
+    '<chapter number="2" style="c"/><para style="p"><verse number="1" style="v"/><char style="w" strong="H1">Fisch</char>'
+    '<note caller="-" style="f"><char style="ft">Anmerkung</char></note> &lt;gross&gt; <verse number="3" style="v"/><verse number="3" style="v"/>noch</para></usx>'
 )
 VERSES = {
-    (1, 1): '<p data-id="begin">first <i>Lord</i>. </p>',
-    (1, 2): '<p data-id="continue">second grace &amp; more</p><p data-id="begin">line  two</p>',
-    (1, 3): '<p data-id="begin">bridge</p><p data-id="undefined">HeadCell</p>', (1, 4): "",
-    (2, 1): '<p data-id="begin"><i>said</i> a b \\ c~d </p>', (2, 2): "", (2, 3): '<p data-id="continue">far</p>',
+    (1, 1): '<p data-id="begin">Wind und Wellen</p><p data-id="begin">hoch</p>', (1, 2): "",
+    (1, 3): '<p data-id="begin">Schiff und Mast</p><p data-id="undefined">FrachtGold</p>',
+    (2, 1): '<p data-id="begin">Fisch &lt;gross&gt; </p>', (2, 3): '<p data-id="continue">noch</p>',
 }
 
 
@@ -55,10 +53,10 @@ def test_both_formats_give_the_same_book(spark, fmt, text):
     d = spark.createDataFrame([("a.zip", 0, "x", text, fmt)], "file string, entry_idx int, entry string, text string, format string")
     docs = markup.book_names(markup.documents(d))
     doc = docs.first()
-    assert (doc.error, doc.book_ord, doc.short_name, doc.abbreviation, doc.long_name) == (None, 8, "Das Buch Rut", "Rut", "Das Buch Rut")
+    assert (doc.error, doc.book_ord, doc.short_name, doc.abbreviation, doc.long_name) == (None, 32, "Jona", "Jon", "Das Buch Jona")
     rows = markup.verse_rows(docs).collect()
     assert {(r.chapter, r.verse): r.markup for r in rows} == VERSES
-    assert {(r.chapter, r.verse): r.cross_references for r in rows if r.cross_references} == {(1, 3): ["Mk 1.2; Lk 3.4"]}
+    assert {(r.chapter, r.verse): r.cross_references for r in rows if r.cross_references} == {(1, 1): ["Am 3.7"]}
 
 
 def _zip(folder, name, entries):
@@ -71,36 +69,61 @@ def test_incremental_load_of_a_folder(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     source, store, target = (os.path.join(folder, n) for n in ("src", "store", "target"))
     os.mkdir(source), os.mkdir(target)
-    john = "\\id 3JN\n\\c 1\n\\p\n" + "".join(f"\\v {i} Text\n" for i in range(1, 15))
-    _zip(source, "one.zip", {"d/RUT.usfm": USFM, "RUT2.SFM": "\\id RUT\n\\c 1\n\\p\n\\v 1 other\n", "metadata.xml": "<x><name>broken",
-                             "Settings.xml": "<ScriptureText><FullName>Same</FullName><Name>S</Name></ScriptureText>"})
-    _zip(source, "two.zip", {"3JN.usfm": john, "settings.xml": "<ScriptureText><FullName>Same</FullName></ScriptureText>"})
-    _zip(source, "bad.zip", {"XXA.usfm": "\\id XXA\n\\c 1\n\\p\n\\v 1 x\n"})
-    _zip(source, "enc.zip", {"GEN.usfm": b"\\id GEN\n\\c 1\n\\p\n\\v 1 \xff\n"})
-    open(os.path.join(source, "note.txt"), "w").close()
-    status = {r.file: r.error for r in archives.load(spark, f"file:{source}", store).collect()}
-    assert status == {"one.zip": None, "two.zip": None, "bad.zip": "no book of the app", "enc.zip": "GEN.usfm: no UTF-8 text"}
+    settings = "<ScriptureText><FullName>Probe</FullName>{}</ScriptureText>"
+    chapter = "\\id OBA\n\\c 1\n\\m\n" + "".join(f"\\v {i} Wort\n" for i in range(1, 22))
+    _zip(source, "k.zip", {"in/JON.usfm": USFM, "more/JON.SFM": "\\id JON\n\\c 1\n\\p\n\\v 1 zu tief\n", "metadata.xml": "<open>", "readme.txt": "x" * 99,
+                           "Settings.xml": settings.format("<Name>Pr</Name>")})
+    _zip(source, "l.zip", {"OBA.sfm": chapter, "settings.xml": settings.format("")})
+    _zip(source, "alien.zip", {"ZZZ.usfm": "\\id ZZZ\n\\c 1\n\\p\n\\v 1 x\n"})
+    _zip(source, "latin.zip", {"AMO.usfm": b"\\id AMO\n\\c 1\n\\p\n\\v 1 \xe4\n"})
+    _zip(source, "other.zip", {"notes.txt": "nothing"})
+    _zip(source, "void.zip", {})
+    with open(os.path.join(source, "text.zip"), "w") as f:
+        f.write("no archive at all")
+    _zip(source, "hole.zip", {"HOS.usfm": "\\id HOS\n\\c 1\n\\p\n\\v 1 " + "wort " * 50})
+    with open(os.path.join(source, "hole.zip"), "r+b") as f:  # its data no longer fits its check sum
+        data = f.read()
+        f.seek(data.index(b"wort wort"))
+        f.write(b"WORT")
+    _zip(source, "lock.zip", {"JOL.usfm": "\\id JOL"})
+    with open(os.path.join(source, "lock.zip"), "r+b") as f:  # the flag of encryption in both headers
+        data = bytearray(f.read())
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            data[data.index(mark) + at] |= 1
+        f.seek(0)
+        f.write(data)
+    errors = {
+        "k.zip": None, "l.zip": None, "alien.zip": "no book of the app", "latin.zip": "AMO.usfm: no UTF-8 text", "other.zip": "no reader",
+        "void.zip": "empty archive", "text.zip": "no zip archive", "hole.zip": "HOS.usfm: damaged", "lock.zip": "JOL.usfm: encrypted",
+    }
+    assert {r.file: r.error for r in archives.load(spark, f"file:{source}", store).collect()} == errors
     verses = archives.read_verses(spark, f"{store}/verses")
-    assert verses.groupBy("scripture").count().orderBy("scripture").collect() == [("one.zip", 7), ("two.zip", 14)]
-    assert archives.passage(verses, "one.zip", 8, 1, 1).first().markup == VERSES[1, 1]
-    info = spark.read.parquet(f"{store}/info")
-    assert {r.file: (r.catalog_name, r.abbreviation) for r in archives.catalog(info).collect()} == {
-        "one.zip": ("Same", "S"), "two.zip": ("Same (1)", "Unknown Abbreviation")}
-    os.remove(os.path.join(source, "two.zip"))
-    _zip(source, "one.zip", {"RUT.usfm": "\\id RUT\n\\c 1\n\\p\n\\v 1 new\n"})
-    assert {r.file for r in archives.load(spark, f"file:{source}", store).collect()} == {"one.zip", "bad.zip", "enc.zip"}
-    assert archives.read_verses(spark, f"{store}/verses").where("scripture = 'one.zip'").count() == 1
-    assert [r.file for r in spark.read.parquet(f"{store}/manifest").collect()] == ["one.zip"]
+    assert verses.groupBy("scripture").count().orderBy("scripture").collect() == [("k.zip", 5), ("l.zip", 21)]
+    assert archives.passage(verses, "k.zip", 32, 1, 3).first().markup == VERSES[1, 3]
+    catalog = {r.file: (r.catalog_name, r.abbreviation) for r in archives.catalog(spark.read.parquet(f"{store}/info")).collect()}
+    assert catalog == {"k.zip": ("Probe", "Pr"), "l.zip": ("Probe (1)", "Unknown Abbreviation")}
+    # One vanishes, one no longer reads: neither is in the catalog, only what no longer reads keeps its verses.
+    _zip(source, "m.zip", {"OBA.sfm": chapter})
+    archives.load(spark, f"file:{source}", store)
+    os.remove(os.path.join(source, "l.zip"))
+    _zip(source, "k.zip", {"JON.usfm": b"\\id JON\n\\c 1\n\\p\n\\v 1 \xff\n"})
+    status = {r.file: r.error for r in archives.load(spark, f"file:{source}", store).collect()}
+    assert status == {k: v for k, v in errors.items() if k != "l.zip"} | {"k.zip": "JON.usfm: no UTF-8 text"}
+    assert {r.scripture for r in archives.read_verses(spark, f"{store}/verses").select("scripture").distinct().collect()} == {"k.zip", "m.zip"}
+    for table in ("info", "names", "manifest"):
+        assert {r.file for r in spark.read.parquet(f"{store}/{table}").select("file").distinct().collect()} == {"m.zip"}
     assert archives.import_archives(spark, f"file:{source}", target) == 1
-    assert os.listdir(target) == ["one.zip"]
+    assert [n for n in os.listdir(target) if not n.startswith(".")] == ["m.zip"]
+    assert archives.import_archives(spark, f"file:{target}", f"{target}/") == 0
 
 
 def test_catalog_names_by_brute_force(spark):
-    names = ["Same", "Same", "Same (1)", "Same", "Same (5)", "Same", "Same (2)", "Same Study (5)", "Same (1)", "Same (1) (1)", "Same (07)"]
+    rnd = random.Random(12)
+    names = [rnd.choice(["Alt", "Alt", "Neu", "Alt (2)", "Neu (1)", "Alt (1) (1)", "Neu (03)", "Alt (4000000000)"]) for _ in range(30)]
     taken = []
     for name in names:
         if name in taken:
-            numbers = [n for n in range(50) if f"{name} ({n})" in taken]
+            numbers = [int(m[1]) for t in taken if (m := re.fullmatch(re.escape(name) + r" \((0|[1-9][0-9]*)\)", t))]
             name = f"{name} ({max(numbers, default=0) + 1})"
         taken.append(name)
     d = spark.createDataFrame([(f"f{i:02}", n) for i, n in enumerate(names)], "file string, name string")

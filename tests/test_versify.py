@@ -72,9 +72,19 @@ def test_attach_equals_a_join_with_a_hot_key(spark):
     right = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, left.join(right, "k", how).select(*left.columns).collect()))
-        got = attach(left, right, ["k"], how, limit=-1)
-        assert got.select(*left.columns).count() == len(want)
-        assert sorted(map(tuple, got.select(*left.columns).collect())) == want
+        for bounded in (False, True):
+            got = attach(left, right, ["k"], how, bounded)
+            assert sorted(map(tuple, got.select(*left.columns).collect())) == want
+
+
+def test_only_bounded_sides_are_broadcast(spark):
+    left = spark.range(1000).select("id", (F.col("id") % 5).alias("k"))
+    long = spark.range(5).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("v"))
+    lists = left.groupBy("k").agg(F.collect_list("id").alias("ids"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    for right in (long, lists):
+        assert "Broadcast" not in plan(attach(left, right, ["k"]))
+        assert "Broadcast" in plan(attach(left, right, ["k"], "inner", True))
 
 
 def test_islands_cross_buckets(spark):

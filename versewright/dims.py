@@ -38,7 +38,14 @@ def versification(spark: SparkSession, names: tuple[str, ...] = fixed.VERSIFICAT
                     rows[key].append(value)
                 total += last
     types = {k: pa.int32() for k in rows} | {"vers_name": pa.string()}
-    return _table(spark, rows, types)
+    table = _table(spark, rows, types)
+    table.packaged = True
+    return table
+
+
+def is_packaged(chapters: DataFrame) -> bool:
+    """Whether a chapter table is the packaged one, so that tables made of it are of fixed size."""
+    return getattr(chapters, "packaged", False) is True
 
 
 def with_ordinals(chapters: DataFrame) -> DataFrame:
@@ -58,14 +65,14 @@ def with_ordinals(chapters: DataFrame) -> DataFrame:
 
 
 def book_chapters(chapters: DataFrame) -> DataFrame:
-    """One row per ``vers_name, book_ord`` with the arrays ``last_verses`` and ``starts`` by chapter."""
-    ordered = F.array_sort(F.collect_list(F.struct("chapter", "last_verse", "start_ord")))
-    return chapters.groupBy("vers_name", "book_ord").agg(ordered.alias("c")).select(
-        "vers_name",
-        "book_ord",
-        F.col("c.last_verse").alias("last_verses"),
-        F.col("c.start_ord").alias("starts"),
-        F.size("c").alias("chapter_count"),
+    """One row per ``vers_name, book_ord`` with the maps ``last_verses`` and ``starts`` by chapter, and its last chapter.
+
+    A chapter that a versification lacks is missing in the maps too.
+    """
+    by_chapter = lambda value: F.map_from_entries(F.collect_list(F.struct("chapter", value)))
+    return chapters.groupBy("vers_name", "book_ord").agg(
+        by_chapter("last_verse").alias("last_verses"), by_chapter("start_ord").alias("starts"),
+        F.max("chapter").alias("chapter_count"),
     )
 
 

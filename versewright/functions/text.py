@@ -87,7 +87,7 @@ def decoded(text: Column) -> Column:
     usable = lambda e: let(code(e), lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF))
     # A literal ampersand written as a number must not start an entity of the later steps.
     marked = lambda e: let(code(e), lambda c: F.when(c == 38, F.lit("&amp;")).otherwise(char(c)))
-    entities = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    entities = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]+|[xX][0-9a-fA-F]+);"), F.lit(0)))
     numeric = F.aggregate(
         F.filter(entities, usable), text, lambda acc, e: F.replace(acc, e, marked(e))
     )
@@ -100,16 +100,29 @@ def decoded(text: Column) -> Column:
 def markup_to_plain(markup: Column) -> Column:
     """Passage markup as plain text: the sections with white space collapsed, joined by a space, empty ones left out.
 
-    What is no well-formed markup of ``<p>``, ``<b>`` and ``<i>`` stays as it is.
+    What is no well-formed markup stays as it is: every tag closed in order, empty elements and comments anywhere, nested
+    to any depth.
     """
-    # Balanced markup shrinks to nothing tag by tag: inline pairs first, twice for nesting, then the sections.
-    inner = markup
-    for _ in range(3):
-        inner = F.regexp_replace(inner, "<([bi])>([^<>]*)</\\1>", "$2")
-    left = F.regexp_replace(inner, "<([A-Za-z][\\w-]*)(?:\\s[^<>]*)?>([^<>]*)</\\1>", "$2")
-    is_markup = ~left.rlike("[<>]") & ~left.rlike("&(?!#|lt;|gt;|amp;|quot;|apos;)")
+    bare = F.regexp_replace(markup, "(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(bare, F.lit("<[^<>]*>"), F.lit(0))
+    name = lambda t: F.regexp_extract(t, "^</?([A-Za-z_][\\w.:-]*)", 1)
+    opened = F.array().cast("array<string>")
+
+    def step(stack, tag):
+        """The names of open elements, null once a tag doesn't fit."""
+        top = F.element_at(stack, -1)
+        closed = F.when((F.size(stack) > 0) & (top == name(tag)), F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))))
+        return (
+            F.when(tag.rlike("^</[A-Za-z_][\\w.:-]*\\s*>$"), closed)
+            .when(tag.rlike("^<[A-Za-z_][\\w.:-]*(?:\\s[^<>]*)?/>$"), stack)
+            .when(tag.rlike("^<[A-Za-z_][\\w.:-]*(?:\\s[^<>]*)?>$"), F.concat(stack, F.array(name(tag))))
+        )
+
+    balanced = F.coalesce(F.size(F.aggregate(tags, opened, step)) == 0, F.lit(False))
+    text = F.regexp_replace(bare, "<[^<>]*>", "")
+    is_markup = balanced & ~text.rlike("[<>]") & ~text.rlike("&(?!#|lt;|gt;|amp;|quot;|apos;)")
     normal = lambda s: F.trim(F.regexp_replace(decoded(F.regexp_replace(s, "<[^>]*>", "")), "[ \\t\\n\\r]+", " "))
-    sections = F.filter(F.transform(F.split(markup, "(?<=</p>)"), normal), lambda s: s != "")
+    sections = F.filter(F.transform(F.split(bare, "(?<=</p>)"), normal), lambda s: s != "")
     return F.when(is_markup, F.array_join(sections, " ")).otherwise(markup)
 
 
@@ -196,7 +209,7 @@ def passage_pattern(lang: str) -> str:
 def citation_pattern(lang: str) -> str:
     """A book name followed by digits before the next word, with its passage if it has one."""
     letters = fixed.LETTERS[lang]
-    no_word = f"(?:[^{letters}]|[{fixed.POSTFIX_LETTERS}])"
-    digits_follow = f"(?={no_word}*?[0-9])"
+    # One class and possessive: a loop without backtracking, however long the run before the digit is.
+    digits_follow = f"(?=[[^{letters}0-9]{fixed.POSTFIX_LETTERS}]*+[0-9])"
     name = name_pattern(lang, digits_follow)
     return f"(?=[{first_letters(lang)}])(?>{name})(?:[{DROPPED}]*+{passage_pattern(lang)})?"

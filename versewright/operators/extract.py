@@ -30,6 +30,28 @@ def prefilter(text: Column) -> Column:
 OPEN, CLOSE = "\uFDD0", "\uFDD1"
 
 
+#: Numbers summed in one go; a long list is summed block by block, so that no step copies the whole list.
+BLOCK = 256
+
+
+def running(values: Column) -> Column:
+    """The sums of an array up to and including each number."""
+    def summed(block):
+        start = F.array().cast("array<int>")
+        return F.aggregate(block, start, lambda out, v: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + v)))
+
+    def joined(blocks):
+        totals = summed(F.transform(blocks, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0))))
+        return tx.let(totals, lambda t: F.flatten(F.transform(blocks, lambda x, i: F.transform(
+            x, lambda v: v + F.coalesce(F.get(t, i - 1), F.lit(0))))))
+
+    def cut(v):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK))
+        return F.transform(starts, lambda at: summed(F.slice(v, at, BLOCK)))
+
+    return tx.let(values, lambda v: tx.let(cut(v), joined))
+
+
 def matches(text: Column, lang: str) -> Column:
     """``ARRAY<STRUCT<begin, end, book_ord, passage>>``: every book name with digits behind it, with its offsets.
 
@@ -38,22 +60,15 @@ def matches(text: Column, lang: str) -> Column:
     unmarked = ~text.contains(OPEN) & ~text.contains(CLOSE)
     clean = F.when(unmarked, text).otherwise(F.translate(text, OPEN + CLOSE, "\uFFFD\uFFFD"))
     marked = F.regexp_replace(clean, tx.citation_pattern(lang), f"{OPEN}$0{CLOSE}")
-    start = F.struct(
-        F.lit(0).alias("pos"), F.array().cast("array<struct<begin:int,text:string>>").alias("out"),
-    )
+    # The first piece is what is before all matches; each other one a match, its closing mark and the text behind it.
+    sizes = lambda pieces: F.transform(pieces, lambda p, i: F.char_length(p) - F.when(i > 0, 1).otherwise(0))
 
-    def place(state, piece):
-        first = ~piece.contains(CLOSE)
-        item = F.struct(state["pos"].alias("begin"), F.substring_index(piece, CLOSE, 1).alias("text"))
-        return F.when(first, F.struct(F.char_length(piece).alias("pos"), state["out"].alias("out"))).otherwise(
-            F.struct(
-                (state["pos"] + F.char_length(piece) - 1).alias("pos"),
-                F.concat(state["out"], F.array(item)).alias("out"),
-            )
-        )
+    def placed(pieces, ends):
+        return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)) - 1), lambda p, i: F.struct(
+            F.get(ends, i).alias("begin"), F.substring_index(p, CLOSE, 1).alias("text")))
 
-    placed = F.aggregate(F.split(marked, OPEN, -1), start, place, lambda s: s["out"])
-    return F.when(prefilter(text), F.transform(placed, lambda m: _named(m, lang)))
+    found = tx.let(F.split(marked, OPEN, -1), lambda pieces: tx.let(running(sizes(pieces)), lambda ends: placed(pieces, ends)))
+    return F.when(prefilter(text), F.transform(found, lambda m: _named(m, lang)))
 
 
 def _named(match: Column, lang: str) -> Column:
@@ -111,11 +126,11 @@ def sections(tmpl: Column, candidate: Column) -> Column:
 def section_ranges(parts: Column, last_verses: Column) -> Column:
     """Fold over the sections of a template: ``STRUCT<ok, out>`` with one range per section.
 
-    ``last_verses`` holds the last verse of each chapter of the book.  A section opens at chapter level until a
+    ``last_verses`` maps the chapters of the book to their last verses.  A section opens at chapter level until a
     separator names a verse; the level and the chapter carry over to the sections behind it.
     """
     def last_of(chapter):
-        return F.coalesce(F.get(last_verses, F.least(chapter, F.lit(1000)).cast("int") - 1), F.lit(0)).cast("long")
+        return F.coalesce(F.try_element_at(last_verses, chapter.try_cast("int")), F.lit(0)).cast("long")
 
     def valid(chapter, verse):
         return (verse >= 1) & (verse <= last_of(chapter))
@@ -203,7 +218,7 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_ranges(df: DataFrame, chapters: DataFrame, keep_unread: bool = False) -> DataFrame:
     """Add the ``ranges`` of ``vers_name, book_ord, passage``; rows without any drop out."""
-    d = attach(df, dims.book_chapters(chapters), ["vers_name", "book_ord"])
+    d = attach(df, dims.book_chapters(chapters), ["vers_name", "book_ord"], bounded=dims.is_packaged(chapters))
     ranges = ranges_of(F.col("passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
     d = computed_once(d, "ranges", ranges).drop("last_verses", "starts", "chapter_count")
     return d if keep_unread else d.where(F.size("ranges") > 0)
@@ -233,15 +248,17 @@ def reach(text: Column, end: Column, lang: str) -> Column:
     letters = fixed.LETTERS[lang]
     rest = F.substring(text, end + 1, F.char_length(text))
     char = f"(?!{tx.numbered_name(lang)})(?:[^{letters}]|[{fixed.POSTFIX_LETTERS}])"
-    region = F.regexp_replace(F.regexp_extract(rest, f"^(?:{char})*", 0), f"[{tx.DROPPED}]+$", "")
+    region = F.regexp_replace(F.regexp_extract(rest, f"^(?:{char})*+", 0), f"[{tx.DROPPED}]+$", "")
     word = F.regexp_extract(rest, f"^[^{tx.WS}]*", 0)
     return end + F.least(F.char_length(region), F.char_length(word))
 
 
 def citation_at(text: Column, index: Column, lang: str) -> Column:
     """The match a character position points at, null if none."""
-    inside = lambda m: (m["begin"] <= index) & (index < F.greatest(m["end"], reach(text, m["end"], lang)))
-    return F.get(F.filter(matches(text, lang), inside), F.lit(0))
+    # No reach goes beyond the next match, so only the last match that begins before the position can hold it.
+    before = F.filter(matches(text, lang), lambda m: m["begin"] <= index)
+    last = F.when(F.size(before) > 0, F.element_at(before, -1))
+    return tx.let(last, lambda m: F.when(index < F.greatest(m["end"], reach(text, m["end"], lang)), m))
 
 
 def parse_at(
@@ -253,7 +270,7 @@ def parse_at(
     at = by_language(lang, lambda x: citation_at(F.col(text), F.col(index), x))
     d = df.withColumns({"__at": at, "vers_name": vers})
     d = d.withColumn("book_ord", F.col("__at.book_ord"))
-    d = attach(d, dims.book_chapters(chapters), ["vers_name", "book_ord"], "left")
+    d = attach(d, dims.book_chapters(chapters), ["vers_name", "book_ord"], "left", dims.is_packaged(chapters))
     ranges = ranges_of(F.col("__at.passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
     origin = F.when(F.col("__at").isNotNull(), F.struct(F.col("__at.begin").alias("begin"), F.col("__at.end").alias("end")))
     return d.withColumns({"ranges": ranges, "origin": origin}).drop(

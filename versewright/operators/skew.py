@@ -1,7 +1,7 @@
 """Joins and ordered operators that stay balanced when one key holds a large share of the rows.
 
-* :func:`attach` broadcasts the right side only when the optimizer's size estimate proves it small.  Otherwise the
-  left side is salted and the right side repeated once per salt, so the rows of one hot key spread over many tasks.
+* :func:`attach` broadcasts a side only where the caller knows it to be bounded by what it is. All else is left to
+  adaptive execution, which broadcasts by the measured size of a shuffle and splits partitions that a hot key makes large.
 * :func:`islands` numbers the runs of consecutive rows of a key.  It splits every key into buckets of its order
   column: the per-bucket work is an ordinary window, and only one summary row per bucket travels along the key.
 """
@@ -14,53 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
-SALTS = 16
 
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", bounded: bool = False) -> DataFrame:
+    """Equi-join ``right`` to ``left`` (inner, left, left_semi or left_anti).
 
-# Rows a generator or a Python step may add to what the estimate sees.
-GROWTH = 256
-
-
-def estimate(df: DataFrame) -> int:
-    """Catalyst's size estimate; plans that grow rows unseen count as if they grew to the full."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    shape = plan.toString()
-    grows = "Generate " in shape or "MapInPandas" in shape
-    return int(plan.stats().sizeInBytes()) * (GROWTH if grows else 1)
-
-
-def attach(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_LIMIT,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join ``right`` to ``left`` (inner, left, left_semi or left_anti) without a hot task on ``keys``.
-
-    A side proved small is broadcast.  Otherwise one side is salted and the other repeated once per salt; of an inner
-    join the smaller one is repeated.
+    ``bounded`` says that ``right`` can't grow with the data, such as a row per book; only then is it broadcast.
     """
-    right_bytes = estimate(right)
-    if right_bytes <= limit:
-        return left.join(F.broadcast(right), keys, how)
-    swap = False
-    if how == "inner":
-        left_bytes = estimate(left)
-        if left_bytes <= limit:
-            return F.broadcast(left).join(right, keys)
-        swap = left_bytes < right_bytes
-    spread, repeated = (right, left) if swap else (left, right)
-    salt = "__salt"
-    others = [c for c in spread.columns if c not in keys]
-    drawn = F.pmod(F.xxhash64(*[_hashable(spread, c) for c in others]), F.lit(salts)) if others else F.lit(0)
-    spread = spread.withColumn(salt, drawn.cast("int"))
-    repeated = repeated.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left, right = (repeated, spread) if swap else (spread, repeated)
-    return left.join(right, [*keys, salt], how).drop(salt)
-
-
-def _hashable(df: DataFrame, name: str) -> Column:
-    simple = df.schema[name].dataType.simpleString()
-    return F.to_json(F.struct(F.col(name))) if "map<" in simple else F.col(name)
+    return left.join(F.broadcast(right) if bounded else right, keys, how)
 
 
 def islands(

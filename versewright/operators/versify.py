@@ -39,12 +39,17 @@ def with_validity(df: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def clamp(df: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Replace a reference that does not exist by the nearest that does: book, then chapter, then verse."""
+    """Replace a reference that does not exist by the nearest that does: book, then chapter, then verse.
+
+    A chapter that the versification lacks gives way to the next lower one it has, or to the first.
+    """
     per_book = dims.book_chapters(chapters)
     within = lambda x, hi: F.least(F.greatest(x, F.lit(1)), hi)
     d = df.withColumn("__book", within(F.col("book_ord"), F.lit(66)))
     d = attach(d, per_book.withColumnRenamed("book_ord", "__book"), ["vers_name", "__book"], "left")
-    d = d.withColumn("__chapter", within(F.col("chapter"), F.col("chapter_count")))
+    known = F.map_keys("last_verses")
+    lower = F.array_max(F.filter(known, lambda c: c <= F.col("chapter")))
+    d = d.withColumn("__chapter", F.coalesce(lower, F.array_min(known)))
     d = d.withColumn("__verse", within(F.col("verse"), F.element_at("last_verses", F.col("__chapter"))))
     kept = [c for c in df.columns if c not in ("book_ord", "chapter", "verse")]
     return d.select(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,8 @@ from ..operators.skew import attach, union_all
 from ..session import written
 from . import markup, metadata
 
-ENTRY = "file string, size long, modified long, entry_idx int, entry string, content binary"
+# An archive, or a part of it, that can't be unzipped has a row with an ``error`` and without content.
+ENTRY = "file string, size long, modified long, entry_idx int, entry string, content binary, error string"
 # Raised when stored verses change form, so that kept archives are read anew.
 STORE_VERSION = 1
 # Extensions of the formats, in the order the readers are asked.
@@ -35,27 +37,51 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scan_entries(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
-    """Entries of the archives of a folder, folders inside them left out; ``only`` restricts the files by name."""
+def scan_entries(spark: SparkSession, folder: str, only: DataFrame | None = None, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of the archives of a folder, folders inside them left out.
+
+    ``only`` restricts the files by name; ``wanted``, endings of entry names, leaves other entries zipped.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("modified"), "content",
     )
     if only is not None:
         files = attach(files, only.select("file").distinct(), ["file"], "left_semi")
-    return files.mapInPandas(_unzip, ENTRY)
+    return files.mapInPandas(_unzipper(wanted), ENTRY)
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
+def _unzipper(wanted: tuple[str, ...]):
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in ENTRY.split(", ")]
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                for found in _unzipped(row.content, wanted):
+                    yield pd.DataFrame([(row.file, row.size, row.modified, *found)], columns=names)
+
+    return unzip
+
+
+def _unzipped(content: bytes, wanted: tuple[str, ...]) -> Iterator[tuple]:
+    """``entry_idx, entry, content, error`` of the entries."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        yield -1, None, None, "no zip archive"
+        return
+    entries = [i for i in archive.infolist() if not i.filename.endswith("/")]
+    if not entries:
+        yield -1, None, None, "empty archive"
+    for idx, item in enumerate(entries):
+        data = error = None
+        if item.flag_bits & 1:
+            error = f"{item.filename}: encrypted"
+        elif not wanted or item.filename.lower().endswith(wanted):
             try:
-                archive = zipfile.ZipFile(io.BytesIO(row.content))
-            except zipfile.BadZipFile:
-                continue
-            for idx, item in enumerate(i for i in archive.infolist() if not i.filename.endswith("/")):
-                yield pd.DataFrame([(row.file, row.size, row.modified, idx, item.filename, archive.read(item))],
-                                   columns=["file", "size", "modified", "entry_idx", "entry", "content"])
+                data = archive.read(item)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError):
+                error = f"{item.filename}: damaged"
+        yield idx, item.filename, data, error
 
 
 def base_name(entry: Column) -> Column:
@@ -114,6 +140,11 @@ def read_archives(entries: DataFrame) -> dict[str, DataFrame]:
     ``status`` holds the first error of an archive, null for one that reads; one bad file fails its archive.  The
     verse table is written once, since names, status and the catalog read it too.
     """
+    if "error" in entries.columns:
+        damaged = entries.where("error is not null").groupBy("file").agg(F.min_by("error", "entry_idx").alias("damage"))
+        entries = entries.drop("error")
+    else:
+        damaged = entries.groupBy("file").agg(F.lit(None).cast("string").alias("damage"))
     found = routed(decoded(entries))
     docs = markup.book_names(markup.documents(found))
     unread = F.when(F.col("flat").isNull(), F.concat_ws(": ", "entry", F.lit("no UTF-8 text"))).otherwise(F.col("error"))
@@ -121,10 +152,14 @@ def read_archives(entries: DataFrame) -> dict[str, DataFrame]:
     verses = written(markup.first_file_per_book(markup.verse_rows(docs)), "verses")
     failed = docs.where("error is not null").groupBy("file").agg(F.min_by("error", "entry_idx").alias("error"))
     filled = verses.select("file").distinct().withColumn("__filled", F.lit(True))
-    status = attach(attach(docs.select("file").distinct(), failed, ["file"], "left"), filled, ["file"], "left")
-    status = status.select(
-        "file", F.coalesce("error", F.when(F.col("__filled").isNull(), "no book of the app")).alias("error")
-    )
+    answered = docs.select("file").distinct().withColumn("__answered", F.lit(True))
+    status = entries.select("file").distinct()
+    for part in (damaged, failed, answered, filled):
+        status = attach(status, part, ["file"], "left")
+    status = written(status.select("file", F.coalesce(
+        "damage", "error", F.when(F.col("__answered").isNull(), "no reader"),
+        F.when(F.col("__filled").isNull(), "no book of the app"),
+    ).alias("error")), "status")
     readable = status.where("error is null").select("file")
     verses = attach(verses, readable, ["file"], "left_semi")
     used = verses.select("file", "entry_idx", "book_ord").distinct()
@@ -185,22 +220,24 @@ def named(files: DataFrame) -> DataFrame:
     Per name the number is a running count raised by numbered names written out in the files, both ordinary windows.
     Names are resolved by how many suffixes they end with, as a name can only be taken by one with fewer.
     """
-    number_text = "(?:0|[1-9]\\d{0,8})"
+    # A number up to uint32.
+    larger = "[1-3]\\d{9}|4[01]\\d{8}|42[0-8]\\d{7}|429[0-3]\\d{6}|4294[0-8]\\d{5}|42949[0-5]\\d{4}|429496[0-6]\\d{3}|4294967[01]\\d{2}|42949672[0-8]\\d|429496729[0-5]"
+    number_text = f"(?:0|[1-9]\\d{{0,8}}|{larger})"
     suffix = f" \\(({number_text})\\)$"
     depth = F.size(F.split(F.regexp_extract("name", f"((?: \\({number_text}\\))*)$", 1), "\\)")) - 1
     d = files.select("file", "name", depth.alias("depth"))
     levels = d.agg(F.max("depth")).first()[0] or 0
     taken, results = None, []
     for level in range(levels + 1):
-        raw = d.where(F.col("depth") == level).select("file", "name", F.lit(0).alias("gen"), F.lit(0).alias("n"))
+        raw = d.where(F.col("depth") == level).select("file", "name", F.lit(0).alias("gen"), F.lit(0).cast("long").alias("n"))
         # Numbered names written out: they raise the count of their base.
         literal = d.where(F.col("depth") == level + 1).select(
             "file", F.regexp_replace("name", suffix, "").alias("name"), F.lit(2).alias("gen"),
-            F.regexp_extract("name", suffix, 1).try_cast("int").alias("n"),
+            F.regexp_extract("name", suffix, 1).try_cast("long").alias("n"),
         )
         rows = raw.unionByName(literal)
         if taken is not None:
-            rows = rows.unionByName(taken.select("file", "name", F.lit(1).alias("gen"), F.lit(0).alias("n")))
+            rows = rows.unionByName(taken.select("file", "name", F.lit(1).alias("gen"), F.lit(0).cast("long").alias("n")))
         w = Window.partitionBy("name").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
         upto = Window.partitionBy("name").orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
         own = F.col("gen") == 0
@@ -261,29 +298,45 @@ def load(
 ) -> DataFrame:
     """Bring the store up to date with a folder and return the status of the archives read.
 
-    Only changed archives are read.  An archive that does not read keeps its old verses; a vanished one leaves the
-    catalog.  Tables: ``verses`` (by ``scripture`` = file), ``names``, ``info`` and ``manifest``.
+    Only changed archives are read, each unzipped once. An archive that does not read keeps its old verses but leaves the
+    catalog, and is tried again the next time; a vanished one leaves both. Tables: ``verses`` (by ``scripture`` = file),
+    ``names``, ``info`` and ``manifest``.
     """
     tables = {t: f"{store.rstrip('/')}/{t}" for t in ("verses", "names", "info", "manifest")}
     kept = _kept(spark, tables["manifest"], "file string, stamp string")
     files = written(scan_files(spark, folder), "files")
     todo = written(changed(files, kept, reload), "changed")
-    gone = vanished(files, kept).select("file")
-    out = reader(scan_entries(spark, folder, todo))
+    gone = written(vanished(files, kept).select("file"), "gone")
+    endings = tuple(x for _, extensions in FORMATS for x in extensions) + tuple(name.lower() for name, _ in metadata.INFO_FILES)
+    out = reader(written(scan_entries(spark, folder, todo, endings), "entries"))
     status = written(out["status"], "status")
     read = status.where("error is null").select("file")
     write_verses(out["verses"].withColumnRenamed("file", "scripture"), tables["verses"])
+    replaced = todo.select("file")
     for table in ("names", "info"):
-        _merge(spark, out[table], tables[table], read, gone)
-    _merge(spark, attach(todo, read, ["file"], "left_semi").select("file", "stamp"), tables["manifest"], read, gone)
+        _merge(spark, out[table], tables[table], replaced, gone)
+    for row in gone.toLocalIterator():  # names of folders, no rows
+        _delete(spark, f"{tables['verses']}/scripture={row.file}")
+    # Last, so that a load that fails before is done again as a whole.
+    _merge(spark, attach(todo, read, ["file"], "left_semi").select("file", "stamp"), tables["manifest"], replaced, gone)
     return status
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path with its file system, in full."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(target), system
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, system = _path(spark, path)
+    system.delete(target, True)
+
+
 def _kept(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target = jvm.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    target, system = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if system.exists(target) else spark.createDataFrame([], schema)
 
 
 def _merge(spark: SparkSession, new: DataFrame, path: str, replaced: DataFrame, gone: DataFrame) -> None:
@@ -297,28 +350,23 @@ def _merge(spark: SparkSession, new: DataFrame, path: str, replaced: DataFrame,
 def import_archives(
     spark: SparkSession, source: str, folder: str, reader: Callable[[DataFrame], dict[str, DataFrame]] = read_archives
 ) -> int:
-    """Copy the archives of ``source`` that read into ``folder``, replacing equal names; returns how many."""
-    if source.rstrip("/") == folder.rstrip("/"):
-        return 0
-    accepted = reader(scan_entries(spark, source))["status"].where("error is null").select("file")
-    accepted = written(accepted, "accepted")
-    conf = spark.sparkContext.broadcast(folder)
+    """Copy the archives of ``source`` that read into ``folder``, replacing equal names; returns how many.
 
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                target = os.path.join(conf.value.removeprefix("file:"), row.file)
-                with open(target + ".part", "wb") as out:
-                    out.write(row.content)
-                os.replace(target + ".part", target)
-                yield pd.DataFrame({"file": [row.file]})
-
-    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(source).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "content"
-    )
-    return attach(contents, accepted, ["file"], "left_semi").mapInPandas(copy, "file string").count()
+    Nothing is copied from the folder itself or from within it. Hadoop copies file by file, between any file systems.
+    """
+    (origin, origin_system), (target, target_system) = _path(spark, source), _path(spark, folder)
+    inside = origin if origin_system.getFileStatus(origin).isDirectory() else origin.getParent()
+    if inside.equals(target):
+        return 0
+    status = reader(scan_entries(spark, source))["status"].where("error is null").select("file")
+    copied = 0
+    for row in written(status, "accepted").toLocalIterator():
+        one = spark._jvm.org.apache.hadoop.fs.Path(inside, row.file)
+        place = spark._jvm.org.apache.hadoop.fs.Path(target, row.file)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
+            origin_system, one, target_system, place, False, True, spark._jsc.hadoopConfiguration())
+        copied += 1
+    return copied
 
 
 def catalog(info: DataFrame) -> DataFrame:

@@ -341,7 +341,7 @@ def units(docs: DataFrame) -> DataFrame:
         *keys, "chapter_idx", "chapter", "block", "kind", F.size(pieces).alias("n"),
         F.posexplode_outer(pieces).alias("unit", "piece"),
     )
-    marker = F.when(F.col("piece").startswith(f"{A}v:"), F.substring(F.substring_index("piece", Z, 1), 4, 100000))
+    marker = F.when(F.col("piece").startswith(f"{A}v:"), F.substring(F.substring_index("piece", Z, 1), 4, 2**31 - 1))
     d = d.withColumn("marker", marker)
     return d.withColumn(
         "piece",

@@ -111,20 +111,45 @@ def dbl(text: Column) -> Column:
 
 
 def ebible(text: Column) -> Column:
-    """Copyright page: heading, translation in the link of its table of contents, language, first paragraph."""
+    """Copyright page: heading, translation in the link of its table of contents, language, first paragraph.
+
+    Such pages are no XML, so tags and texts are taken one after the other instead of as a tree.
+    """
+    tokens = F.regexp_extract_all(text, F.lit("<[^>]*>|[^<]+"), F.lit(0))
+
+    def read(t):
+        name = lambda x: F.lower(F.regexp_extract(x, "^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+        places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
+
+        def first(begin, meets):
+            """The first place from ``begin`` on whose token meets a condition."""
+            return F.get(F.filter(places, lambda i: (i >= begin) & meets(F.get(t, i - 1))), F.lit(0))
+
+        def within(begin, end, cut=()):
+            """The text behind the tag at ``begin`` up to the tag ``end``, or to a tag of ``cut``; null without an end."""
+            stop = first(begin + 1, lambda x: name(x) == end)
+            until = first(begin + 1, lambda x: name(x).isin([end, *cut]))
+            inner = F.filter(F.slice(t, begin + 1, F.greatest(until - begin - 1, F.lit(0))), lambda x: ~x.startswith("<"))
+            return F.when(begin.isNotNull() & stop.isNotNull(), F.array_join(inner, ""))
+
+        heading = first(F.lit(1), lambda x: name(x) == "h1")
+        contents = first(F.lit(1), lambda x: x.rlike("^<[^>]*class=[\"']toc[\"']"))
+        link = first(contents + 1, lambda x: x.rlike("\\S"))
+        label = first(F.lit(1), lambda x: x.rlike("Language:\\s*$"))
+        language = F.regexp_replace(shown(within(label + 1, "/a")), "\\(.*\\)$", "")
+        address = F.regexp_extract(F.get(t, link - 1), "^<a\\s[^>]*href=[\"'][^\"']*/([\\w-]+)[\"']", 1)
+        paragraph = first(F.lit(1), lambda x: name(x) == "p")
+        return _info(
+            shown(within(heading, "/h1")), F.nullif(address, F.lit("")),
+            F.when(name(F.get(t, label)) == "a", F.trim(language)), shown(within(paragraph, "/p", ["br"])))
+
     def shown(fragment):
         known = fragment
         for name, code in HTML_ENTITIES.items():
             known = F.replace(known, F.lit(f"&{name};"), F.lit(chr(code)))
-        return F.nullif(F.trim(_text(known)), F.lit(""))
-
-    def first(pattern, group=1):
-        return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+        return F.nullif(F.trim(tx.decoded(known)), F.lit(""))
 
-    language = F.regexp_replace(shown(first("(?s)Language:\\s*<a[^>]*>(.*?)</a>")), "\\(.*\\)$", "")
-    paragraph = F.regexp_replace(first("(?s)<p(?=[\\s>])[^>]*>(.*?)</p>"), "(?s)<br.*$", "")
-    link = "class=[\"']toc[\"'][^>]*>\\s*<a href=[\"'][^\"']*?/([\\w\\-]+)[\"']"
-    return _info(shown(first("(?s)<h1[^>]*>(.*?)</h1>")), first(link), F.trim(language), shown(paragraph))
+    return tx.let(tokens, read)
 
 
 READERS = {"paratext": paratext, "dbl": dbl, "ebible": ebible}
