@@ -112,6 +112,23 @@ def several_citations(spark, sf_dir):
     return flat(found.select("l_orderkey", F.explode("ranges").alias("r")), "r")
 
 
+@query("chapter_ranges", f"""WITH {vers_cte('kjv')}, r AS (SELECT l_orderkey, l_linenumber, v.book_ord, v.chapter AS c, v.chapter + 1 AS d, n.last_verse
+  FROM lineitem JOIN verse v ON v.verse_ord = {ORD} JOIN vers n ON n.book_ord = v.book_ord AND n.chapter = v.chapter + 1 WHERE v.book_ord IN ({PLAIN_BOOKS}))
+SELECT l_orderkey, l_linenumber, book_ord AS fb, c AS fc, 1 AS fv, book_ord AS tb, d AS tc,
+  CAST(CASE WHEN l_linenumber % 2 = 0 THEN last_verse ELSE 1 + l_orderkey % last_verse END AS INTEGER) AS tv FROM r""")
+def chapter_ranges(spark, sf_dir):
+    """From a chapter to the next one or to a verse in it: ``Name 3-4`` and ``Name 3-4,5``."""
+    kjv = chapters(spark, "kjv")
+    d = verse_refs(spark, sf_dir).where(f"book_ord in ({PLAIN_BOOKS})")
+    d = d.join(F.broadcast(dims.book_chapters(kjv)), ["vers_name", "book_ord"]).where("chapter < chapter_count")
+    verse = F.concat(F.lit(","), F.lit(1) + F.col("l_orderkey") % F.element_at("last_verses", F.col("chapter") + 1))
+    text = F.concat(_named("de", "book_ord"), F.lit(" "), F.col("chapter"), F.lit("-"), F.col("chapter") + 1,
+                    F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(verse), F.lit(" lesen"))
+    d = d.select("l_orderkey", "l_linenumber", text.alias("text"))
+    found = extract.find_citations(d, kjv, "text", "de", "kjv")
+    return flat(found.select("l_orderkey", "l_linenumber", F.explode("ranges").alias("r")), "r")
+
+
 def _named(lang, book):
     names = PLAIN_NAMES[lang]
     return F.get(F.array(*[F.lit(names.get(b)) for b in range(1, 67)]), F.col(book) - 1)
@@ -203,9 +220,9 @@ def _class(codes) -> str:
   CAST(sum(length(regexp_replace(text, '[A-Za-zÄäÖöÜü0-9.{_class(fixed.WHITESPACE_CODES)}{_class(fixed.LINE_CODES)}]', '', 'g'))) AS BIGINT) AS other
 FROM documents GROUP BY lang""")
 def character_categories(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "lang", "text")
+    d = table(spark, sf_dir, "documents", "lang", "text").select("lang", tx.category_counts(F.col("text"), "de").alias("c"))
     names = ["letter", "whitespace", "line", "fullstop", "digit", "other"]
-    return d.groupBy("lang").agg(*[F.sum(tx.category_count(F.col("text"), n, "de")).cast("long").alias(n) for n in names])
+    return d.select("lang", "c.*").groupBy("lang").agg(*[F.sum(n).cast("long").alias(n) for n in names])
 
 
 @query("normalized_text", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text,

@@ -176,7 +176,6 @@ WHITESPACE_CODES = [
     0x205F, 0x2060, 0x3000, 0xFEFF,
 ]
 LINE_CODES = [0x2D, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0xFE58, 0xFE63, 0xFF0D]
-SEPARATORS = ",;.-:&+"
 POSTFIX_LETTERS = "fabcd"
 MAX_UINT32 = 4294967295
 LONGEST_CHAPTER = 176
@@ -193,7 +192,6 @@ PARAGRAPH_MARKERS = (
     "ide sts rem h toc toca imt is ip ipi im imi ipq imq ipr ipc iq ili ib iot io iex imte ie mt mte cl cd ms mr s sr "
     "r d sp sd p m po cls pr pc pm pmo pmc pmr pi mi lit nb b ph q qr qc qa qm qd lh li lf lim cp"
 ).split()
-NOTE_MARKERS = ["f", "fe", "ef", "efe", "x", "ex"]
 NOTE_SECTION_MARKERS = "fr fq fqa fk ft fl fw fp fv fdc fm xo xop xk xq xt xta xot xnt xdc".split()
 CELL_MARKERS = ["th", "thr", "thc", "tc", "tcr", "tcc"]
 DEFAULT_ATTRIBUTES = {"w": "lemma", "rb": "gloss", "xt": "link-href", "jmp": "link-href", "ref": "loc"}
@@ -237,7 +235,6 @@ DEFAULT_MASKS = {
 }
 POLL_MS, DWELL_MS, TOLERANCE_PX = 250, 700, 8
 MIN_POLL_MS, MIN_DWELL_MS, MIN_TOLERANCE_PX = 50, 100, 0
-ENLARGEMENT_SCALES = (1.5, 2.0)
 
 
 def class_of(codes: list[int]) -> str:

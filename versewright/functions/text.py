@@ -19,26 +19,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def category(ch: Column, lang: str) -> Column:
-    """Category of one character: letter, whitespace, line, fullstop, digit or other."""
-    cases = [
-        (f"^[{fixed.LETTERS[lang]}]$", "letter"), (f"(?s)^[{WS}]$", "whitespace"), (f"^[{LINE}]$", "line"),
-        (r"^\.$", "fullstop"), ("^[0-9]$", "digit"),
-    ]
-    result = F.lit("other")
-    for pattern, name in reversed(cases):
-        result = F.when(ch.rlike(pattern), name).otherwise(result)
-    return result
-
+def category_counts(text: Column, lang: str) -> Column:
+    """How many characters of a text are of each category: ``STRUCT<letter, whitespace, line, fullstop, digit, other>``.
 
-def category_count(text: Column, name: str, lang: str) -> Column:
-    """How many characters of a text are of a category, counted without taking it apart."""
+    Letters are most of a text, so they are taken out once and the other categories counted in what is left.
+    """
     letters = fixed.LETTERS[lang]
-    kept = {
-        "letter": f"[^{letters}]+", "whitespace": f"[^{WS}]+", "line": f"[^{LINE}]+", "fullstop": "[^.]+", "digit": "[^0-9]+",
-        "other": f"[{letters}0-9.{WS}{LINE}]+",
-    }[name]
-    return F.char_length(F.regexp_replace(text, kept, ""))
+    without = lambda t, chars: F.char_length(F.regexp_replace(t, f"[{chars}]+", ""))
+
+    def counted(rest):
+        size = F.char_length(rest)
+        return F.struct(
+            (F.char_length(text) - size).alias("letter"), (size - without(rest, WS)).alias("whitespace"),
+            (size - without(rest, LINE)).alias("line"), (size - without(rest, ".")).alias("fullstop"),
+            (size - without(rest, "0-9")).alias("digit"), without(rest, f"0-9.{WS}{LINE}").alias("other"),
+        )
+
+    return let(F.regexp_replace(text, f"[{letters}]+", ""), counted)
 
 
 def normalized(text: Column, lang: str) -> Column:

@@ -117,39 +117,44 @@ def ebible(text: Column) -> Column:
     """
     tokens = F.regexp_extract_all(text, F.lit("<[^>]*>|[^<]+"), F.lit(0))
 
-    def read(t):
-        name = lambda x: F.lower(F.regexp_extract(x, "^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
-        places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
+    # A tag with its name, a text with an empty one.
+    named = F.transform(tokens, lambda x, i: F.struct(
+        (i + 1).alias("at"), F.lower(F.regexp_extract(x, "^<(/?[A-Za-z][A-Za-z0-9]*)", 1)).alias("name"), x.alias("shown")))
 
+    def read(t):
         def first(begin, meets):
             """The first place from ``begin`` on whose token meets a condition."""
-            return F.get(F.filter(places, lambda i: (i >= begin) & meets(F.get(t, i - 1))), F.lit(0))
+            return F.get(F.filter(t, lambda x: (x["at"] >= begin) & meets(x)), F.lit(0))["at"]
 
         def within(begin, end, cut=()):
             """The text behind the tag at ``begin`` up to the tag ``end``, or to a tag of ``cut``; null without an end."""
-            stop = first(begin + 1, lambda x: name(x) == end)
-            until = first(begin + 1, lambda x: name(x).isin([end, *cut]))
-            inner = F.filter(F.slice(t, begin + 1, F.greatest(until - begin - 1, F.lit(0))), lambda x: ~x.startswith("<"))
-            return F.when(begin.isNotNull() & stop.isNotNull(), F.array_join(inner, ""))
-
-        heading = first(F.lit(1), lambda x: name(x) == "h1")
-        contents = first(F.lit(1), lambda x: x.rlike("^<[^>]*class=[\"']toc[\"']"))
-        link = first(contents + 1, lambda x: x.rlike("\\S"))
-        label = first(F.lit(1), lambda x: x.rlike("Language:\\s*$"))
-        language = F.regexp_replace(shown(within(label + 1, "/a")), "\\(.*\\)$", "")
-        address = F.regexp_extract(F.get(t, link - 1), "^<a\\s[^>]*href=[\"'][^\"']*/([\\w-]+)[\"']", 1)
-        paragraph = first(F.lit(1), lambda x: name(x) == "p")
-        return _info(
-            shown(within(heading, "/h1")), F.nullif(address, F.lit("")),
-            F.when(name(F.get(t, label)) == "a", F.trim(language)), shown(within(paragraph, "/p", ["br"])))
+            stop = first(begin + 1, lambda x: x["name"] == end)
+            until = first(begin + 1, lambda x: x["name"].isin([end, *cut]))
+            inner = F.filter(F.slice(t, begin + 1, F.greatest(until - begin - 1, F.lit(0))), lambda x: ~x["shown"].startswith("<"))
+            return F.when(begin.isNotNull() & stop.isNotNull(), F.array_join(F.transform(inner, lambda x: x["shown"]), ""))
+
+        places = F.struct(
+            first(F.lit(1), lambda x: x["name"] == "h1").alias("heading"), first(F.lit(1), lambda x: x["name"] == "p").alias("paragraph"),
+            first(F.lit(1), lambda x: x["shown"].rlike("^<[^>]*class=[\"']toc[\"']")).alias("contents"),
+            first(F.lit(1), lambda x: x["shown"].rlike("Language:\\s*$")).alias("label"))
+
+        def found(at):
+            link = first(at["contents"] + 1, lambda x: x["shown"].rlike("\\S"))
+            address = F.regexp_extract(F.get(t, link - 1)["shown"], "^<a\\s[^>]*href=[\"'][^\"']*/([\\w-]+)[\"']", 1)
+            language = tx.let(at["label"] + 1, lambda a: F.regexp_replace(shown(within(a, "/a")), "\\(.*\\)$", ""))
+            return _info(
+                shown(within(at["heading"], "/h1")), F.nullif(address, F.lit("")),
+                F.when(F.get(t, at["label"])["name"] == "a", F.trim(language)), shown(within(at["paragraph"], "/p", ["br"])))
+
+        return tx.let(places, found)
 
     def shown(fragment):
         known = fragment
         for name, code in HTML_ENTITIES.items():
             known = F.replace(known, F.lit(f"&{name};"), F.lit(chr(code)))
-        return F.nullif(F.trim(tx.decoded(known)), F.lit(""))
+        return tx.let(known, lambda k: F.nullif(F.trim(tx.decoded(k)), F.lit("")))
 
-    return tx.let(tokens, read)
+    return tx.let(named, read)
 
 
 READERS = {"paratext": paratext, "dbl": dbl, "ebible": ebible}
