@@ -151,19 +151,19 @@ def position_texts(words: DataFrame, searches: DataFrame) -> DataFrame:
     )
     # The islands without the texts, read several times below.
     runs = written(with_islands(slim).select("image_id", "word_idx", "line_run", "para_run", "line_no"), "islands")
-    runs = text_runs(words, runs, cursor_words(words, searches))
+    runs = written(text_runs(words, runs, cursor_words(words, searches)), "runs")
     key = ["image_id", "search_id", "x", "y"]
-    # The words of a run by its ordinals: an equi-join, the run as wide as its own text.
-    wanted = runs.withColumn("word_idx", F.explode(F.sequence("first_word", "last_word")))
+    # The words of a run by its ordinals, an equi-join; each run is gathered and located once, however many searches
+    # point at it.
+    run = ["image_id", "first_word", "last_word", "run_text"]
+    wanted = runs.select(*run).distinct().withColumn("word_idx", F.explode(F.sequence("first_word", "last_word")))
     plain = words.select("image_id", F.col("word_idx"), F.col("text"), "box")
-    members = attach(wanted, plain, ["image_id", "word_idx"]).groupBy(*key, "run_no").agg(
-        F.first("run_text").alias("run_text"), F.first("focus_first").alias("focus_first"),
-        F.first("focus_last").alias("focus_last"),
+    members = attach(wanted, plain, ["image_id", "word_idx"]).groupBy(*run).agg(
         F.array_sort(F.collect_list(F.struct("word_idx", "text", "box"))).alias("w"),
     )
-    placed = members.select(
-        *key, "focus_first", "focus_last",
-        F.struct("run_no", "run_text", located_words(F.col("w"), F.col("run_text")).alias("found")).alias("run"),
+    located = members.select(*run, located_words(F.col("w"), F.col("run_text")).alias("found"))
+    placed = attach(runs, located, run).select(
+        *key, "focus_first", "focus_last", F.struct("run_no", "run_text", "found").alias("run"),
     )
     gathered = placed.groupBy(*key).agg(
         F.first("focus_first").alias("focus_first"), F.first("focus_last").alias("focus_last"),
