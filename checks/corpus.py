@@ -249,3 +249,31 @@ def marker_numbers(spark, sf_dir):
 def escaped_markup(spark, sf_dir):
     d = table(spark, sf_dir, "conversations", "conv_id", "turn", "text || ' <&>' as t")
     return d.select("conv_id", "turn", F.md5(tx.section(F.lit("begin"), tx.escaped(F.col("t")))).alias("digest"))
+
+
+# An archive for every page: a file that reads, one of no known book, one that's no text, one of no reader, one without its
+# root; half with project settings, a third with bundle metadata.
+def _archives(spark, sf_dir):
+    d = table(spark, sf_dir, "pages", "page_id", "html", "'f' || page_id || '.zip' as file")
+    body = r"""case page_id % 5 when 0 then '\\id RUT\n\\c 1\n\\p\n\\v 1 ' || translate(html, '\\\n', '  ') when 1 then '\\id ZZZ\n\\c 1\n\\p\n\\v 1 x'
+      when 3 then html else '<a>' || page_id || '</a>' end"""
+    texts = d.selectExpr(
+        "file", "0 as entry_idx", "case page_id % 5 when 0 then 'x/RUT.usfm' when 1 then 'ZZZ.usfm' when 2 then 'GEN.usfm' when 3 then 'a.txt' else 'b.usx' end as entry",
+        f"case page_id % 5 when 2 then concat(unhex('FF'), cast(html as binary)) else cast({body} as binary) end as content")
+    settings = d.where("page_id % 2 = 0").selectExpr("file", "1 as entry_idx", "'settings.xml' as entry",
+        "cast('<ScriptureText><FullName>S' || page_id || '</FullName><Name>s</Name></ScriptureText>' as binary) as content")
+    bundle = d.where("page_id % 3 = 0").selectExpr("file", "2 as entry_idx", "'metadata.xml' as entry",
+        "cast('<DBLMetadata><identification><name>M' || page_id || '</name></identification></DBLMetadata>' as binary) as content")
+    return texts.unionByName(settings).unionByName(bundle)
+
+
+@query("archive_status", """SELECT 'f' || page_id || '.zip' AS file, CASE page_id % 5 WHEN 1 THEN 'no book of the app' WHEN 2 THEN 'GEN.usfm: no UTF-8 text'
+  WHEN 3 THEN 'no reader' WHEN 4 THEN 'b.usx: no usx root element' END AS error FROM pages""")
+def archive_status(spark, sf_dir):
+    return archives.read_archives(_archives(spark, sf_dir))["status"].select("file", "error")
+
+
+@query("archive_info", """SELECT 'f' || page_id || '.zip' AS file, CASE WHEN page_id % 2 = 0 THEN 'S' || page_id WHEN page_id % 3 = 0 THEN 'M' || page_id
+  ELSE 'f' || page_id END AS name, CASE WHEN page_id % 2 = 0 THEN 's' END AS abbreviation FROM pages WHERE page_id % 5 = 0""")
+def archive_info(spark, sf_dir):
+    return archives.read_archives(_archives(spark, sf_dir))["info"].select("file", "name", "abbreviation")
