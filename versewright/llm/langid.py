@@ -24,8 +24,8 @@ BUCKETS = 1 << BITS
 #: Labelled rows that a model is fitted on, at most twice as many; a documented bound of the fit, not of the prediction.
 SAMPLE_ROWS = 2000
 EPOCHS, RATE = 6, 0.5
-#: A prediction of a lower calibrated probability is rejected.
-LEAST_SCORE = 0.5
+#: A prediction of a lower calibrated probability is rejected. Under one half, so that texts of two known languages stay.
+LEAST_SCORE = 0.4
 UNDETERMINED = "und"
 
 def features(text: str) -> Iterator[np.ndarray]:
