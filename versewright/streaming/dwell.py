@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -81,12 +81,14 @@ def dwells(
     """
     _, dwell, tol = limits(dwell_ms=dwell_ms, tolerance=tolerance)
     cut = segments(samples, tol, bucket_ms)
-    # A segment shorter than the dwell time cannot fire; short ones never reach Python.
-    long_enough = cut.groupBy("key", "segment").agg((F.max("ts") - F.min("ts")).alias("span")).where(F.col("span") >= dwell)
-    d = cut.join(long_enough.select("key", "segment"), ["key", "segment"])
+    # A segment shorter than the dwell time cannot fire; short ones never reach Python. The window's shuffle puts whole
+    # segments together, so that sorting within partitions is all the fold needs.
+    whole = Window.partitionBy("key", "segment")
+    d = cut.where(F.col("ts").isNotNull()).withColumn("__span", F.max("ts").over(whole) - F.min("ts").over(whole))
+    d = d.where(F.col("__span") >= dwell)
     d = d.select(F.col("key").cast("string").alias("key"), "segment", "ts", F.col("x").cast("double").alias("x"),
                  F.col("y").cast("double").alias("y"))
-    ordered = d.repartition("key", "segment").sortWithinPartitions("key", "segment", "ts", "x", "y")
+    ordered = d.sortWithinPartitions("key", "segment", "ts", "x", "y")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, rest = None, Rest()
