@@ -128,7 +128,8 @@ def links(nodes: DataFrame) -> DataFrame:
     index = nodes.select("fp", _variants().alias("key"))
     buckets = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "buckets")
     found = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)).select("u", "v")
-    members = index.join(buckets.where("n > 2").select("key", "n"), "key")
+    # By sorting at every size: the index is many times as large as what it's joined with, and hot keys can be split.
+    members = index.join(buckets.where("n > 2").select("key", "n").hint("merge"), "key")
     members = members.withColumn("path", F.expr("cast(array() as array<struct<piece: int, bits: bigint>>)"))
     for level in range(len(CUTS) + 1):
         last = level == len(CUTS)
