@@ -73,6 +73,17 @@ def test_every_line_keeps_its_first_copy(spark):
     assert got[40].text == ""
 
 
+def test_a_passage_whose_lines_stand_earlier_in_another_order(spark):
+    rnd = random.Random(6)
+    passage = [line(rnd, 10) for _ in range(6)]
+    own = [[line(rnd, 30) for _ in range(6)] for _ in range(9)]
+    docs = {0: [x for pair in zip(own[0], passage[::-1]) for x in pair]}
+    docs |= {i: own[i][:3] + passage + own[i][3:] for i in range(5, 9)}
+    got = kept(spark, [(i, "\n".join(x)) for i, x in docs.items()])
+    assert got[0].line_cuts == [] and got[5].line_cuts == []
+    assert all(got[i].text.split("\n") == own[i] and 5 in got[i].line_partners for i in range(6, 9))
+
+
 def test_a_very_common_passage(spark):
     rnd = random.Random(2)
     common = line(rnd, 55)

@@ -2,7 +2,8 @@
 
 Documents that overlap are found through the hashes of their lines. A line that several documents hold nominates one
 partner for each of them, the earliest document that holds it, so that a line of n documents gives n - 1 pairs however
-common it is, and the first copy of a line is never deleted. Each later document is aligned with each partner by patience
+common it is, and the first copy of a line is never deleted. So does each shortest run of lines that has enough words, as
+the earliest document of a line needn't hold the lines next to it: a run that an earlier document holds goes. Each later document is aligned with each partner by patience
 diff over the lines that nominated it, and what lies in aligned blocks goes.
 """
 
@@ -22,31 +23,57 @@ from versewright.session import written
 #: Blocks of fewer words stay: headings, licence lines and other short lines repeat by nature.
 LEAST_WORDS = 20
 
-_LINES = "doc_id long, digest long, line long, places array<int>, words int"
+_LINES = "doc_id long, digest long, line long, places array<int>, words int, lines int"
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different line of a document that isn't blank."""
+def _runs(keys: dict[int, tuple[int, int]], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """Place, number of lines and hash of the shortest run of several lines from each place that has the words.
+
+    ``keys`` has hash and words of each line that isn't blank, by place.
+    """
+    for place in keys:
+        stop, words = place, 0
+        while words < least_words and stop in keys:
+            words += keys[stop][1]
+            stop += 1
+        if words >= least_words and stop - place > 1:
+            run = b"".join(keys[p][0].to_bytes(8, "little", signed=True) for p in range(place, stop))
+            yield place, stop - place, xxh3_64_intdigest(b"\n" + run) - (1 << 63)
+
+
+def _liner(least_words: int):
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _lines(batches, least_words)
+
+    return lines
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each different line of a document that isn't blank, and for each different run of lines."""
     for batch in batches:
-        out = [[] for _ in range(5)]
+        out = [[] for _ in range(6)]
         for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), values(batch.column("text"))):
-            seen: dict[int, tuple[list[int], int]] = {}
+            seen: dict[int, tuple[list[int], int, int]] = {}
+            keys: dict[int, tuple[int, int]] = {}
             for place, line in enumerate(text.split(b"\n")):
                 if words := line.split():
                     key = xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-                    seen.setdefault(key, ([], len(words)))[0].append(place)
-            for key, (places, words) in seen.items():
-                for column, value in zip(out, (doc_id, digest, key, places, words)):
+                    seen.setdefault(key, ([], len(words), 1))[0].append(place)
+                    keys[place] = key, len(words)
+            for place, n, key in _runs(keys, least_words):
+                seen.setdefault(key, ([], 0, n))[0].append(place)
+            for key, (places, words, n) in seen.items():
+                for column, value in zip(out, (doc_id, digest, key, places, words, n)):
                     column.append(value)
             if len(out[0]) > 50_000:
                 yield _batch(out)
-                out = [[] for _ in range(5)]
+                out = [[] for _ in range(6)]
         yield _batch(out)
 
 
 def _batch(out) -> pa.RecordBatch:
-    types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()
-    return pa.RecordBatch.from_arrays(list(map(pa.array, out, types)), ["doc_id", "digest", "line", "places", "words"])
+    types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays(list(map(pa.array, out, types)), ["doc_id", "digest", "line", "places", "words", "lines"])
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,9 +145,14 @@ def aligned_blocks(shared: list[tuple[list[int], list[int], int]]) -> Iterator[t
 def _cuts(matches: list[dict], least_words: int) -> list[dict]:
     """Runs of lines to delete, both ends included. A block that has moved counts only if it's long enough by itself."""
     partners: dict[tuple[int, int], list[tuple[list[int], list[int], int]]] = {}
+    sizes: dict[int, int] = {}
     for m in matches:
+        if m["lines"] > 1:
+            continue
+        sizes.update(dict.fromkeys(m["places"], m["words"]))
         partners.setdefault((m["first_id"], m["first_digest"]), []).append((m["places"], m["first_places"], m["words"]))
-    held: dict[int, int] = {}
+    # The lines of a run that an earlier document holds are held by earlier documents too, so that their words are known.
+    held = {p: sizes[p] for m in matches if m["lines"] > 1 for start in m["places"] for p in range(start, start + m["lines"])}
     for shared in partners.values():
         for block, moved in aligned_blocks(shared):
             if not moved or sum(words for _, words in block) >= least_words:
@@ -151,13 +183,13 @@ def _aligner(least_words: int):
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, digest, cuts, partners``: lines to delete of each later document that has any, with the earlier ones."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    lines = written(rows.where(F.col("text").isNotNull()).mapInArrow(_lines, _LINES), "lines")
+    lines = written(rows.where(F.col("text").isNotNull()).mapInArrow(_liner(least_words), _LINES), "lines")
     holder = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest", "places"))
     first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = written(first.select("line", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "digest", "places")]), "first")
     first = first.withColumnRenamed("first_doc_id", "first_id")
     pairs = lines.join(first, "line").where("doc_id is null or doc_id > first_id")
-    match = F.struct("first_id", "first_digest", "places", "first_places", "words")
+    match = F.struct("first_id", "first_digest", "places", "first_places", "words", "lines")
     lists = pairs.groupBy("doc_id", "digest").agg(F.collect_set(match).alias("matches"))
     cuts = lists.mapInArrow(
         _aligner(least_words), "doc_id long, digest long, cuts array<struct<start: int, stop: int>>, partners array<bigint>")
