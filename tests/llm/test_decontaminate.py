@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -117,3 +118,10 @@ def test_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == 6
     assert d.clean(odd, items.where("false")).count() == 11
     assert d.contaminated(empty, items).count() == 0
+
+
+def test_an_index_grows_with_its_postings():
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(1000)]
+    index = d.build(items, 1000, {w: 1 for _, t in items for w in t.split()}, 30.0)
+    assert len(pickle.dumps(index)) < 20_000_000
+    assert [x[0] for x in d.leaks("and then " + items[777][1] + " so", [index], 0.5, 0.8)] == [777]

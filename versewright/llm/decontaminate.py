@@ -34,6 +34,8 @@ BLOCK_ITEMS = 4
 SHORT_ITEM = 64
 #: Postings in one index that goes to the executors; more items make more indexes, each asked with all documents.
 POSTINGS = 1_000_000
+#: Sums of block maxima held at a time.
+BOUNDS = 1 << 22
 #: Words of a document worked on at a time.
 STEP_WORDS = 1 << 17
 
@@ -80,8 +82,28 @@ class Index:
     longest: int
     terms: dict[str, int]
     postings: list[tuple[np.ndarray, np.ndarray]]  # items, rising, and their impacts
-    block_max: np.ndarray  # by term and block
-    block_start: np.ndarray  # where the block begins within the term's postings
+    #: Entries of a term and a block that holds it, by term: where the term's begin, the block, its largest impact, and from
+    #: where to where its postings lie within the term's. There are no more of them than postings.
+    first_entry: np.ndarray
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_start: np.ndarray
+    entry_stop: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK_ITEMS)
+
+    def _entries(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of these terms, and the place of each one's term in ``terms``."""
+        counts = self.first_entry[terms + 1] - self.first_entry[terms]
+        of = np.repeat(np.arange(len(terms)), counts)
+        return np.arange(len(of)) - (np.cumsum(counts) - counts)[of] + self.first_entry[terms][of], of
+
+    def _bounds(self, terms: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Sums of block maxima by row and block; ``row`` is that of each term."""
+        entries, of = self._entries(terms)
+        return np.bincount(row[of] * self.blocks + self.entry_block[entries], self.entry_max[entries], rows * self.blocks).reshape(rows, self.blocks)
 
     def search(self, words: list[str], least: float) -> Iterator[tuple[int, int, int, float]]:
         """``start, end, item, score`` of all items above the threshold, passage by passage."""
@@ -98,12 +120,16 @@ class Index:
             np.minimum(stretch, last) * size + own, (np.maximum(stretch, 1) - 1) * size + own)))
         passage, own = np.divmod(pairs, size)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1))
-        bounds = np.add.reduceat(self.block_max[own], starts, axis=0)
-        stops = [*starts[1:].tolist(), len(own)]
-        for k in np.flatnonzero(bounds.max(axis=1) >= least - 1e-6).tolist():
-            start = int(passage[starts[k]]) * self.longest
-            for item, score in self.wand(own[starts[k]:stops[k]], least, bounds[k]):
-                yield start, start + 2 * self.longest, item, score
+        edges = [*starts.tolist(), len(own)]
+        step = max(1, BOUNDS // self.blocks)
+        for a in range(0, len(starts), step):
+            b = min(a + step, len(starts))
+            row = np.repeat(np.arange(b - a), np.diff(edges[a:b + 1]))
+            bounds = self._bounds(own[edges[a]:edges[b]], row, b - a)
+            for k in np.flatnonzero(bounds.max(axis=1) >= least - 1e-6).tolist():
+                start = int(passage[edges[a + k]]) * self.longest
+                for item, score in self.wand(own[edges[a + k]:edges[a + k + 1]], least, bounds[k]):
+                    yield start, start + 2 * self.longest, item, score
 
     def wand(self, terms: np.ndarray, least: float, bounds: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
         """Items whose impacts over these different terms sum to ``least``, by block-max WAND.
@@ -112,14 +138,15 @@ class Index:
         others only the postings of the block are opened.
         """
         if bounds is None:
-            bounds = self.block_max[terms].sum(axis=0)
+            bounds = self._bounds(terms, np.zeros(len(terms), np.int64), 1)[0]
+        entries, of = self._entries(terms)
+        blocks = self.entry_block[entries]
         for block in np.flatnonzero(bounds >= least - 1e-6).tolist():
-            ceilings = self.block_max[terms, block]
-            there = np.flatnonzero(ceilings)
+            there = np.flatnonzero(blocks == block)
             alive = []
-            for t, most in zip(terms[there].tolist(), ceilings[there].tolist()):
+            for t, e in zip(terms[of[there]].tolist(), entries[there].tolist()):
                 items, impacts = self.postings[t]
-                start, stop = self.block_start[t, block], self.block_start[t, block + 1]
+                start, stop, most = self.entry_start[e], self.entry_stop[e], float(self.entry_max[e])
                 alive.append((items[start:stop].tolist(), impacts[start:stop].tolist(), most))
             yield from self._within(alive, least - 1e-9)
 
@@ -176,16 +203,17 @@ def build(items: list[tuple[object, str]], document_count: int, frequency: dict[
         for w, x in impacts.items():
             postings.setdefault(w, []).append((n, x / own))
     terms = {w: i for i, w in enumerate(sorted(postings))}
-    block_max = np.zeros((len(terms), -(-len(items) // BLOCK_ITEMS)), np.float32)
-    lists = []
+    lists, first_entry, entries = [], [0], [[], [], [], []]
     for w in terms:
         numbers, impacts = np.array([n for n, _ in postings[w]]), np.array([x for _, x in postings[w]])
-        np.maximum.at(block_max[terms[w]], numbers // BLOCK_ITEMS, impacts)
         lists.append((numbers, impacts))
-    edges = np.arange(block_max.shape[1] + 1) * BLOCK_ITEMS
-    block_start = np.array([np.searchsorted(numbers, edges) for numbers, _ in lists], np.int32)
+        blocks, begins = np.unique(numbers // BLOCK_ITEMS, return_index=True)
+        for all_of, own in zip(entries, (blocks, np.maximum.reduceat(impacts, begins), begins, np.append(begins[1:], len(numbers)))):
+            all_of.append(own)
+        first_entry.append(first_entry[-1] + len(blocks))
+    entries = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in entries]
     longest = max(SHORT_ITEM, max((len(q) + len(a) for q, a in split), default=0))
-    return Index([i for i, _ in items], split, longest, terms, lists, block_max, block_start)
+    return Index([i for i, _ in items], split, longest, terms, lists, np.array(first_entry), *entries)
 
 
 def leaks(text: str, indexes: list[Index], least_score: float, least_overlap: float) -> list[tuple]:
