@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from versewright.llm import bpe, decontaminate, images, langid, licenses, lines, quality, sharding, simhash, toxicity
+from versewright.llm import bpe, decontaminate, filters, images, langid, licenses, lines, quality, sharding, simhash, toxicity
 from versewright.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def toxicity_scores(spark, sf_dir):
 def simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op13_filter_audit", filters.audit_sql())
+def filter_audit(spark, sf_dir):
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
