@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from versewright.llm import bpe, decontaminate, filters, images, langid, licenses, lines, quality, sharding, simhash, toxicity
+from versewright.llm import bpe, decontaminate, filters, images, langid, licenses, lines, quality, sharding, simhash, toxicity, tries
 from versewright.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -103,6 +103,13 @@ def simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op12_conversation_trie", tries.rebuilt_nodes_sql())
+def conversation_trie(spark, sf_dir):
+    own = tries.paths(table(spark, sf_dir, "conversations"))
+    shared = F.pmod(id_hash(F.col("conv_id")), F.lit(4)).cast("int")
+    return tries.nodes(tries.rebuilt(own, shared, 3, F.col("conv_id") - F.col("conv_id") % 20))
+
+
 @query("op13_filter_audit", filters.audit_sql())
 def filter_audit(spark, sf_dir):
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
