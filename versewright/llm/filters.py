@@ -22,10 +22,11 @@ from versewright.session import written
 
 FILTERS = "ABCDE"
 #: A shard ends once its texts have so many bytes. It has one row for a document at least.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, MARKS = 200, 50, 3, b"#$%&*|"
 
-_ROW = "struct<doc_id: bigint, part: string, digest: binary, code_points: bigint, capitals: bigint, marked: boolean>"
+_FIELDS = "doc_id bigint, part string, digest binary, code_points bigint, capitals bigint, marked boolean"
+_ROW = f"struct<{_FIELDS.replace(' ', ': ').replace(',:', ',')}>"
 _SHARD = f"rows array<{_ROW}>, starts array<bigint>, columns array<int>, counts array<int>, words array<binary>"
 
 
@@ -76,59 +77,61 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _shard(rows, texts)
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for starts, columns, counts, numbers, rows in zip(*(batch.column(c) for c in ("starts", "columns", "counts", "numbers", "rows"))):
-            numbers = numbers.values.to_numpy(zero_copy_only=False)
-            starts, columns = starts.values.to_numpy(), numbers[columns.values.to_numpy(zero_copy_only=False)]
-            # Within a row, columns stand in the order of the dictionary.
-            at = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            order = np.lexsort((columns, at))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([starts], pa.list_(pa.int64())), pa.array([columns[order]], pa.list_(pa.int64())),
-                pa.array([counts.values.to_numpy(zero_copy_only=False)[order]], pa.list_(pa.int32())),
-                pa.array([rows.as_py()], rows.type),
-            ], ["starts", "columns", "counts", "rows"])
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for starts, counts, rows in zip(batch.column("starts"), batch.column("counts"), batch.column("rows")):
-            starts, counts = starts.values.to_numpy(), counts.values.to_numpy(zero_copy_only=False)
-            before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-            fields = dict(zip([f.name for f in rows.values.type], rows.values.flatten()))
-            out = fields | {"words": pa.array(before[starts[1:]] - before[starts[:-1]]), "distinct_words": pa.array(np.diff(starts))}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+def _encoded(sums: bool):
+    """Shards with the columns renumbered; with ``sums`` what each row of them sums up to instead."""
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                cells = (batch.column(c)[i].values for c in ("starts", "columns", "counts", "numbers"))
+                starts, columns, counts, numbers = (c.to_numpy(zero_copy_only=False) for c in cells)
+                # Within a row, columns stand in the order of the dictionary.
+                order = np.lexsort((numbers[columns], np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+                columns, counts = numbers[columns[order]], counts[order]
+                if not sums:
+                    cells = pa.array([columns], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("starts").slice(i, 1), *cells, batch.column("rows").slice(i, 1)], ["starts", "columns", "counts", "rows"])
+                    continue
+                before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+                rows = batch.column("rows")[i].values
+                out = dict(zip([f.name for f in rows.type], rows.flatten()))
+                out |= {"words": pa.array(before[starts[1:]] - before[starts[:-1]]), "distinct_words": pa.array(np.diff(starts))}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return encoded
 
 
 def dictionary(shards: DataFrame) -> DataFrame:
-    """``word, number``: all words of ``shards (words)``, numbered from 0 without gaps."""
-    found = shards.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("shards"))
-    found = written(found.select("word", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("at")), "words")
-    # One row for each task that wrote words: where its numbers begin.
-    pieces = found.groupBy("piece").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("piece", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(F.broadcast(pieces), "piece").select("word", (F.col("base") + F.col("at") - F.col("first")).alias("number"))
+    """``shard, place, word, number`` of the words of ``shards (shard, words)``: equal words have one number in all shards.
+
+    Words are dealt to buckets by hash; within a bucket the order of the words numbers them, so that numbers are alike
+    whenever and wherever a task is run, and few numbers are left out.
+    """
+    buckets = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = shards.select("shard", F.posexplode("words").alias("place", "word"))
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return own.select("shard", "place", "word", ((rank - 1).cast("long") * buckets + F.col("bucket")).alias("number"))
 
 
-def matrix(docs: DataFrame) -> DataFrame:
+def matrix(docs: DataFrame, sums: bool = False) -> DataFrame:
     """Document-term matrix of ``docs (doc_id, text, lang)``, a row for each shard: ``starts, columns, counts, rows``.
 
     ``columns`` are numbers of the dictionary of all shards; ``rows`` describes the documents of the shard. Words are what
-    stands between ASCII white space, by case. Null texts are empty ones, a null language is the part ``''``.
+    stands between ASCII white space, by case. Null texts are empty ones, a null language is the part ``''``. With ``sums``
+    there is a row for each document instead, with its ``words`` and ``distinct_words``.
     """
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     shards = written(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    own = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    # A word stands once in a shard, so that none is hot here; a list is as long as its shard has words.
-    numbers = own.join(dictionary(shards), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))
-    numbers = numbers.select("shard", F.col("numbers.number").alias("numbers"))
-    found = shards.drop("words").join(numbers, "shard", "left")
+    # A list is as long as its shard has words, which its bytes bound.
+    numbers = dictionary(shards).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))
+    found = shards.drop("words").join(numbers.select("shard", F.col("numbers.number").alias("numbers")), "shard", "left")
     found = found.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<bigint>")))
-    return found.mapInArrow(_renumbered, f"starts array<bigint>, columns array<bigint>, counts array<int>, rows array<{_ROW}>")
+    if sums:
+        return found.mapInArrow(_encoded(True), f"{_FIELDS}, words bigint, distinct_words bigint")
+    return found.mapInArrow(_encoded(False), f"starts array<bigint>, columns array<bigint>, counts array<int>, rows array<{_ROW}>")
 
 
 def flagged(docs: DataFrame) -> DataFrame:
@@ -138,10 +141,7 @@ def flagged(docs: DataFrame) -> DataFrame:
     for C (over 3 % capitals A-Z), 8 for D (holds one of ``#$%&*|``), 16 for E (the text of a smaller id). A row without an
     id has none smaller and is smaller than none; rows of one id don't repeat each other.
     """
-    rows = matrix(docs).select("starts", "counts", "rows")
-    rows = rows.mapInArrow(_sums, (
-        "doc_id long, part string, digest binary, code_points long, capitals long, marked boolean, words long, distinct_words long"))
-    rows = written(rows, "flagged")
+    rows = written(matrix(docs, True), "flagged")
     # Texts that stand once have no smaller id; of the rest there is a row a text here.
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(first, "digest", "left")
