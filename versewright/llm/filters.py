@@ -11,10 +11,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versewright.llm.common import values
@@ -27,7 +28,7 @@ LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, MARKS = 200, 50, 3,
 
 _FIELDS = "doc_id bigint, part string, digest binary, code_points bigint, capitals bigint, marked boolean"
 _ROW = f"struct<{_FIELDS.replace(' ', ': ').replace(',:', ',')}>"
-_SHARD = f"rows array<{_ROW}>, starts array<bigint>, columns array<int>, counts array<int>, words array<binary>"
+_SHARD = f"rows array<{_ROW}>, starts array<bigint>, columns array<int>, counts array<int>, words array<array<binary>>"
 
 
 class _Words(dict):
@@ -38,14 +39,22 @@ class _Words(dict):
         return number
 
 
-def _shard(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+def _shard(rows: list[tuple], texts: list[bytes], buckets: int) -> pa.RecordBatch:
     words, codes, sizes = _Words(), [], []
     for text in texts:
         tokens = text.split()  # bytes split at \x20 and \x09-\x0D
         codes.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
         sizes.append(len(tokens))
+    by_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
+    bucket = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+    for word, k in zip(words, bucket.tolist()):
+        by_bucket[k].append(word)
+    column = np.empty(len(words), np.int64)
+    column[np.argsort(bucket, kind="stable")] = np.arange(len(words))
     wide = max(len(words), 1)
-    cells, counts = np.unique(np.concatenate(codes) + np.repeat(np.arange(len(texts)) * wide, sizes), return_counts=True)
+    del words
+    codes = column[np.concatenate(codes)]
+    cells, counts = np.unique(codes + np.repeat(np.arange(len(texts)) * wide, sizes), return_counts=True)
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * wide)
     kind = pa.list_(pa.struct([
         ("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("code_points", pa.int64()),
@@ -54,27 +63,44 @@ def _shard(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([[dict(zip(names, r)) for r in rows]], kind), pa.array([starts], pa.list_(pa.int64())),
         pa.array([(cells % wide).astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
-        pa.array([list(words)], pa.list_(pa.binary())),
+        pa.array([by_bucket], pa.list_(pa.list_(pa.binary()))),
     ], ["rows", "starts", "columns", "counts", "words"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(256, bool)
-    marks[list(MARKS)] = True
-    rows, texts, held = [], [], 0
+def _sharder(buckets: int):
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(256, bool)
+        marks[list(MARKS)] = True
+        rows, texts, held = [], [], 0
+        for batch in batches:
+            for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), values(batch.column("text"))):
+                data = np.frombuffer(text, np.uint8)
+                rows.append((
+                    doc_id, part, hashlib.sha256(text).digest(), int(((data & 0xC0) != 0x80).sum()),
+                    int(((data >= 65) & (data <= 90)).sum()), bool(marks[data].any())))
+                texts.append(text)
+                held += len(text)
+                if held >= SHARD_BYTES:
+                    yield _shard(rows, texts, buckets)
+                    rows, texts, held = [], [], 0
+        if rows:
+            yield _shard(rows, texts, buckets)
+
+    return shards
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers, from 0 in each bucket, of the words of rows sorted by bucket and shard."""
+    known, last = _Words(), None
     for batch in batches:
-        for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), values(batch.column("text"))):
-            data = np.frombuffer(text, np.uint8)
-            rows.append((
-                doc_id, part, hashlib.sha256(text).digest(), int(((data & 0xC0) != 0x80).sum()),
-                int(((data >= 65) & (data <= 90)).sum()), bool(marks[data].any())))
-            texts.append(text)
-            held += len(text)
-            if held >= SHARD_BYTES:
-                yield _shard(rows, texts)
-                rows, texts, held = [], [], 0
-    if rows:
-        yield _shard(rows, texts)
+        numbers = []
+        for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+            if bucket != last:
+                known, last = _Words(), bucket
+            words = words.as_py()
+            numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        numbers = pa.array(numbers, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("bucket"), numbers], ["shard", "bucket", "numbers"])
 
 
 def _encoded(sums: bool):
@@ -101,17 +127,15 @@ def _encoded(sums: bool):
     return encoded
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``shard, place, word, number`` of the words of ``shards (shard, words)``: equal words have one number in all shards.
+def dictionary(shards: DataFrame, buckets: int) -> DataFrame:
+    """``shard, bucket, numbers`` for the words of each bucket of ``shards (shard, words)``, in their order.
 
-    Words are dealt to buckets by hash; within a bucket the order of the words numbers them, so that numbers are alike
-    whenever and wherever a task is run, and few numbers are left out.
+    Words are in buckets by their hash; within a bucket the first shard to hold a word numbers it, in the order of shards,
+    so that numbers are alike whenever and wherever a task is run. A task holds the words of one bucket at a time.
     """
-    buckets = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    own = own.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    return own.select("shard", "place", "word", ((rank - 1).cast("long") * buckets + F.col("bucket")).alias("number"))
+    own = shards.select("shard", F.posexplode("words").alias("bucket", "words"))
+    own = own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+    return own.mapInArrow(_numbered, "shard long, bucket int, numbers array<int>")
 
 
 def matrix(docs: DataFrame, sums: bool = False) -> DataFrame:
@@ -124,11 +148,12 @@ def matrix(docs: DataFrame, sums: bool = False) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    shards = written(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    # A list is as long as its shard has words, which its bytes bound.
-    numbers = dictionary(shards).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))
-    found = shards.drop("words").join(numbers.select("shard", F.col("numbers.number").alias("numbers")), "shard", "left")
-    found = found.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<bigint>")))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = written(rows.mapInArrow(_sharder(buckets), _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    # One row a bucket, together as many numbers as the shard has words, which its bytes bound.
+    lists = dictionary(shards, buckets).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "numbers"))).alias("lists"))
+    whole = F.transform("lists", lambda x: F.transform(x["numbers"], lambda n: n.cast("long") * buckets + x["bucket"]))
+    found = shards.drop("words").join(lists.select("shard", F.flatten(whole).alias("numbers")), "shard", "left")
     if sums:
         return found.mapInArrow(_encoded(True), f"{_FIELDS}, words bigint, distinct_words bigint")
     return found.mapInArrow(_encoded(False), f"starts array<bigint>, columns array<bigint>, counts array<int>, rows array<{_ROW}>")
