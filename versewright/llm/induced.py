@@ -21,9 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Longer arrays are kept on disk.
-IN_MEMORY = 32 << 20
+IN_MEMORY = 64 << 20
+#: Texts (of names) of so many symbols are sorted in memory by doubling.
+DOUBLED = 1 << 22
 #: Entries processed at a time, and in a range of several symbols.
-BLOCK, RANGE = 1 << 18, 1 << 14
+BLOCK, RANGE = 1 << 18, 1 << 10
 FAR = 1 << 30
 
 #: A suffix in a queue: its first symbol and position, how often the first symbol stands there in a row, the block of the
@@ -197,6 +199,12 @@ def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, np.append(firsts[1:], len(counts)) - 1, np.append((ends - counts)[firsts], ends[-1])
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a) + len(b), ENTRY)
+    out[:len(a)], out[len(a):] = a, b
+    return out
+
+
 def _sweep(text: _Text, counts: np.ndarray, given: Iterator[np.ndarray], down: bool, sink: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """Induces, from the ``given`` entries in their order, all others; ``sink`` gets them all with their common prefixes.
 
@@ -226,27 +234,23 @@ def _sweep(text: _Text, counts: np.ndarray, given: Iterator[np.ndarray], down: b
         while True:
             stop = min(int(filled[r]), read + BLOCK) if single else int(filled[r])
             if stop > read and not (single and len(pending)):
-                pending = np.concatenate((pending, queue[read:stop]))
+                pending = _joined(pending, queue[read:stop])
                 read = stop
                 if not single:
                     pending = pending[np.argsort(pending["sym"], kind="stable")]
             fetch()
-            here = waiting[:np.searchsorted(waiting["sym"], top, "right")]
-            if single and read < filled[r]:
-                here = empty  # given ones come after all induced ones
+            # Given entries come after all induced ones of their symbol, so that they wait for the last symbol pending.
+            limit, side = (pending["sym"][-1], "left") if len(pending) else (top, "right")
+            here = waiting[:BLOCK][:np.searchsorted(waiting["sym"][:BLOCK], limit, side)]
             if not len(pending) and not len(here):
                 break
             if len(pending) and len(here):
-                merged = np.concatenate((pending, here))
                 order = np.argsort(np.concatenate((pending["sym"] * 2, here["sym"] * 2 + 1)), kind="stable")
-                # Of what hasn't been fetched yet nothing may come before.
-                if len(here) == len(waiting):
+                if len(here) == min(len(waiting), BLOCK):  # of those that aren't here yet none may come before
                     order = order[:int(np.flatnonzero(order >= len(pending))[-1]) + 1]
-                merged = merged[order[:BLOCK]]
+                merged = _joined(pending, here)[order[:BLOCK]]
             else:
                 merged = (pending if len(pending) else here)[:BLOCK]
-                if not len(here) and not single and len(waiting) == 0 and given_left:
-                    continue
             is_given, sym = merged["block"] < 0, merged["sym"]
             before = merged["carry"] & mask
             before = symbols - 1 - before if down else before
@@ -259,7 +263,7 @@ def _sweep(text: _Text, counts: np.ndarray, given: Iterator[np.ndarray], down: b
             taken = int(is_given.sum())
             waiting, pending = waiting[taken:], pending[len(merged) - taken:]
 
-            previous = np.concatenate((last, merged[:-1]))
+            previous = _joined(last, merged[:-1])
             pre, was = merged["pre"], previous["block"]
             across = np.minimum(np.minimum(previous["suf"], pre), mins(was + 1, merged["block"] - 1))
             induced = np.where(was == merged["block"], pre, across) + 1
@@ -408,7 +412,7 @@ def _sorted_stars(text: _Text) -> tuple[np.ndarray, np.ndarray]:
         for lo, hi in blocks(n):
             order[names[lo:hi]] = np.arange(lo, hi)
     else:
-        order, depth = suffix_order(names, count + 1)
+        order, depth = suffix_order(names, count + 1, True)
     least = RangeMin(between)
     for lo, hi in blocks(n):
         own = np.asarray(order[lo:hi])
@@ -429,15 +433,46 @@ def _sorted_stars(text: _Text) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def suffix_order(symbols_of: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+def _doubling(symbols_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as :func:`suffix_order` in memory: ranks of prefixes of 1, 2, 4 ... symbols until all differ."""
+    size = len(symbols_of)
+    ranks = [np.asarray(symbols_of).astype(np.int32)]
+    while True:
+        wide = 1 << (len(ranks) - 1)
+        key = ranks[-1].astype(np.int64) * (size + 1)
+        key[:-wide] += ranks[-1][wide:]
+        order = np.argsort(key)
+        sorted_key = key[order]
+        new = np.append(False, sorted_key[1:] != sorted_key[:-1])
+        rank = np.empty(size, np.int32)
+        rank[order] = np.cumsum(new)
+        if rank[order[-1]] == size - 1:
+            break
+        ranks.append(rank)
+    common = np.zeros(size, np.int32)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        # The last symbol stands once, so that equal prefixes end before it and a step stays within the text.
+        same = ranks[k][a] == ranks[k][b]
+        step = same.astype(np.int64) << k
+        common[1:] += step.astype(np.int32)
+        a += step
+        b += step
+    return order, common
+
+
+def suffix_order(symbols_of: np.ndarray, symbols: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all suffixes in their order, and the length of the prefix that each shares with the one before.
 
-    ``symbols_of`` is a text of whole numbers below ``symbols``; it ends with the only 0 in it.
+    ``symbols_of`` is a text of whole numbers below ``symbols``; it ends with the only 0 in it. ``inner`` texts, those of
+    names, may be sorted by doubling if they are small.
     """
     size = len(symbols_of)
     order, common = array(size, "i8"), array(size + 1, "i4")
     if size == 1:
         return order, common[:1]
+    if inner and size <= DOUBLED:
+        return _doubling(symbols_of)
     text = _Text(symbols_of, symbols)
     stars, shared = _sorted_stars(text)
 

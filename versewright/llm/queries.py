@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from versewright.llm import bpe, decontaminate, filters, images, langid, licenses, lines, quality, sharding, simhash, toxicity, tries
+from versewright.llm import bpe, decontaminate, filters, images, langid, licenses, lines, quality, sharding, simhash, suffixes, toxicity, tries
 from versewright.llm.common import id_hash, table
 
 QUERIES: dict = {}
@@ -103,6 +103,11 @@ def simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op11_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op12_conversation_trie", tries.rebuilt_nodes_sql())
 def conversation_trie(spark, sf_dir):
     own = tries.paths(table(spark, sf_dir, "conversations"))
