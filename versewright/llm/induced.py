@@ -205,6 +205,12 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shifted(first: int, values: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[0], out[1:] = first, values[:-1]
+    return out
+
+
 def _sweep(text: _Text, counts: np.ndarray, given: Iterator[np.ndarray], down: bool, sink: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """Induces, from the ``given`` entries in their order, all others; ``sink`` gets them all with their common prefixes.
 
@@ -263,18 +269,19 @@ def _sweep(text: _Text, counts: np.ndarray, given: Iterator[np.ndarray], down: b
             taken = int(is_given.sum())
             waiting, pending = waiting[taken:], pending[len(merged) - taken:]
 
-            previous = _joined(last, merged[:-1])
-            pre, was = merged["pre"], previous["block"]
-            across = np.minimum(np.minimum(previous["suf"], pre), mins(was + 1, merged["block"] - 1))
-            induced = np.where(was == merged["block"], pre, across) + 1
-            outside = np.where(was < 0, pre, np.minimum(previous["run"], merged["run"]))
-            common = np.where(previous["sym"] == sym, np.where(is_given, outside, induced), 0).astype(np.int32)
+            pre, block = merged["pre"], merged["block"]
+            was, suf, run, symbol = (_shifted(last[c][0], merged[c]) for c in ("block", "suf", "run", "sym"))
+            common = np.where(is_given, np.where(was < 0, pre, np.minimum(run, merged["run"])), pre + 1)
+            far = np.flatnonzero(~is_given & (was != block))
+            if len(far):
+                common[far] = np.minimum(np.minimum(suf[far], pre[far]), mins(was[far] + 1, block[far] - 1)) + 1
+            common[symbol != sym] = 0
             last = merged[-1:].copy()
             sink(merged, common)
 
             at = np.flatnonzero(puts)
-            order = np.argsort(before[at], kind="stable")
-            at = at[order]
+            to = before[at]
+            at = at[np.argsort(to.astype(np.uint16) if symbols <= 1 << 16 else to, kind="stable")]
             put = np.zeros(len(at), ENTRY)
             if len(at):
                 to = before[at]
