@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versewright import dims, fixed
+from versewright.operators.packed import Packed, packaged
 from versewright.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +61,12 @@ def books_cte() -> str:
     return f"books(book_ord, book_id, code) AS (VALUES {rows})"
 
 
-def chapters(spark: SparkSession, *names: str) -> DataFrame:
+def chapters(*names: str) -> Packed:
+    """Packaged versifications, packed into the plan."""
+    return packaged(tuple(names) or fixed.VERSIFICATIONS)
+
+
+def chapter_table(spark: SparkSession, *names: str) -> DataFrame:
     return dims.versification(spark, tuple(names) or fixed.VERSIFICATIONS)
 
 
@@ -72,7 +78,7 @@ def verse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewright.operators import versify
 
     d = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", f"cast({ORD} as int) as verse_ord", "'kjv' as vers_name")
-    return versify.from_ordinals(d, chapters(spark, "kjv"))
+    return versify.from_ordinals(d, chapters("kjv"))
 
 
 # A range per line item, up to a few chapters and over the ends of books.
@@ -88,7 +94,7 @@ def verse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", f"cast({ORD} as int) as from_ord",
         f"cast({TO_ORD} as int) as to_ord", "'kjv' as vers_name",
     )
-    kjv = chapters(spark, "kjv")
+    kjv = chapters("kjv")
     for side in ("from", "to"):
         d = versify.from_ordinals(d, kjv, f"{side}_ord")
         d = d.withColumn(f"__{side}", refs.ref("book_ord", "chapter", "verse")).drop("book_ord", "chapter", "verse")

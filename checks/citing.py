@@ -27,7 +27,7 @@ def verses(spark, sf_dir):
     ).groupBy("scripture", "verse_ord").agg(
         F.min("o_orderkey").alias("k"), F.min_by("o_orderpriority", "o_orderkey").alias("p")
     ).withColumn("vers_name", F.lit("kjv"))
-    d = versify.from_ordinals(d, chapters(spark, "kjv"))
+    d = versify.from_ordinals(d, chapters("kjv"))
     text = F.concat(F.lit('<p data-id="begin">  '), F.trim("p"), F.lit(" <i>&amp;</i> "), F.col("k").cast("string"), F.lit("</p>"))
     # Written, as the verse store is.
     return written(d.select(
@@ -84,7 +84,7 @@ SELECT scripture, CAST(fo AS INTEGER) AS from_ord, CAST(t_o AS INTEGER) AS to_or
 FROM j GROUP BY scripture, fo, t_o""")
 def range_contents(spark, sf_dir):
     d = wanted(spark, sf_dir)
-    kjv = chapters(spark, "kjv")
+    kjv = chapters("kjv")
     d = versify.with_bounds(cite.contents(d, verses(spark, sf_dir), kjv), kjv)
     return d.select("scripture", "from_ord", "to_ord", "content", "content_numbered")
 
@@ -114,7 +114,7 @@ def citations_with_text(spark, sf_dir):
     d = wanted(spark, sf_dir)
     d = cite.citations(
         d, fixed.DEFAULT_MASKS["german"], scriptures(spark, sf_dir), scripture_books(spark, sf_dir), verses(spark, sf_dir),
-        chapters(spark, "kjv"),
+        chapters("kjv"),
     )
     return d.select("l_orderkey", "l_linenumber", "citation")
 
@@ -128,7 +128,7 @@ SHORT_SQL = """CASE WHEN book <> '' THEN book || ' ' ELSE '' END || fc || CASE W
 def citations_without_text(spark, sf_dir):
     assert not masks.needs_content(SHORT_MASK)
     d = wanted(spark, sf_dir)
-    d = cite.citations(d, SHORT_MASK, scriptures(spark, sf_dir), scripture_books(spark, sf_dir), verses(spark, sf_dir), chapters(spark, "kjv"))
+    d = cite.citations(d, SHORT_MASK, scriptures(spark, sf_dir), scripture_books(spark, sf_dir), verses(spark, sf_dir), chapters("kjv"))
     return d.select("l_orderkey", "l_linenumber", "citation")
 
 
@@ -168,7 +168,7 @@ def passage_requests(spark, sf_dir):
         spark, sf_dir, "orders", "o_orderkey", "'kjv' as vers_name", "cast(o_orderkey % 31102 + 1 as int) as verse_ord",
         "case o_orderkey % 5 when 0 then 'Alpha' when 1 then 'Delta' when 2 then 'Beta' when 3 then 'Gamma' end as scripture",
     )
-    d = versify.from_ordinals(d, chapters(spark, "kjv"))
+    d = versify.from_ordinals(d, chapters("kjv"))
     v = verses(spark, sf_dir)
     d = cite.passages(d, scriptures(spark, sf_dir).withColumn("source", F.lit("file")), v, "Gamma")
     return d.select("o_orderkey", "selected", "error", "markup")
@@ -186,7 +186,7 @@ def reading_view(spark, sf_dir):
         spark, sf_dir, "orders", "o_orderkey", "'kjv' as vers_name", "cast(o_orderkey * 5 % 31102 + 1 as int) as ord",
         "case when o_orderkey % 2 = 0 then 'Alpha' else 'Gamma' end as scripture",
     )
-    kjv = chapters(spark, "kjv")
+    kjv = chapters("kjv")
     d = versify.from_ordinals(d.withColumnRenamed("ord", "verse_ord"), kjv).drop("verse_ord")
     d = versify.context_window(d, kjv, 2).drop("book_ord", "chapter", "verse")
     d = cite.reading_rows(d, verses(spark, sf_dir), scripture_books(spark, sf_dir))
@@ -198,7 +198,7 @@ SELECT scripture, verse.book_ord AS src_book, CAST(verse.chapter AS INTEGER) AS
   43 AS fb, CAST(k % 21 + 1 AS INTEGER) AS fc, 1 AS fv, 43 AS tb, CAST(k % 21 + 1 AS INTEGER) AS tc, 1 AS tv
 FROM k JOIN verse ON verse_ord = ord""")
 def cross_reference_edges(spark, sf_dir):
-    return flat(cite.cross_reference_edges(verses(spark, sf_dir), chapters(spark, "kjv"), "de", "kjv"), "range")
+    return flat(cite.cross_reference_edges(verses(spark, sf_dir), chapters("kjv"), "de", "kjv"), "range")
 
 
 @query("scripture_information", f"""WITH {VERSES_SQL}, {INFO_SQL} SELECT o_orderkey, coalesce(abbreviation, '') AS scripture_abbr,
@@ -273,7 +273,7 @@ SELECT l_orderkey, l_linenumber, {url} AS url FROM q JOIN {names} ON b = book_or
 def _urls(spark, sf_dir, site):
     picked = _chosen(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), F.col("picked").alias("translations"))
     d = verse_ranges(spark, sf_dir).join(picked, "l_orderkey")
-    return cite.lookup_urls(d, site, chapters(spark, "kjv")).select("l_orderkey", "l_linenumber", "url")
+    return cite.lookup_urls(d, site, chapters("kjv")).select("l_orderkey", "l_linenumber", "url")
 
 
 @query("lookup_urls_bible_com", _urls_sql("bible_com"))

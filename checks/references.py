@@ -8,7 +8,7 @@ from versewright import dims, fixed
 from versewright.functions import refs
 from versewright.operators import versify
 
-from .base import ORD, RANGES_CTE, books_cte, chapters, flat, query, table, vers_cte, verse_ranges, verse_refs
+from .base import ORD, RANGES_CTE, books_cte, chapter_table, chapters, flat, query, table, vers_cte, verse_ranges, verse_refs
 
 LOOSE = ["l_orderkey", "l_linenumber", "case when l_linenumber % 2 = 0 then 'kjv' else 'esv' end as vers_name",
          "cast(l_partkey % 68 as int) as book_ord", "cast(l_suppkey % 60 as int) as chapter",
@@ -23,14 +23,14 @@ SELECT l_orderkey, l_linenumber, vers_name, book_ord, chapter, verse,
   coalesce(verse BETWEEN 1 AND last_verse, false) AS valid
 FROM loose LEFT JOIN vers USING (vers_name, book_ord, chapter)""")
 def reference_validity(spark, sf_dir):
-    return versify.with_validity(table(spark, sf_dir, "lineitem", *LOOSE), chapters(spark))
+    return versify.with_validity(table(spark, sf_dir, "lineitem", *LOOSE), chapters())
 
 
 @query("reference_filter_valid", f"""WITH {vers_cte()}, {LOOSE_SQL}
 SELECT book_ord, count(*) AS n, CAST(sum(verse) AS BIGINT) AS verses FROM loose JOIN vers USING (vers_name, book_ord, chapter)
 WHERE verse BETWEEN 1 AND last_verse GROUP BY book_ord""")
 def reference_filter_valid(spark, sf_dir):
-    return versify.valid_only(table(spark, sf_dir, "lineitem", *LOOSE), chapters(spark)).groupBy("book_ord").agg(
+    return versify.valid_only(table(spark, sf_dir, "lineitem", *LOOSE), chapters()).groupBy("book_ord").agg(
         F.count(F.lit(1)).alias("n"), F.sum("verse").alias("verses")
     )
 
@@ -43,14 +43,14 @@ c AS (SELECT l.l_orderkey, l.l_linenumber, l.vers_name, least(greatest(l.book_or
 SELECT l_orderkey, l_linenumber, vers_name, CAST(book_ord AS INTEGER) AS book_ord, CAST(chapter AS INTEGER) AS chapter,
   CAST(least(greatest(v, 1), last_verse) AS INTEGER) AS verse FROM c JOIN vers USING (vers_name, book_ord, chapter)""")
 def reference_clamp(spark, sf_dir):
-    return versify.clamp(table(spark, sf_dir, "lineitem", *LOOSE), chapters(spark))
+    return versify.clamp(table(spark, sf_dir, "lineitem", *LOOSE), chapters())
 
 
 @query("chapter_verse_count", f"""WITH {vers_cte()}, {LOOSE_SQL}
 SELECT vers_name, book_ord, CAST(coalesce(last_verse, 0) AS INTEGER) AS verse_count, count(*) AS n
 FROM loose LEFT JOIN vers USING (vers_name, book_ord, chapter) GROUP BY ALL""")
 def chapter_verse_count(spark, sf_dir):
-    d = versify.verse_count(table(spark, sf_dir, "lineitem", *LOOSE), chapters(spark))
+    d = versify.verse_count(table(spark, sf_dir, "lineitem", *LOOSE), chapters())
     return d.groupBy("vers_name", "book_ord", "verse_count").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,7 +107,7 @@ def request_range(spark, sf_dir):
         "cast(o_orderkey % 25 as int) as c1", "cast(o_custkey % 30 as int) as v1", "cast(o_custkey % 25 as int) as c2",
         "cast(o_orderkey % 40 as int) as v2",
     )
-    esv = chapters(spark, "esv")
+    esv = chapters("esv")
     for i in (1, 2):
         d = d.withColumns({"book_ord": F.col("b"), "chapter": F.col(f"c{i}"), "verse": F.col(f"v{i}")})
         d = versify.with_validity(d, esv)
@@ -122,7 +122,7 @@ SELECT fb AS book_ord, count(*) AS n, count(*) FILTER (fb <> tb) AS reduced,
   CAST(sum(CASE WHEN fb = tb THEN t_o - fo ELSE 0 END) AS BIGINT) AS width FROM ranges GROUP BY fb""")
 def one_book_guard(spark, sf_dir):
     d = verse_ranges(spark, sf_dir).withColumn("guarded", refs.one_book(F.col("range")))
-    d = versify.range_size(d, chapters(spark, "kjv"), "guarded")
+    d = versify.range_size(d, chapters("kjv"), "guarded")
     return d.groupBy(F.col("range.from.book_ord").alias("book_ord")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("range.from.book_ord") != F.col("range.to.book_ord")).alias("reduced"),
         F.sum(F.col("size") - 1).cast("long").alias("width"),
@@ -136,7 +136,7 @@ SELECT l_orderkey, l_linenumber, CAST(n.b AS INTEGER) AS nb, CAST(n.c AS INTEGER
   CAST(p.b AS INTEGER) AS pb, CAST(p.c AS INTEGER) AS pc, CAST(p.v AS INTEGER) AS pv
 FROM lineitem JOIN walk ON verse_ord = {ORD}""")
 def next_and_previous_verse(spark, sf_dir):
-    d = versify.neighbours(verse_refs(spark, sf_dir).drop("verse_ord"), chapters(spark, "kjv"))
+    d = versify.neighbours(verse_refs(spark, sf_dir).drop("verse_ord"), chapters("kjv"))
     cols = [F.col(f"{s}.{p}").alias(s[0] + p[0]) for s in ("next", "prev") for p in ("book_ord", "chapter", "verse")]
     return d.select("l_orderkey", "l_linenumber", *cols)
 
@@ -144,7 +144,7 @@ def next_and_previous_verse(spark, sf_dir):
 @query("range_size", f"""WITH {vers_cte('kjv')}, {RANGES_CTE}
 SELECT l_orderkey, l_linenumber, CAST(t_o - fo + 1 AS INTEGER) AS size FROM ranges""")
 def range_size(spark, sf_dir):
-    d = versify.range_size(verse_ranges(spark, sf_dir), chapters(spark, "kjv"))
+    d = versify.range_size(verse_ranges(spark, sf_dir), chapters("kjv"))
     return d.select("l_orderkey", "l_linenumber", "size")
 
 
@@ -153,7 +153,7 @@ SELECT l_orderkey, l_linenumber, book_ord, chapter, CAST(CASE WHEN chapter_idx =
   CAST(CASE WHEN chapter_idx = ti THEN tv ELSE last_verse END AS INTEGER) AS last
 FROM ranges JOIN vers ON chapter_idx BETWEEN fi AND ti""")
 def split_by_chapter(spark, sf_dir):
-    d = versify.split_by_chapter(verse_ranges(spark, sf_dir), chapters(spark, "kjv"))
+    d = versify.split_by_chapter(verse_ranges(spark, sf_dir), chapters("kjv"))
     return d.select(
         "l_orderkey", "l_linenumber", F.col("part.from.book_ord").alias("book_ord"),
         F.col("part.from.chapter").alias("chapter"), F.col("part.from.verse").alias("first"),
@@ -165,7 +165,7 @@ def split_by_chapter(spark, sf_dir):
 SELECT book_ord, chapter, count(*) AS n, CAST(sum(verse) AS BIGINT) AS verses
 FROM ranges JOIN verse ON verse_ord BETWEEN fo AND t_o GROUP BY book_ord, chapter""")
 def range_verses(spark, sf_dir):
-    d = versify.expand(verse_ranges(spark, sf_dir), chapters(spark, "kjv"))
+    d = versify.expand(verse_ranges(spark, sf_dir), chapters("kjv"))
     return d.groupBy("book_ord", "chapter").agg(F.count(F.lit(1)).alias("n"), F.sum("verse").alias("verses"))
 
 
@@ -174,7 +174,7 @@ SELECT l_orderkey, l_linenumber, CAST(ord - greatest(ord - 10, 1) AS INTEGER) AS
   CAST(count(*) AS BIGINT) AS row_count, CAST(sum(book_ord * 1000000 + chapter * 1000 + verse) AS BIGINT) AS checksum
 FROM o JOIN verse ON verse_ord BETWEEN ord - 10 AND ord + 10 GROUP BY l_orderkey, l_linenumber, ord""")
 def context_window(spark, sf_dir):
-    d = versify.context_window(verse_refs(spark, sf_dir).withColumnRenamed("verse_ord", "ord"), chapters(spark, "kjv"))
+    d = versify.context_window(verse_refs(spark, sf_dir).withColumnRenamed("verse_ord", "ord"), chapters("kjv"))
     c = F.col("context")
     d = d.groupBy("l_orderkey", "l_linenumber", "ord", "focus_row").agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -195,7 +195,7 @@ def verse_pages(spark, sf_dir):
         spark, sf_dir, "orders", "o_orderkey", "'kjv' as vers_name", "cast(o_orderkey * 3 % 31102 + 1 as int) as first_ord",
         "cast(least(o_orderkey * 3 % 31102 + 21, 31102) as int) as last_ord",
     )
-    kjv = chapters(spark, "kjv")
+    kjv = chapters("kjv")
     both = versify.page(d, kjv, 5).withColumn("side", F.lit("next")).unionByName(
         versify.page(d, kjv, 5, forward=False).withColumn("side", F.lit("prev"))
     )
@@ -211,7 +211,7 @@ ends AS (SELECT scripture, book_ord, chapter, max(verse) AS last_verse FROM obs
 
 def observed(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem", "'s' || (l_suppkey % 4) as scripture", f"cast({ORD} as int) as verse_ord", "'kjv' as vers_name")
-    d = versify.from_ordinals(d, chapters(spark, "kjv")).select("scripture", "book_ord", "chapter", "verse")
+    d = versify.from_ordinals(d, chapters("kjv")).select("scripture", "book_ord", "chapter", "verse")
     john = d.where("book_ord = 64").withColumn("scripture", F.lit("third john"))
     return d.where("scripture <> 's2' or book_ord > 39").unionByName(john)
 
@@ -231,7 +231,7 @@ OBSERVED_BOTH = OBSERVED.replace(f"verse_ord = {ORD}", f"vers_name = 'kjv' AND v
 
 @query("closest_versification", f"""WITH {vers_cte()}, {OBSERVED_BOTH}, {CLOSEST} SELECT * FROM closest""")
 def closest_versification(spark, sf_dir):
-    return versify.closest_default(versify.chapter_ends(observed(spark, sf_dir)), chapters(spark))
+    return versify.closest_default(versify.chapter_ends(observed(spark, sf_dir)), chapter_table(spark))
 
 
 @query("lacking_books", f"""WITH {vers_cte('kjv')}, {OBSERVED}
@@ -252,7 +252,7 @@ SELECT scripture AS vers_name, book_ord, CAST(chapter AS INTEGER) AS chapter, CA
   CAST(sum(last_verse) OVER (PARTITION BY scripture ORDER BY book_ord, chapter) - last_verse AS INTEGER) AS start_ord
 FROM filled""")
 def derived_versification(spark, sf_dir):
-    return versify.derive(observed(spark, sf_dir), dims.books(spark), chapters(spark))
+    return versify.derive(observed(spark, sf_dir), dims.books(spark), chapter_table(spark))
 
 
 @query("versification_totals", f"""WITH {vers_cte()}, {DERIVED}, i AS (SELECT *,
@@ -264,7 +264,7 @@ FROM i GROUP BY scripture, book_ord""")
 def versification_totals(spark, sf_dir):
     from versewright.session import written
 
-    v = written(versify.derive(observed(spark, sf_dir), dims.books(spark), chapters(spark)), "derived")
+    v = written(versify.derive(observed(spark, sf_dir), dims.books(spark), chapter_table(spark)), "derived")
     d = versify.chapter_counts(v).join(versify.book_starts(v), ["vers_name", "book_ord"])
     return d.join(versify.total_verses(v), "vers_name")
 
@@ -275,7 +275,7 @@ defaults AS (SELECT vers_name, list((book_ord, chapter, last_verse) ORDER BY boo
 SELECT scripture AS vers_name, coalesce(vers_name, scripture) AS same_as
 FROM chapters_of LEFT JOIN defaults ON chapters_of.l = defaults.l""")
 def interned_versification(spark, sf_dir):
-    both = chapters(spark)
+    both = chapter_table(spark)
     return versify.intern(versify.derive(observed(spark, sf_dir), dims.books(spark), both), both)
 
 
@@ -285,7 +285,7 @@ SELECT book_ord, CAST(chapter AS INTEGER) AS chapter, CAST(last_verse AS INTEGER
   (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL
 SELECT book_ord, CAST(chapter AS INTEGER), CAST(last_verse AS INTEGER), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def versification_differences(spark, sf_dir):
-    both = chapters(spark)
+    both = chapter_table(spark)
     own = versify.derive(observed(spark, sf_dir), dims.books(spark), both).where("vers_name = 's2'")
     return versify.differences(own, both.where("vers_name = 'esv'"))
 
@@ -294,5 +294,5 @@ def versification_differences(spark, sf_dir):
 SELECT o_orderkey, scripture, CASE WHEN scripture IN (SELECT scripture FROM filled) THEN scripture ELSE 'kjv' END AS vers_name
 FROM (SELECT o_orderkey, 's' || (o_custkey % 6) AS scripture FROM orders)""")
 def versification_choice(spark, sf_dir):
-    own = versify.derive(observed(spark, sf_dir), dims.books(spark), chapters(spark))
+    own = versify.derive(observed(spark, sf_dir), dims.books(spark), chapter_table(spark))
     return versify.choose(table(spark, sf_dir, "orders", "o_orderkey", "'s' || (o_custkey % 6) as scripture"), own)

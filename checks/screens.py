@@ -93,7 +93,7 @@ def ocr_text_at_position(spark, sf_dir):
 # Text, cursor, gaps and parsing together: compared with brute force on a fixture in the tests.
 @query("references_under_positions")
 def references_under_positions(spark, sf_dir):
-    d = ocr.find_references(stored_words(spark, sf_dir), searches(spark, sf_dir), chapters(spark, "esv"))
+    d = ocr.find_references(stored_words(spark, sf_dir), searches(spark, sf_dir), chapters("esv"))
     return d.select("search_id", F.size("ranges").alias("n"), "box.x", "box.y", "box.w", "box.h")
 
 

@@ -10,7 +10,7 @@ from versewright.functions import text as tx
 from versewright.operators import extract
 from versewright.plans import pipelines
 
-from .base import ORD, books_cte, chapters, flat, lit, query, table, vers_cte, verse_refs
+from .base import ORD, books_cte, chapter_table, chapters, flat, lit, query, table, vers_cte, verse_refs
 
 # The text of every document with one citation added: name, chapter, verse and form are picked by its number.
 FORMS = 6
@@ -56,7 +56,7 @@ def cited(spark, sf_dir):
         this_book = F.get(F.array(*[F.lit(b) for b, _ in listed]), i)
         name = this_name if name is None else F.when(F.col("lang") == "de", this_name).otherwise(name)
         book = this_book if book is None else F.when(F.col("lang") == "de", this_book).otherwise(book)
-    per_book = dims.book_chapters(chapters(spark, "esv")).drop("vers_name")
+    per_book = dims.book_chapters(chapter_table(spark, "esv")).drop("vers_name")
     d = d.withColumns({"name": name, "book_ord": book}).join(F.broadcast(per_book), "book_ord")
     d = d.withColumn("c", F.lit(1) + F.col("doc_id") % F.col("chapter_count"))
     d = d.withColumn("last", F.element_at("last_verses", F.col("c").cast("int")))
@@ -79,7 +79,7 @@ SELECT doc_id, CAST(begin_at AS INTEGER) AS "begin", CAST(end_at AS INTEGER) AS
 UNION ALL SELECT doc_id, CAST(begin_at AS INTEGER), CAST(end_at AS INTEGER), book_ord, CAST(c AS INTEGER), CAST(b AS INTEGER),
   book_ord, CAST(c AS INTEGER), CAST(b AS INTEGER) FROM cited WHERE form = 2""")
 def citations_in_text(spark, sf_dir):
-    d = extract.find_citations(cited(spark, sf_dir), chapters(spark, "esv"), "text", F.col("lang"), F.col("vers_name"))
+    d = extract.find_citations(cited(spark, sf_dir), chapters("esv"), "text", F.col("lang"), F.col("vers_name"))
     return flat(d.select("doc_id", "begin", "end", F.explode("ranges").alias("r")), "r")
 
 
@@ -108,7 +108,7 @@ def several_citations(spark, sf_dir):
     named = F.when(lang == "de", _named("de", "book_ord")).otherwise(_named("en", "book_ord"))
     one = F.concat_ws("", named, F.lit(" "), F.col("chapter"), F.lit(":"), F.col("verse"))
     texts = d.groupBy("l_orderkey", lang.alias("lang")).agg(F.array_join(F.array_sort(F.collect_list(one)), " oder ").alias("text"))
-    found = extract.find_citations(texts, chapters(spark, "kjv"), "text", F.col("lang"), "kjv")
+    found = extract.find_citations(texts, chapters("kjv"), "text", F.col("lang"), "kjv")
     return flat(found.select("l_orderkey", F.explode("ranges").alias("r")), "r")
 
 
@@ -118,9 +118,9 @@ SELECT l_orderkey, l_linenumber, book_ord AS fb, c AS fc, 1 AS fv, book_ord AS t
   CAST(CASE WHEN l_linenumber % 2 = 0 THEN last_verse ELSE 1 + l_orderkey % last_verse END AS INTEGER) AS tv FROM r""")
 def chapter_ranges(spark, sf_dir):
     """From a chapter to the next one or to a verse in it: ``Name 3-4`` and ``Name 3-4,5``."""
-    kjv = chapters(spark, "kjv")
+    kjv = chapters("kjv")
     d = verse_refs(spark, sf_dir).where(f"book_ord in ({PLAIN_BOOKS})")
-    d = d.join(F.broadcast(dims.book_chapters(kjv)), ["vers_name", "book_ord"]).where("chapter < chapter_count")
+    d = d.join(F.broadcast(dims.book_chapters(chapter_table(spark, "kjv"))), ["vers_name", "book_ord"]).where("chapter < chapter_count")
     verse = F.concat(F.lit(","), F.lit(1) + F.col("l_orderkey") % F.element_at("last_verses", F.col("chapter") + 1))
     text = F.concat(_named("de", "book_ord"), F.lit(" "), F.col("chapter"), F.lit("-"), F.col("chapter") + 1,
                     F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(verse), F.lit(" lesen"))
@@ -149,7 +149,7 @@ def citation_at_position(spark, sf_dir):
     idx = F.when(F.col("doc_id") % 3 == 0, F.col("name_at")).when(F.col("doc_id") % 3 == 1, end - 1).otherwise(
         end + F.when(F.col("doc_id") % FORMS == 4, 5).otherwise(3)
     )
-    d = extract.parse_at(d.withColumn("idx", idx), chapters(spark, "esv"), "text", "idx", F.col("lang"), F.col("vers_name"))
+    d = extract.parse_at(d.withColumn("idx", idx), chapters("esv"), "text", "idx", F.col("lang"), F.col("vers_name"))
     return d.select("doc_id", F.col("origin").isNotNull().alias("hit"), F.col("origin.begin").alias("begin_at"),
                     F.size("ranges").alias("n"))
 
@@ -157,7 +157,7 @@ def citation_at_position(spark, sf_dir):
 @query("first_citation", f"""WITH {CITED_SQL}, {books_cte()}
 SELECT doc_id, book_id || ' ' || c || ', ' || first_verse AS first FROM cited JOIN books USING (book_ord)""")
 def first_citation(spark, sf_dir):
-    d = extract.find_citations(cited(spark, sf_dir), chapters(spark, "esv"), "text", F.col("lang"), F.col("vers_name"))
+    d = extract.find_citations(cited(spark, sf_dir), chapters("esv"), "text", F.col("lang"), F.col("vers_name"))
     return d.select("doc_id", refs.format_ref(F.element_at("ranges", 1)["from"]).alias("first"))
 
 

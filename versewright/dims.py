@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixed
+from .operators import packed
 
 
 def _table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
@@ -28,24 +29,7 @@ def versification(spark: SparkSession, names: tuple[str, ...] = fixed.VERSIFICAT
 
     ``start_ord`` counts the verses before the chapter, so ``start_ord + verse`` is the ordinal of a verse.
     """
-    rows = {k: [] for k in ("vers_name", "book_ord", "chapter", "last_verse", "chapter_idx", "start_ord")}
-    for name in names:
-        idx = total = 0
-        for book_ord, chapters in enumerate(fixed.last_verses(name), 1):
-            for chapter, last in enumerate(chapters, 1):
-                idx += 1
-                for key, value in zip(rows, (name, book_ord, chapter, last, idx, total)):
-                    rows[key].append(value)
-                total += last
-    types = {k: pa.int32() for k in rows} | {"vers_name": pa.string()}
-    table = _table(spark, rows, types)
-    table.packaged = True
-    return table
-
-
-def is_packaged(chapters: DataFrame) -> bool:
-    """Whether a chapter table is the packaged one, so that tables made of it are of fixed size."""
-    return getattr(chapters, "packaged", False) is True
+    return packed.packaged(names).table(spark)
 
 
 def with_ordinals(chapters: DataFrame) -> DataFrame:
@@ -114,38 +98,3 @@ def name_aliases(names: DataFrame) -> DataFrame:
 
     spellings = F.aggregate(F.split("variant", ""), F.array(F.lit("")), grow)
     return names.select("lang", "book_ord", "variant", F.explode(spellings).alias("alias")).where("alias != variant")
-
-
-def url_books(spark: SparkSession) -> DataFrame:
-    """``provider, book_ord, book_id, url_name``: bible.com takes the USFM code, bibleserver a German name."""
-    rows = [("bible_com", i, b, c) for i, (b, c) in enumerate(fixed.BOOKS, 1)]
-    rows += [("bibleserver", i, b, fixed.bibleserver_book(i)) for i, (b, _) in enumerate(fixed.BOOKS, 1)]
-    providers, ords, ids, names = map(list, zip(*rows))
-    return _table(
-        spark,
-        {"provider": providers, "book_ord": ords, "book_id": ids, "url_name": names},
-        {"provider": pa.string(), "book_ord": pa.int32(), "book_id": pa.string(), "url_name": pa.string()},
-    )
-
-
-def url_translations(spark: SparkSession) -> DataFrame:
-    """``provider, name, version, abbreviation`` of the translations each site offers."""
-    rows = [("bible_com", n, v, a) for n, v, a in fixed.BIBLE_COM]
-    rows += [("bibleserver", n, None, a) for n, a in fixed.BIBLESERVER]
-    providers, names, versions, abbreviations = map(list, zip(*rows))
-    return _table(
-        spark,
-        {"provider": providers, "name": names, "version": versions, "abbreviation": abbreviations},
-        {"provider": pa.string(), "name": pa.string(), "version": pa.int32(), "abbreviation": pa.string()},
-    )
-
-
-def url_defaults(spark: SparkSession) -> DataFrame:
-    """``provider, language, names``: translations taken until others are chosen."""
-    rows = [(p, lang, names) for p, by in fixed.LOOKUP_DEFAULTS.items() for lang, names in by.items()]
-    providers, langs, names = map(list, zip(*rows))
-    return _table(
-        spark,
-        {"provider": providers, "language": langs, "names": names},
-        {"provider": pa.string(), "language": pa.string(), "names": pa.list_(pa.string())},
-    )

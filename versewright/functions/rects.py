@@ -29,13 +29,6 @@ def unite(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() | b.isNotNull(), rect(x, y, right - x, bottom - y))
 
 
-def united(box: Column) -> Column:
-    """Aggregate: the rectangle around all boxes of a group, nulls skipped; null for none."""
-    x, y = F.min(box["x"]), F.min(box["y"])
-    right, bottom = F.max(box["x"] + box["w"]), F.max(box["y"] + box["h"])
-    return F.when(x.isNotNull(), rect(x, y, right - x, bottom - y))
-
-
 def padded(area: Column, line: Column) -> Column:
     """An area grown by half the height of ``line`` on every side."""
     pad = F.floor(line["h"] / 2).cast("int")

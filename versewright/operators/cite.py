@@ -15,7 +15,9 @@ from ..functions import mask as masks
 from ..functions import refs
 from ..functions import text as tx
 from . import versify
+from .packed import Packed
 from .skew import attach
+from .versify import Chapters
 
 VERSE = ["scripture", "book_ord", "chapter", "verse"]
 
@@ -106,7 +108,7 @@ def reading_rows(context: DataFrame, verses: DataFrame, scripture_books: DataFra
 
 
 def cross_reference_edges(
-    verses: DataFrame, chapters: DataFrame, lang: Column | str, vers_name: Column | str = "kjv"
+    verses: DataFrame, chapters: Chapters, lang: Column | str, vers_name: Column | str = "kjv"
 ) -> DataFrame:
     """``verse -> cited range`` edges from the cross-reference texts of verses."""
     from .extract import find_citations
@@ -129,7 +131,7 @@ def joined_text(verses: Column, numbered: bool) -> Column:
     return F.array_join(F.transform(filled, text), " ")
 
 
-def contents(ranges: DataFrame, verses: DataFrame, chapters: DataFrame) -> DataFrame:
+def contents(ranges: DataFrame, verses: DataFrame, chapters: Chapters) -> DataFrame:
     """``content`` and ``content_numbered`` per distinct ``scripture, vers_name, range``; null if a verse is missing.
 
     Equal requests are answered once.  Verses are gathered by chapter (176 at most), ranges are split by chapter and
@@ -158,7 +160,7 @@ def contents(ranges: DataFrame, verses: DataFrame, chapters: DataFrame) -> DataF
 
 def citations(
     df: DataFrame, mask: str, scriptures: DataFrame, scripture_books: DataFrame, verses: DataFrame,
-    chapters: DataFrame,
+    chapters: Chapters,
 ) -> DataFrame:
     """Add ``citation`` for every ``scripture, vers_name, range``; null where a verse is missing or nothing is left.
 
@@ -208,11 +210,6 @@ def choose_translations(chosen: Column, language: Column, provider: str) -> Colu
     return F.when(F.size(known) > 0, known).otherwise(defaults)
 
 
-def offered_translations(provider: str) -> Column:
-    names = fixed.BIBLE_COM if provider == "bible_com" else fixed.BIBLESERVER
-    return F.array_sort(F.array(*[F.lit(row[0]) for row in names]))
-
-
 def _verses(first: Column, last: Column) -> Column:
     return F.when(last > first, F.concat(first.cast("string"), F.lit("-"), last.cast("string"))).otherwise(
         first.cast("string")
@@ -251,12 +248,12 @@ def is_web_url(url: Column) -> Column:
     return F.coalesce(F.lower(protocol).isin("http", "https") & (F.coalesce(host, F.lit("")) != ""), F.lit(False))
 
 
-def lookup_urls(df: DataFrame, provider: str, chapters: DataFrame, translations: str = "translations") -> DataFrame:
+def lookup_urls(df: DataFrame, provider: str, chapters: Chapters, translations: str = "translations") -> DataFrame:
     """One row per chapter of each ``range`` with its ``url``; web pages count like the KJV, one book at a time.
 
     ``provider`` is a packaged site or a registered function of the same arguments as :func:`lookup_url`.
     """
-    kjv = chapters.where("vers_name = 'kjv'")
+    kjv = chapters if isinstance(chapters, Packed) else chapters.where("vers_name = 'kjv'")
     d = df.withColumns({"__range": refs.one_book(F.col("range")), "vers_name": F.lit("kjv")})
     d = versify.split_by_chapter(d, kjv, "__range").drop("__range", "vers_name")
     part = F.col("part")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .. import dims, fixed
 from ..functions import refs
 from ..functions import text as tx
+from .packed import Packed
 from .skew import attach
+from .versify import Chapters
 
 RANGES = (
     "array<struct<from:struct<book_ord:int,chapter:int,verse:int>,to:struct<book_ord:int,chapter:int,verse:int>>>"
@@ -216,16 +218,23 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
 
 
-def with_ranges(df: DataFrame, chapters: DataFrame, keep_unread: bool = False) -> DataFrame:
+def with_book_chapters(df: DataFrame, chapters: Chapters, how: str) -> DataFrame:
+    """Add the maps of a book's chapters; of packed versifications there are 66 rows each, which are broadcast."""
+    known = isinstance(chapters, Packed)
+    table = chapters.table(df.sparkSession) if known else chapters
+    return attach(df, dims.book_chapters(table), ["vers_name", "book_ord"], how, bounded=known)
+
+
+def with_ranges(df: DataFrame, chapters: Chapters, keep_unread: bool = False) -> DataFrame:
     """Add the ``ranges`` of ``vers_name, book_ord, passage``; rows without any drop out."""
-    d = attach(df, dims.book_chapters(chapters), ["vers_name", "book_ord"], bounded=dims.is_packaged(chapters))
+    d = with_book_chapters(df, chapters, "inner")
     ranges = ranges_of(F.col("passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
     d = computed_once(d, "ranges", ranges).drop("last_verses", "starts", "chapter_count")
     return d if keep_unread else d.where(F.size("ranges") > 0)
 
 
 def find_citations(
-    df: DataFrame, chapters: DataFrame, text: str = "text", lang: Column | str = "de", vers_name: Column | str = "esv",
+    df: DataFrame, chapters: Chapters, text: str = "text", lang: Column | str = "de", vers_name: Column | str = "esv",
     keep_unread: bool = False,
 ) -> DataFrame:
     """One row per citation of each text: ``begin, end, book_ord, passage, ranges``; the text column is dropped.
@@ -262,7 +271,7 @@ def citation_at(text: Column, index: Column, lang: str) -> Column:
 
 
 def parse_at(
-    df: DataFrame, chapters: DataFrame, text: str = "text", index: str = "idx", lang: Column | str = "de",
+    df: DataFrame, chapters: Chapters, text: str = "text", index: str = "idx", lang: Column | str = "de",
     vers_name: Column | str = "esv",
 ) -> DataFrame:
     """Add ``ranges`` and ``origin`` (``begin, end``) of the reference a position points at; empty and null if none."""
@@ -270,7 +279,7 @@ def parse_at(
     at = by_language(lang, lambda x: citation_at(F.col(text), F.col(index), x))
     d = df.withColumns({"__at": at, "vers_name": vers})
     d = d.withColumn("book_ord", F.col("__at.book_ord"))
-    d = attach(d, dims.book_chapters(chapters), ["vers_name", "book_ord"], "left", dims.is_packaged(chapters))
+    d = with_book_chapters(d, chapters, "left")
     ranges = ranges_of(F.col("__at.passage"), F.col("book_ord"), F.col("last_verses"), F.col("starts"))
     origin = F.when(F.col("__at").isNotNull(), F.struct(F.col("__at.begin").alias("begin"), F.col("__at.end").alias("end")))
     return d.withColumns({"ranges": ranges, "origin": origin}).drop(

@@ -18,6 +18,7 @@ from ..functions import text as tx
 from ..session import written
 from . import extract
 from .skew import attach, islands
+from .versify import Chapters
 
 CELL = 64
 WIDTH = 4096  # words of one image per window group
@@ -302,7 +303,7 @@ def consecutive(gaps: Column, x: Column, y: Column, size: Column) -> Column:
 
 
 def find_references(
-    words: DataFrame, searches: DataFrame, chapters: DataFrame, lang: str = "de", vers_name: str = "esv"
+    words: DataFrame, searches: DataFrame, chapters: Chapters, lang: str = "de", vers_name: str = "esv"
 ) -> DataFrame:
     """``search_id, ranges, box`` of every search with a reference under its position.
 

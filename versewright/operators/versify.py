@@ -1,36 +1,70 @@
 """References against a versification: validity, clamping, ordinals, sizes, splitting, stepping and derivation.
 
 A versification is a chapter table ``vers_name, book_ord, chapter, last_verse, chapter_idx, start_ord``
-(:func:`versewright.dims.versification` or :func:`derive`).  The verse ordinal ``start_ord + verse`` turns every
-range operator into integer arithmetic plus an equi-join on a chapter or an ordinal, never a range join.
+(:func:`versewright.dims.versification` or :func:`derive`) or one of few in a :class:`~versewright.operators.packed.Packed`.
+The verse ordinal ``start_ord + verse`` turns every range operator into integer arithmetic plus a look-up: in the row for
+packed versifications, by an equi-join on a chapter or an ordinal for chapter tables, never by a range join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, fixed
 from ..functions import refs
+from .packed import Packed
 from .skew import attach
 
+#: Few versifications are packed into the plan, so that facts stay where they are; any number comes as a chapter table.
+Chapters = DataFrame | Packed
+
 CHAPTER = ["vers_name", "book_ord", "chapter"]
 
 
-def verse_count(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def _at_chapter(df: DataFrame, chapters: Chapters, book: Column, chapter: Column, wanted: dict[str, str]) -> DataFrame:
+    """Add ``last_verse``, ``start_ord`` or ``chapter_idx`` of a chapter under new names, null if there is no such chapter."""
+    if isinstance(chapters, Packed):
+        vers, at = F.col("vers_name"), chapters.place(F.col("vers_name"), book, chapter)
+        facts = {"last_verse": chapters.last_verse(at), "start_ord": chapters.start_ord(at), "chapter_idx": chapters.chapter_idx(vers, at)}
+        return df.withColumns({name: facts[of] for of, name in wanted.items()})
+    keys = {"book_ord": "__at_book", "chapter": "__at_chapter"}
+    side = chapters.select("vers_name", *[F.col(c).alias(k) for c, k in (keys | wanted).items()])
+    d = df.withColumns({"__at_book": book, "__at_chapter": chapter})
+    return attach(d, side, ["vers_name", *keys.values()], "left").drop(*keys.values())
+
+
+def _at_index(df: DataFrame, chapters: Chapters, index: str, wanted: dict[str, str]) -> DataFrame:
+    """Add ``book_ord, chapter, last_verse`` or ``start_ord`` of the chapter with an index; rows without one drop out."""
+    if isinstance(chapters, Packed):
+        vers, at = F.col("vers_name"), chapters.place_of_index(F.col("vers_name"), F.col(index))
+        facts = {"book_ord": chapters.book_ord(at), "chapter": chapters.chapter(vers, at), "last_verse": chapters.last_verse(at),
+                 "start_ord": chapters.start_ord(at)}
+        return df.where(at.isNotNull()).withColumns({name: facts[of] for of, name in wanted.items()})
+    side = chapters.select("vers_name", F.col("chapter_idx").alias(index), *[F.col(c).alias(k) for c, k in wanted.items()])
+    return attach(df, side, ["vers_name", index])
+
+
+def _with_total(df: DataFrame, chapters: Chapters, name: str) -> DataFrame:
+    if isinstance(chapters, Packed):
+        return df.withColumn(name, chapters.total(F.col("vers_name"))).where(F.col(name).isNotNull())
+    total = chapters.groupBy("vers_name").agg(F.sum("last_verse").cast("int").alias(name))
+    return attach(df, total, ["vers_name"])
+
+
+def verse_count(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Add ``verse_count`` of ``vers_name, book_ord, chapter``: 0 for a chapter that does not exist."""
-    counts = chapters.select(*CHAPTER, F.col("last_verse").alias("verse_count"))
-    joined = attach(df, counts, CHAPTER, "left")
-    return joined.withColumn("verse_count", F.coalesce("verse_count", F.lit(0)))
+    d = _at_chapter(df, chapters, F.col("book_ord"), F.col("chapter"), {"last_verse": "verse_count"})
+    return d.withColumn("verse_count", F.coalesce("verse_count", F.lit(0)))
 
 
-def valid_only(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def valid_only(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Keep the rows whose ``book_ord, chapter, verse`` exist in the versification ``vers_name``."""
-    ends = chapters.select(*CHAPTER, "last_verse")
-    return attach(df, ends, CHAPTER).where("verse between 1 and last_verse").drop("last_verse")
+    d = _at_chapter(df, chapters, F.col("book_ord"), F.col("chapter"), {"last_verse": "__last"})
+    return d.where("verse between 1 and __last").drop("__last")
 
 
-def with_validity(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def with_validity(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Add the boolean ``valid``."""
     return (
         verse_count(df, chapters).withColumn("valid", F.col("verse").between(F.lit(1), F.col("verse_count")))
@@ -38,101 +72,123 @@ def with_validity(df: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
-def clamp(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def clamp(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Replace a reference that does not exist by the nearest that does: book, then chapter, then verse.
 
     A chapter that the versification lacks gives way to the next lower one it has, or to the first.
     """
-    per_book = dims.book_chapters(chapters)
     within = lambda x, hi: F.least(F.greatest(x, F.lit(1)), hi)
     d = df.withColumn("__book", within(F.col("book_ord"), F.lit(66)))
-    d = attach(d, per_book.withColumnRenamed("book_ord", "__book"), ["vers_name", "__book"], "left")
-    known = F.map_keys("last_verses")
-    lower = F.array_max(F.filter(known, lambda c: c <= F.col("chapter")))
-    d = d.withColumn("__chapter", F.coalesce(lower, F.array_min(known)))
-    d = d.withColumn("__verse", within(F.col("verse"), F.element_at("last_verses", F.col("__chapter"))))
+    if isinstance(chapters, Packed):
+        vers = F.col("vers_name")
+        d = d.withColumn("__chapter", within(F.col("chapter"), chapters.chapter_count(vers, F.col("__book"))))
+        last = chapters.last_verse(chapters.place(vers, F.col("__book"), F.col("__chapter")))
+    else:
+        d = attach(d, dims.book_chapters(chapters).withColumnRenamed("book_ord", "__book"), ["vers_name", "__book"], "left")
+        known = F.map_keys("last_verses")
+        lower = F.array_max(F.filter(known, lambda c: c <= F.col("chapter")))
+        d = d.withColumn("__chapter", F.coalesce(lower, F.array_min(known)))
+        last = F.element_at("last_verses", F.col("__chapter"))
+    d = d.withColumn("__verse", within(F.col("verse"), last))
     kept = [c for c in df.columns if c not in ("book_ord", "chapter", "verse")]
     return d.select(
         *kept, F.col("__book").alias("book_ord"), F.col("__chapter").alias("chapter"), F.col("__verse").alias("verse")
     )
 
 
-def from_ordinals(df: DataFrame, chapters: DataFrame, name: str = "verse_ord") -> DataFrame:
+def from_ordinals(df: DataFrame, chapters: Chapters, name: str = "verse_ord") -> DataFrame:
     """Add ``book_ord, chapter, verse`` of a verse ordinal; rows with an ordinal out of range drop out."""
+    if isinstance(chapters, Packed):
+        vers = F.col("vers_name")
+        # Exploded, so that the place is searched once a row and not for each column made of it.
+        place = F.filter(F.array(chapters.place_of_ordinal(vers, F.col(name))), lambda p: p.isNotNull())
+        d = df.select("*", F.explode(place).alias("__place"))
+        at = F.col("__place")
+        return d.withColumns({
+            "book_ord": chapters.book_ord(at), "chapter": chapters.chapter(vers, at),
+            "verse": (F.col(name) - chapters.start_ord(at)).cast("int")}).drop("__place")
     index = dims.verse_index(chapters).select(
         "vers_name", F.col("verse_ord").alias(name), "book_ord", "chapter", "verse"
     )
     return attach(df, index, ["vers_name", name])
 
 
-def to_ordinals(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def to_ordinals(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Add ``verse_ord`` of ``book_ord, chapter, verse``, null for a reference that does not exist."""
-    ends = chapters.select(*CHAPTER, "last_verse", "start_ord")
-    d = attach(df, ends, CHAPTER, "left")
-    valid = F.col("verse").between(F.lit(1), F.col("last_verse"))
-    return d.withColumn("verse_ord", F.when(valid, F.col("start_ord") + F.col("verse"))).drop("last_verse", "start_ord")
+    d = _at_chapter(df, chapters, F.col("book_ord"), F.col("chapter"), {"last_verse": "__last", "start_ord": "__start"})
+    valid = F.col("verse").between(F.lit(1), F.col("__last"))
+    return d.withColumn("verse_ord", F.when(valid, F.col("__start") + F.col("verse"))).drop("__last", "__start")
 
 
-def _bound(df: DataFrame, chapters: DataFrame, rng: str, side: str) -> DataFrame:
+def _bound(df: DataFrame, chapters: Chapters, rng: str, side: str) -> DataFrame:
     """Add ``__{side}_ord`` and ``__{side}_idx`` of one bound of the range column ``rng``, null if invalid."""
-    p = f"__{side}_"
-    ends = chapters.select(
-        "vers_name", F.col("book_ord").alias(p + "book"), F.col("chapter").alias(p + "chapter"),
-        F.col("last_verse").alias(p + "last"), F.col("start_ord").alias(p + "start"),
-        F.col("chapter_idx").alias(p + "idx"),
-    )
-    d = df.withColumns({p + "book": F.col(rng)[side]["book_ord"], p + "chapter": F.col(rng)[side]["chapter"]})
-    d = attach(d, ends, ["vers_name", p + "book", p + "chapter"], "left")
-    verse = F.col(rng)[side]["verse"]
-    valid = verse.between(F.lit(1), F.col(p + "last"))
+    p, of = f"__{side}_", F.col(rng)[side]
+    wanted = {"last_verse": p + "last", "start_ord": p + "start", "chapter_idx": p + "idx"}
+    d = _at_chapter(df, chapters, of["book_ord"], of["chapter"], wanted)
+    valid = of["verse"].between(F.lit(1), F.col(p + "last"))
     return d.withColumns({
-        p + "ord": F.when(valid, F.col(p + "start") + verse), p + "idx": F.when(valid, F.col(p + "idx")),
-    }).drop(p + "book", p + "chapter", p + "last", p + "start")
+        p + "ord": F.when(valid, F.col(p + "start") + of["verse"]), p + "idx": F.when(valid, F.col(p + "idx")),
+    }).drop(p + "last", p + "start")
 
 
-def _bounds(df: DataFrame, chapters: DataFrame, rng: str) -> DataFrame:
+def _bounds(df: DataFrame, chapters: Chapters, rng: str) -> DataFrame:
     return _bound(_bound(df, chapters, rng, "from"), chapters, rng, "to")
 
 
-def with_bounds(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
+def with_bounds(df: DataFrame, chapters: Chapters, rng: str = "range") -> DataFrame:
     """Add ``from_ord, to_ord, from_idx, to_idx``, the verse ordinals and chapter indexes of a range."""
     return _bounds(df, chapters, rng).withColumnsRenamed({
         f"__{side}_{kind}": f"{side}_{kind}" for side in ("from", "to") for kind in ("ord", "idx")
     })
 
 
-def range_size(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
+def range_size(df: DataFrame, chapters: Chapters, rng: str = "range") -> DataFrame:
     """Add ``size``, the verses a range covers; null if either end does not exist."""
     d = _bounds(df, chapters, rng)
     return d.select(*df.columns, (F.col("__to_ord") - F.col("__from_ord") + 1).alias("size"))
 
 
-def split_by_chapter(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
-    """One row per chapter a range touches, with ``part`` as its share of it; inner chapters are whole.
+def _by_chapter(df: DataFrame, chapters: Chapters, rng: str) -> DataFrame:
+    """One row per chapter a range touches with its ``__book, __chapter, __start, __first, __final``; inner chapters are whole.
 
-    The chapter indexes between the bounds are generated per row and equi-joined, so nothing is compared by range.
+    The chapter indexes between the bounds are generated per row, so nothing is compared by range.
     """
     d = _bounds(df, chapters, rng).withColumn("__idx", F.explode(F.sequence("__from_idx", "__to_idx")))
-    whole = chapters.select(
-        "vers_name", F.col("chapter_idx").alias("__idx"), F.col("book_ord").alias("__book"),
-        F.col("chapter").alias("__chapter"), F.col("last_verse").alias("__last"),
-    )
-    d = attach(d, whole, ["vers_name", "__idx"])
+    d = _at_index(d, chapters, "__idx", {"book_ord": "__book", "chapter": "__chapter", "last_verse": "__last", "start_ord": "__start"})
     first = F.when(F.col("__idx") == F.col("__from_idx"), F.col(rng)["from"]["verse"]).otherwise(1)
     last = F.when(F.col("__idx") == F.col("__to_idx"), F.col(rng)["to"]["verse"]).otherwise(F.col("__last"))
+    return d.withColumns({"__first": first, "__final": last})
+
+
+def split_by_chapter(df: DataFrame, chapters: Chapters, rng: str = "range") -> DataFrame:
+    """One row per chapter a range touches, with ``part`` as its share of it."""
     bound = lambda verse: refs.ref("__book", "__chapter", verse)
-    return d.select(*df.columns, F.struct(bound(first).alias("from"), bound(last).alias("to")).alias("part"))
+    part = F.struct(bound(F.col("__first")).alias("from"), bound(F.col("__final")).alias("to")).alias("part")
+    return _by_chapter(df, chapters, rng).select(*df.columns, part)
 
 
-def expand(df: DataFrame, chapters: DataFrame, rng: str = "range") -> DataFrame:
+def expand(df: DataFrame, chapters: Chapters, rng: str = "range") -> DataFrame:
     """One row per verse of a range with ``verse_ord, book_ord, chapter, verse``."""
-    d = _bounds(df, chapters, rng)
-    d = d.select(*df.columns, F.explode(F.sequence("__from_ord", "__to_ord")).alias("verse_ord"))
-    return from_ordinals(d, chapters)
+    d = _by_chapter(df, chapters, rng)
+    d = d.withColumn("__verse", F.explode(F.sequence("__first", "__final")))
+    return d.select(
+        *df.columns, (F.col("__start") + F.col("__verse")).alias("verse_ord"), F.col("__book").alias("book_ord"),
+        F.col("__chapter").alias("chapter"), F.col("__verse").alias("verse"))
 
 
-def neighbours(df: DataFrame, chapters: DataFrame) -> DataFrame:
+def neighbours(df: DataFrame, chapters: Chapters) -> DataFrame:
     """Add ``next`` and ``prev``: the verse after and before across chapters and books, null at the ends."""
+    if isinstance(chapters, Packed):
+        vers, at = F.col("vers_name"), chapters.place(F.col("vers_name"), F.col("book_ord"), F.col("chapter"))
+        d = df.withColumns({"__idx": chapters.chapter_idx(vers, at), "__last": chapters.last_verse(at)})
+        verse, out = F.col("verse"), {}
+        for name, step in (("next", 1), ("prev", -1)):
+            other = chapters.place_of_index(vers, F.col("__idx") + step)
+            first = F.lit(1) if step > 0 else chapters.last_verse(other)
+            across = F.when(other.isNotNull(), refs.ref(chapters.book_ord(other), chapters.chapter(vers, other), first))
+            within = F.when((verse + step).between(1, F.col("__last")), refs.ref("book_ord", "chapter", verse + step))
+            out[name] = F.when(verse.between(1, F.col("__last")), F.coalesce(within, across))
+        return d.withColumns(out).drop("__idx", "__last")
     d = to_ordinals(df, chapters)
     index = dims.verse_index(chapters)
     for name, step in (("next", 1), ("prev", -1)):
@@ -144,30 +200,27 @@ def neighbours(df: DataFrame, chapters: DataFrame) -> DataFrame:
     return d.drop("verse_ord")
 
 
-def context_window(df: DataFrame, chapters: DataFrame, verses: int = 10) -> DataFrame:
+def context_window(df: DataFrame, chapters: Chapters, verses: int = 10) -> DataFrame:
     """One row per verse from ``verses`` before to ``verses`` after a reference, clipped at the ends.
 
     ``row`` counts the rows of a window from 0 and ``focus_row`` is the row of the reference.  Both follow from the
-    ordinals, so no window function and no shuffle is needed.
+    ordinals, so no window function is needed, and with packed versifications no row is moved.
     """
-    d = to_ordinals(df, chapters).where("verse_ord is not null")
-    total = chapters.groupBy("vers_name").agg(F.sum("last_verse").cast("int").alias("__total"))
-    d = attach(d, total, ["vers_name"])
+    d = _with_total(to_ordinals(df, chapters).where("verse_ord is not null"), chapters, "__total")
     first = F.greatest(F.col("verse_ord") - verses, F.lit(1))
     last = F.least(F.col("verse_ord") + verses, F.col("__total"))
     d = d.withColumns({"__first": first, "focus_row": F.col("verse_ord") - first})
-    d = d.withColumn("context_ord", F.explode(F.sequence(F.col("__first"), last)))
-    d = d.withColumn("row", F.col("context_ord") - F.col("__first"))
-    index = dims.verse_index(chapters).select(
-        "vers_name", F.col("verse_ord").alias("context_ord"), refs.ref("book_ord", "chapter", "verse").alias("context")
-    )
-    return attach(d, index, ["vers_name", "context_ord"]).drop("__first", "__total", "verse_ord", "context_ord")
+    d = d.withColumn("__ord", F.explode(F.sequence(F.col("__first"), last)))
+    d = d.withColumn("row", F.col("__ord") - F.col("__first"))
+    kept = [*df.columns, "focus_row", "row"]
+    d = d.select(F.struct(*kept).alias("__row"), "vers_name", "__ord")
+    d = from_ordinals(d, chapters, "__ord").withColumn("context", refs.ref("book_ord", "chapter", "verse"))
+    return d.select("__row.*", "context")
 
 
-def page(df: DataFrame, chapters: DataFrame, count: int, forward: bool = True) -> DataFrame:
+def page(df: DataFrame, chapters: Chapters, count: int, forward: bool = True) -> DataFrame:
     """The next (or previous) ``count`` verses of each loaded window ``first_ord .. last_ord``, in reading order."""
-    total = chapters.groupBy("vers_name").agg(F.sum("last_verse").cast("int").alias("__total"))
-    d = attach(df, total, ["vers_name"])
+    d = _with_total(df, chapters, "__total")
     if forward:
         lo, hi = F.col("last_ord") + 1, F.least(F.col("last_ord") + count, F.col("__total"))
     else:
@@ -200,15 +253,19 @@ def chapter_ends(verses: DataFrame) -> DataFrame:
     return verses.groupBy("scripture", "book_ord", "chapter").agg(F.max("verse").cast("int").alias("last_verse"))
 
 
-def closest_default(ends: DataFrame, defaults: DataFrame) -> DataFrame:
-    """``scripture, closest``: the default with most equal chapter ends, the first listed one on a tie."""
+def closest_default(ends: DataFrame, defaults: DataFrame, listed: tuple[str, ...] = fixed.VERSIFICATIONS) -> DataFrame:
+    """``scripture, closest``: the default with most equal chapter ends, the first ``listed`` one on a tie.
+
+    Defaults that aren't listed come after those that are, by name.
+    """
     keys = ["book_ord", "chapter", "last_verse"]
     hits = attach(ends, defaults.select("vers_name", *keys), keys).groupBy("scripture", "vers_name").count()
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, listed)), F.col("vers_name")), F.lit(0)), F.lit(len(listed) + 1))
     best = hits.groupBy("scripture").agg(
-        F.min_by("vers_name", F.struct(-F.col("count"), F.col("vers_name"))).alias("closest")
+        F.min_by("vers_name", F.struct(-F.col("count"), rank, F.col("vers_name"))).alias("closest")
     )
     all_scriptures = ends.select("scripture").distinct()
-    first = defaults.agg(F.min("vers_name").alias("first"))
+    first = defaults.agg(F.min_by("vers_name", F.struct(rank, F.col("vers_name"))).alias("first"))
     return (
         all_scriptures.join(best, "scripture", "left").join(F.broadcast(first))
         .select("scripture", F.coalesce("closest", "first").alias("closest"))

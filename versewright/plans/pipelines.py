@@ -1,4 +1,4 @@
-"""The three end-to-end pipelines as lazy plans over the operators."""
+"""End-to-end pipelines over the operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import cite, extract, versify
+from ..operators import cite, extract, packed, versify
 
 
 def citation_counts(texts: DataFrame, lang: str = "de", vers_name: str = "esv") -> DataFrame:
@@ -14,7 +14,7 @@ def citation_counts(texts: DataFrame, lang: str = "de", vers_name: str = "esv")
 
     One pass over the texts; the only shuffle is the one of 66 partial counts per task.
     """
-    chapters = dims.versification(texts.sparkSession)
+    chapters = packed.packaged()
     found = extract.find_citations(texts, chapters, "text", lang, vers_name)
     spans = found.select("vers_name", "book_ord", F.explode("ranges").alias("range"))
     sized = versify.range_size(spans, chapters)
