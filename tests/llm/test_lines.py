@@ -14,15 +14,76 @@ def kept(spark, rows, **options):
     return {r.doc_id: r for r in found.collect()}
 
 
-def test_blocks_of_two_documents():
-    # Later document: x A B C y C; earlier one: A B z C.  (A B) and C lie in order, the second C has moved.
-    shared = [([1], [0], 9), ([2], [1], 9), ([3, 5], [3], 9)]
-    blocks = list(lines.aligned_blocks(shared))
-    assert ([(1, 9), (2, 9)], False) in blocks
-    assert sorted(p for block, _ in blocks for p, _ in block) == [1, 2, 3, 5]
-    crossed = [([0], [5], 30), ([1], [6], 30), ([5], [0], 30)]
-    assert sorted(moved for _, moved in lines.aligned_blocks(crossed)) == [False, True]
-    assert list(lines.aligned_blocks([])) == []
+def test_alignment_of_two_documents():
+    # Later document: x A B C y C; earlier one: A B z C.  (A B) and the first C lie in order.
+    assert lines.aligned([9, 1, 2, 3, 8, 3], [1, 2, 7, 3]) == {1: 0, 2: 1}
+    assert lines._cuts([9, 1, 2, 3, 8, 3], [9] * 6, [1, 2, 7, 3], [9] * 4, 15) == [(1, 2)]
+    assert lines._cuts([9, 1, 2, 3, 8, 3], [9] * 6, [1, 2, 7, 3], [9] * 4, 9) == [(1, 2), (3, 3), (5, 5)]
+    # Crossed: one passage is in order, the other has moved; lines that lie apart in both don't go.
+    assert sorted(lines._cuts([1, 2, 3, 4], [10] * 4, [3, 4, 1, 2], [10] * 4, 20)) == [(0, 1), (2, 3)]
+    assert lines._cuts([1, 5, 2, 6, 3], [10] * 5, [3, 7, 2, 8, 1], [10] * 5, 20) == []
+    # In order, with other lines between them in the earlier document.
+    assert lines._cuts([1, 2, 3], [10] * 3, [1, 7, 2, 8, 3], [10] * 5, 20) == [(0, 2)]
+    assert lines._cuts([], [], [1], [30], 20) == [] and lines._cuts([0, 0], [0, 0], [0], [0], 1) == []
+
+
+def windows(keys, words, least):
+    """The shortest runs from each place and up to each, by trying all."""
+    good = lambda a, b: all(keys[a:b + 1]) and sum(words[a:b + 1]) >= least
+    out = set()
+    for a in range(len(keys)):
+        for b in range(a, len(keys)):
+            if good(a, b) and (not good(a, b - 1) or not good(a + 1, b)):
+                out.add((a, b))
+    return out
+
+
+def test_runs_by_brute_force():
+    rnd = random.Random(4)
+    for _ in range(300):
+        keys = [rnd.choice([0, 1, 2, 3, 4]) for _ in range(rnd.randint(0, 12))]
+        words = [rnd.randint(1, 9) if k else 0 for k in keys]
+        got = {(a, b) for a, b, _ in lines._runs(keys, words, 12)}
+        assert got <= windows(keys, words, 12) | {(a, b) for a, b in got if sum(words[a:b + 1]) >= 12 and all(keys[a:b + 1])}
+        # Every line of every passage with enough words is in a run (or a line of its own) within the passage.
+        for a in range(len(keys)):
+            for b in range(a, len(keys)):
+                if all(keys[a:b + 1]) and sum(words[a:b + 1]) >= 12:
+                    inside = {p for x, y in got if a <= x and y <= b for p in range(x, y + 1)} | {p for p in range(a, b + 1) if words[p] >= 12}
+                    assert inside == set(range(a, b + 1))
+
+
+def deleted(docs, least, align=lines._cuts):
+    """All later documents with all that they and an earlier one nominate each other by, aligned one by one."""
+    first, out, parts = {}, {}, {}
+    for i in sorted(docs):
+        keys, words = [hash(x) or 1 for x in docs[i]], [len(x.split()) for x in docs[i]]
+        parts[i] = keys, words
+        names = {k: n for k, n in zip(keys, words)}
+        names |= {(a, tuple(keys[a:b + 1]))[1]: sum(words[a:b + 1]) for a, b, _ in lines._runs(keys, words, least)}
+        shared = {}
+        for name, n in names.items():
+            if name in first:
+                shared[first[name]] = shared.get(first[name], 0) + n
+            first.setdefault(name, i)
+        out[i] = {p for j, n in shared.items() if n >= least for a, b in align(keys, words, *parts[j], least) for p in range(a, b + 1)}
+    return out
+
+
+def test_documents_by_brute_force(spark):
+    rnd = random.Random(12)
+    pool = [line(rnd, rnd.randint(2, 9)) for _ in range(40)]
+    docs = {i: [rnd.choice(pool) if rnd.random() < 0.8 else line(rnd, 7) for _ in range(rnd.randint(1, 30))] for i in range(60)}
+    for i in range(60, 90):
+        source = docs[rnd.randrange(i)]
+        at = rnd.randrange(len(source))
+        docs[i] = docs[i - 60][:4] + source[at:at + rnd.randint(2, 9)] + [line(rnd, 5)] + source[:at][-3:]
+    got = kept(spark, [(i, "\n".join(x)) for i, x in docs.items()], least_words=15)
+    found = {i: {p for c in got[i].line_cuts for p in range(c.start, c.stop + 1)} for i in docs}
+    assert found == deleted(docs, 15) and sum(map(len, found.values())) > 50
+    # Without the alignment, each shared line would go.
+    every = deleted(docs, 15, lambda keys, words, other, _, least: [(p, p) for p, k in enumerate(keys) if k in set(other)])
+    assert found != every
 
 
 def test_longest_rising_by_brute_force():

@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of their lines. A line that several documents hold nominates one
-partner for each of them, the earliest document that holds it, so that a line of n documents gives n - 1 pairs however
-common it is, and the first copy of a line is never deleted. So does each shortest run of lines that has enough words, as
-the earliest document of a line needn't hold the lines next to it: a run that an earlier document holds goes. Each later document is aligned with each partner by patience
-diff over the lines that nominated it, and what lies in aligned blocks goes.
+Documents that overlap are found through the hashes of what they share: each line, and each shortest run of lines that has
+enough words, nominates one partner for every later document that holds it, the earliest one. So a line of n documents gives
+n - 1 pairs however common it is, and the first copy is never deleted; runs name the documents that hold a passage as a
+whole. Pairs whose nominations have enough words are brought together with all their lines and aligned by patience diff.
+What goes from the later document are runs of lines that lie, in their order, in the blocks of one alignment.
 """
 
 from __future__ import annotations
@@ -23,57 +23,75 @@ from versewright.session import written
 #: Blocks of fewer words stay: headings, licence lines and other short lines repeat by nature.
 LEAST_WORDS = 20
 
-_LINES = "doc_id long, digest long, line long, places array<int>, words int, lines int"
+_NAME = "struct<key: bigint, words: int>"
+_DOC = f"doc_id long, digest long, keys array<bigint>, words array<int>, names array<{_NAME}>"
 
 
-def _runs(keys: dict[int, tuple[int, int]], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """Place, number of lines and hash of the shortest run of several lines from each place that has the words.
+def _runs(keys: list[int], words: list[int], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """First and last place and hash of the shortest runs of several lines, from each place and up to each, that have the words.
 
-    ``keys`` has hash and words of each line that isn't blank, by place.
+    Blank lines (key 0) end a run. Every line of a passage with enough words is in a run that lies within the passage.
     """
-    for place in keys:
-        stop, words = place, 0
-        while words < least_words and stop in keys:
-            words += keys[stop][1]
+    found, stop, total = set(), 0, 0
+    for start in range(len(keys)):
+        if stop <= start:
+            stop, total = start, 0
+        while total < least_words and stop < len(keys) and keys[stop]:
+            total += words[stop]
             stop += 1
-        if words >= least_words and stop - place > 1:
-            run = b"".join(keys[p][0].to_bytes(8, "little", signed=True) for p in range(place, stop))
-            yield place, stop - place, xxh3_64_intdigest(b"\n" + run) - (1 << 63)
+        if total >= least_words and keys[start]:
+            last = stop - 1
+            # From the last line backwards, the run may be shorter.
+            first, backwards = last, words[last]
+            while backwards < least_words:
+                first -= 1
+                backwards += words[first]
+            found |= {(start, last), (first, last)}
+        total -= words[start] if stop > start else 0
+    # Up to places that no run from another place ends at.
+    start, total = 0, 0
+    for stop in range(len(keys)):
+        if not keys[stop]:
+            start, total = stop + 1, 0
+            continue
+        total += words[stop]
+        while total - words[start] >= least_words:
+            total -= words[start]
+            start += 1
+        if total >= least_words:
+            found.add((start, stop))
+    for first, last in sorted(found):
+        if last > first:
+            run = b"".join(k.to_bytes(8, "little", signed=True) for k in keys[first:last + 1])
+            yield first, last, xxh3_64_intdigest(b"\n" + run) - (1 << 63)
 
 
 def _liner(least_words: int):
+    """The lines of each document, blank ones as key 0, and what nominates partners for it."""
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _lines(batches, least_words)
+        for batch in batches:
+            out = []
+            for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), values(batch.column("text"))):
+                keys, words = [], []
+                for line in text.split(b"\n"):
+                    parts = line.split()
+                    keys.append((xxh3_64_intdigest(b" ".join(parts)) - (1 << 63) or 1) if parts else 0)
+                    words.append(len(parts))
+                names = {k: n for k, n in zip(keys, words) if k}
+                for first, last, key in _runs(keys, words, least_words):
+                    names[key] = sum(words[first:last + 1])
+                out.append({"doc_id": doc_id, "digest": digest, "keys": keys, "words": words, "names": [{"key": k, "words": n} for k, n in names.items()]})
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, _DOC_TYPE)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, _DOC_TYPE)
 
     return lines
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each different line of a document that isn't blank, and for each different run of lines."""
-    for batch in batches:
-        out = [[] for _ in range(6)]
-        for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), values(batch.column("text"))):
-            seen: dict[int, tuple[list[int], int, int]] = {}
-            keys: dict[int, tuple[int, int]] = {}
-            for place, line in enumerate(text.split(b"\n")):
-                if words := line.split():
-                    key = xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-                    seen.setdefault(key, ([], len(words), 1))[0].append(place)
-                    keys[place] = key, len(words)
-            for place, n, key in _runs(keys, least_words):
-                seen.setdefault(key, ([], 0, n))[0].append(place)
-            for key, (places, words, n) in seen.items():
-                for column, value in zip(out, (doc_id, digest, key, places, words, n)):
-                    column.append(value)
-            if len(out[0]) > 50_000:
-                yield _batch(out)
-                out = [[] for _ in range(6)]
-        yield _batch(out)
-
-
-def _batch(out) -> pa.RecordBatch:
-    types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()
-    return pa.RecordBatch.from_arrays(list(map(pa.array, out, types)), ["doc_id", "digest", "line", "places", "words", "lines"])
+_DOC_TYPE = pa.schema([
+    ("doc_id", pa.int64()), ("digest", pa.int64()), ("keys", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())),
+    ("names", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32())])))])
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,117 +114,131 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_blocks(shared: list[tuple[list[int], list[int], int]]) -> Iterator[tuple[list[tuple[int, int]], bool]]:
-    """Blocks of two documents, as lists of (place in the later one, words), and whether the block has moved.
+def aligned(later: list[int], earlier: list[int]) -> dict[int, int]:
+    """Places of a later document with the places of an earlier one that patience diff aligns them with.
 
-    ``shared`` has the places of each common line in both documents and its words. Lines that are single in both are
-    anchors (where there are none, equal occurrences of repeated lines); the longest rising run of anchors is kept and
-    grown up and down over equal lines. Lines left over start moved blocks, grown downwards, at their next occurrence.
+    Lines that are single in both are anchors (where there are none, equal occurrences of repeated lines); the longest rising
+    run of anchors is kept and grown up and down over equal lines. Both documents are lists of keys, 0 being a blank line.
     """
-    left = {p: k for k, (places, _, _) in enumerate(shared) for p in places}
-    right = {q: k for k, (_, places, _) in enumerate(shared) for q in places}
-    anchors = [(a[0], b[0]) for a, b, _ in shared if len(a) == len(b) == 1] or [x for a, b, _ in shared for x in zip(a, b)]
+    left, right = _places(later), _places(earlier)
+    anchors = [(left[k][0], right[k][0]) for k in left if len(left[k]) == len(right.get(k, ())) == 1]
+    anchors = anchors or [x for k in left for x in zip(left[k], right.get(k, ()))]
     taken: dict[int, int] = {}
     used: set[int] = set()
+    for p, q in _longest_rising(sorted(anchors)):
+        for step, p, q in ((1, p, q), (-1, p - 1, q - 1)):
+            while 0 <= p < len(later) and 0 <= q < len(earlier) and later[p] == earlier[q] != 0 and p not in taken and q not in used:
+                taken[p] = q
+                used.add(q)
+                p, q = p + step, q + step
+    return taken
 
-    def grow(p: int, q: int, step: int, again: bool) -> None:
-        while p in left and p not in taken and left[p] == right.get(q) and (again or q not in used):
-            taken[p] = q
-            used.add(q)
-            p, q = p + step, q + step
-
-    def blocks(places: list[int]) -> Iterator[list[tuple[int, int]]]:
-        block: list[tuple[int, int]] = []
-        for p in places:
-            if block and (p != block[-1][0] + 1 or taken[p] != taken[p - 1] + 1):
-                yield block
-                block = []
-            block.append((p, shared[left[p]][2]))
-        if block:
-            yield block
 
-    for p, q in _longest_rising(sorted(anchors)):
-        grow(p, q, 1, False)
-        grow(p - 1, q - 1, -1, False)
-    in_order = sorted(taken)
-    yield from ((block, False) for block in blocks(in_order))
-    rest = sorted(left.keys() - taken.keys())
-    next_place = [0] * len(shared)
-    for p in rest:
-        if p not in taken:
-            k = left[p]
-            places = shared[k][1]
-            q = places[min(next_place[k], len(places) - 1)]
-            next_place[k] += 1
-            grow(p, q, 1, True)
-    yield from ((block, True) for block in blocks(rest))
-
-
-def _cuts(matches: list[dict], least_words: int) -> list[dict]:
-    """Runs of lines to delete, both ends included. A block that has moved counts only if it's long enough by itself."""
-    partners: dict[tuple[int, int], list[tuple[list[int], list[int], int]]] = {}
-    sizes: dict[int, int] = {}
-    for m in matches:
-        if m["lines"] > 1:
-            continue
-        sizes.update(dict.fromkeys(m["places"], m["words"]))
-        partners.setdefault((m["first_id"], m["first_digest"]), []).append((m["places"], m["first_places"], m["words"]))
-    # The lines of a run that an earlier document holds are held by earlier documents too, so that their words are known.
-    held = {p: sizes[p] for m in matches if m["lines"] > 1 for start in m["places"] for p in range(start, start + m["lines"])}
-    for shared in partners.values():
-        for block, moved in aligned_blocks(shared):
-            if not moved or sum(words for _, words in block) >= least_words:
-                held.update(block)
-    runs: list[list[int]] = []
-    for place in sorted(held):
-        if runs and runs[-1][1] == place - 1:
-            runs[-1][1] = place
-            runs[-1][2] += held[place]
-        else:
-            runs.append([place, place, held[place]])
-    return [{"start": a, "stop": b} for a, b, words in runs if words >= least_words]
+def _places(keys: list[int]) -> dict[int, list[int]]:
+    found: dict[int, list[int]] = {}
+    for place, key in enumerate(keys):
+        if key:
+            found.setdefault(key, []).append(place)
+    return found
+
+
+def _cuts(later: list[int], words: list[int], earlier: list[int], earlier_words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """Runs of lines of the later document, both ends included, that the alignment with one earlier document deletes.
+
+    Lines are in a run if they follow each other and are aligned in order, with at least ``least_words`` words together.
+    Passages that have moved are aligned by themselves, from a run of lines that stands in both.
+    """
+    rising = aligned(later, earlier)
+    found, run = [], []
+    for place in [*sorted(rising), -2]:
+        if run and place != run[-1] + 1:
+            if sum(words[p] for p in run) >= least_words:
+                found.append((run[0], run[-1]))
+            run = []
+        run.append(place)
+    moved = {}
+    for first, _, key in _runs(earlier, earlier_words, least_words):
+        moved.setdefault(key, first)
+    moved |= {k: q[0] for k, q in _places(earlier).items() if earlier_words[q[0]] >= least_words}
+    singles = [(p, p, k) for p, k in enumerate(later) if k and words[p] >= least_words]
+    gone = {p for a, b in found for p in range(a, b + 1)}
+    for first, last, key in sorted([*_runs(later, words, least_words), *singles]):
+        if key in moved and not gone.issuperset(range(first, last + 1)):
+            p, q = first, moved[key]
+            while p < len(later) and q < len(earlier) and later[p] == earlier[q] != 0:
+                p, q = p + 1, q + 1
+            if p > last:
+                found.append((first, p - 1))
+                gone.update(range(first, p))
+    return found
 
 
 def _aligner(least_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        names = "keys", "words", "first_keys", "first_words"
         for batch in batches:
-            cuts = [_cuts(m, least_words) for m in values(batch.column("matches"))]
-            partners = [sorted({x["first_id"] for x in m}) if c else [] for m, c in zip(values(batch.column("matches")), cuts)]
+            cuts = []
+            for pair in zip(*(batch.column(c) for c in names)):
+                cuts.append([{"start": a, "stop": b} for a, b in _cuts(*(c.as_py() for c in pair), least_words)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(cuts, kind), pa.array(partners, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "cuts", "partners"])
+                [batch.column("doc_id"), batch.column("digest"), batch.column("first_id"), pa.array(cuts, kind)],
+                ["doc_id", "digest", "first_id", "cuts"])
 
     return align
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of all partners put together where they overlap or touch."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        out = []
+        for cuts in batch.column("cuts"):
+            runs: list[list[int]] = []
+            for start, stop in sorted((c["start"], c["stop"]) for c in cuts.as_py()):
+                if runs and start <= runs[-1][1] + 1:
+                    runs[-1][1] = max(runs[-1][1], stop)
+                else:
+                    runs.append([start, stop])
+            out.append([{"start": a, "stop": b} for a, b in runs])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("digest"), pa.array(out, kind), batch.column("partners")], ["doc_id", "digest", "cuts", "partners"])
+
+
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, digest, cuts, partners``: lines to delete of each later document that has any, with the earlier ones."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    lines = written(rows.where(F.col("text").isNotNull()).mapInArrow(_liner(least_words), _LINES), "lines")
-    holder = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest", "places"))
-    first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    first = written(first.select("line", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "digest", "places")]), "first")
-    first = first.withColumnRenamed("first_doc_id", "first_id")
-    pairs = lines.join(first, "line").where("doc_id is null or doc_id > first_id")
-    match = F.struct("first_id", "first_digest", "places", "first_places", "words", "lines")
-    lists = pairs.groupBy("doc_id", "digest").agg(F.collect_set(match).alias("matches"))
-    cuts = lists.mapInArrow(
-        _aligner(least_words), "doc_id long, digest long, cuts array<struct<start: int, stop: int>>, partners array<bigint>")
-    return cuts.where(F.size("cuts") > 0)
+    lines = written(rows.where(F.col("text").isNotNull()).mapInArrow(_liner(least_words), _DOC), "lines")
+    names = lines.select("doc_id", "digest", F.inline("names"))
+    holder = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    first = names.groupBy("key").agg(F.min(holder).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = first.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+    pairs = names.join(first, "key").where("doc_id is null or doc_id > first_id")
+    # Repeated rows nominate alike: each key counts once.
+    pairs = pairs.groupBy("doc_id", "digest", "first_id", "first_digest").agg(F.sum("words").alias("shared"))
+    pairs = written(pairs.where(F.col("shared") >= least_words).drop("shared"), "pairs")
+    texts = lines.select("doc_id", "digest", "keys", "words").dropDuplicates(["doc_id", "digest"])
+    earlier = texts.select(*[F.col(c).alias(f"first_{c}") for c in ("digest", "keys", "words")], F.col("doc_id").alias("first_id"))
+    later = texts.withColumnsRenamed({"doc_id": "own_id", "digest": "own_digest"})
+    together = pairs.join(earlier, ["first_id", "first_digest"])
+    together = together.join(later, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    cuts = together.mapInArrow(_aligner(least_words), "doc_id long, digest long, first_id long, cuts array<struct<start: int, stop: int>>")
+    cuts = cuts.where(F.size("cuts") > 0).groupBy("doc_id", "digest").agg(
+        F.flatten(F.collect_list("cuts")).alias("cuts"), F.array_sort(F.collect_set("first_id")).alias("partners"))
+    return cuts.mapInArrow(_merged, "doc_id long, digest long, cuts array<struct<start: int, stop: int>>, partners array<bigint>")
 
 
 def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, cuts: str = "line_cuts", partners: str = "line_partners") -> DataFrame:
     """``docs`` without the lines of aligned blocks, with the deleted runs and the earlier documents they were found in.
 
-    Lines are compared by their words. Earlier is the smaller id. A run of lines that are aligned with earlier documents is
-    deleted if it has ``least_words`` words. Null and empty texts stay as they are; a text that loses all lines becomes
+    Lines are compared by their words. Earlier is the smaller id. A run of lines that are aligned, in order, with an earlier
+    document is deleted if it has ``least_words`` words. Null and empty texts stay as they are; a text that loses all lines becomes
     empty. Rows without an id come after all others and are never the earlier side; rows with one id are versions of one
     document, get their own cuts and delete nothing from each other; repeated rows are cut alike. ``n_chars``, if there is
     such a column, follows the text. Columns named as ``cuts`` or ``partners`` are replaced.
     """
     found = repeated_lines(docs, least_words)
-    found = found.select(*[F.col(c).alias(f"__cut_{c}") for c in found.columns]).hint("shuffle_hash")
+    found = found.select(*[F.col(c).alias(f"__cut_{c}") for c in found.columns])
     base = docs.drop(cuts, partners).withColumn("__row_digest", F.xxhash64("text"))
     rows = base.join(found, base["doc_id"].cast("long").eqNullSafe(found["__cut_doc_id"]) & (base["__row_digest"] == found["__cut_digest"]), "left")
     ends = F.col("__cut_cuts")
