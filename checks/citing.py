@@ -8,7 +8,6 @@ from versewright import fixed
 from versewright.functions import mask as masks
 from versewright.functions import refs
 from versewright.operators import cite, versify
-from versewright.session import written
 
 from .base import RANGES_CTE, books_cte, chapters, flat, lit, query, table, vers_cte, verse_ranges
 
@@ -29,11 +28,10 @@ def verses(spark, sf_dir):
     ).withColumn("vers_name", F.lit("kjv"))
     d = versify.from_ordinals(d, chapters("kjv"))
     text = F.concat(F.lit('<p data-id="begin">  '), F.trim("p"), F.lit(" <i>&amp;</i> "), F.col("k").cast("string"), F.lit("</p>"))
-    # Written, as the verse store is.
-    return written(d.select(
+    return cite.stored_by_chapter(d.select(
         "scripture", "book_ord", "chapter", "verse", F.when(F.col("k") % 10 == 3, "").otherwise(text).alias("markup"),
         F.array(F.concat(F.lit("Joh "), (F.col("k") % 21 + 1).cast("string"), F.lit(",1"))).alias("cross_references"),
-    ), "verses")
+    ), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 INFO_SQL = """infos(scripture, abbreviation, language, copyright) AS (SELECT DISTINCT s, left(s, 2), CASE WHEN s = 'Beta' THEN NULL ELSE 'de' END,

@@ -7,6 +7,8 @@ Tables: ``verses(scripture, book_ord, chapter, verse, markup, cross_references)`
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .. import fixed
 from ..functions import mask as masks
 from ..functions import refs
 from ..functions import text as tx
+from ..session import shared_folder
 from . import versify
 from .packed import Packed
 from .skew import attach
@@ -131,21 +134,36 @@ def joined_text(verses: Column, numbered: bool) -> Column:
     return F.array_join(F.transform(filled, text), " ")
 
 
+def stored_by_chapter(verses: DataFrame, buckets: int) -> DataFrame:
+    """Verses written as a table in buckets of chapters, sorted, in the shared folder; joins by chapter don't move its rows.
+
+    ``buckets`` is chosen for the size of the store: a bucket is what one task reads.
+    """
+    spark = verses.sparkSession
+    name = f"verses_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    chapter = ["scripture", "book_ord", "chapter"]
+    verses.repartition(buckets, *chapter).write.bucketBy(buckets, *chapter).sortBy(*chapter).saveAsTable(name, format="parquet", path=path)
+    return spark.table(name)
+
+
 def contents(ranges: DataFrame, verses: DataFrame, chapters: Chapters) -> DataFrame:
     """``content`` and ``content_numbered`` per distinct ``scripture, vers_name, range``; null if a verse is missing.
 
     Equal requests are answered once.  Verses are gathered by chapter (176 at most), ranges are split by chapter and
-    take their slice, so a range costs one row per chapter, not per verse.
+    take their slice, so a range costs one row per chapter, not per verse.  Only the chapters asked for are gathered, and of
+    a table stored by :func:`stored_by_chapter` they are gathered where they stand.
     """
     keys = ["scripture", "vers_name", "range"]
+    chapter = ["scripture", "book_ord", "chapter"]
     parts = versify.split_by_chapter(ranges.select(*keys).distinct(), chapters)
     parts = parts.select(
         *keys, F.col("part.from.book_ord").alias("book_ord"), F.col("part.from.chapter").alias("chapter"),
         F.col("part.from.verse").alias("first"), F.col("part.to.verse").alias("last"),
     )
-    texts = verses.select(*VERSE, tx.markup_to_plain(F.col("markup")).alias("plain")).groupBy(
-        "scripture", "book_ord", "chapter"
-    ).agg(F.array_sort(F.collect_list(F.struct("verse", "plain"))).alias("v"))
+    asked = attach(verses.select(*VERSE, "markup"), parts.select(*chapter).distinct(), chapter, "left_semi")
+    texts = asked.select(*VERSE, tx.markup_to_plain(F.col("markup")).alias("plain")).groupBy(*chapter).agg(
+        F.array_sort(F.collect_list(F.struct("verse", "plain"))).alias("v"))
     d = attach(parts, texts, ["scripture", "book_ord", "chapter"], "left")
     d = d.withColumn("v", F.filter("v", lambda v: v["verse"].between(F.col("first"), F.col("last"))))
     gathered = d.groupBy(*keys).agg(

@@ -3,7 +3,8 @@
 ``words``: ``image_id, word_idx, text, box, line STRUCT<text, box>?, para STRUCT<text, box>?`` in reading order.
 ``searches``: ``image_id, search_id, x, y``, a ``search_id`` being unique over all images.
 
-Positions meet boxes through grid cells, so a position is compared with the boxes of its own cell only.  Lines and
+Positions meet boxes through grids of cells, one for each size of boxes, so a position is compared with the boxes of its
+own cells only.  Lines and
 paragraphs of an image are islands found by bucketed windows (:mod:`.skew`), so one image may hold any share of the
 words.  What is gathered per search is the text around one position: a paragraph or three lines.
 """
@@ -24,22 +25,33 @@ CELL = 64
 WIDTH = 4096  # words of one image per window group
 
 
-def _cells(df: DataFrame, box: Column) -> DataFrame:
-    """One row per grid cell a box touches."""
-    cell = lambda v: F.floor(v / CELL).cast("int")
-    d = df.where((box["w"] > 0) & (box["h"] > 0))
-    d = d.withColumn("cx", F.explode(F.sequence(cell(box["x"]), cell(box["x"] + box["w"] - 1))))
-    return d.withColumn("cy", F.explode(F.sequence(cell(box["y"]), cell(box["y"] + box["h"] - 1))))
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / (F.lit(CELL) * F.pow(F.lit(2), level))).cast("int")
 
 
-def _at_cells(searches: DataFrame) -> DataFrame:
-    return searches.withColumns({"cx": F.floor(F.col("x") / CELL).cast("int"), "cy": F.floor(F.col("y") / CELL).cast("int")})
+def _cells(df: DataFrame, box: Column) -> DataFrame:
+    """A row for each cell a box touches in the grid of its level, whose cells are as large as the box: four at most."""
+    d = df.where((box["w"] > 0) & (box["h"] > 0))
+    size = F.greatest(box["w"], box["h"]) / F.lit(CELL)
+    d = d.withColumn("level", F.greatest(F.ceil(F.log2(size)), F.lit(0)).cast("int"))
+    touched = lambda at, extent: F.sequence(_cell(at, F.col("level")), _cell(at + extent - 1, F.col("level")))
+    d = d.withColumn("cx", F.explode(touched(box["x"], box["w"])))
+    return d.withColumn("cy", F.explode(touched(box["y"], box["h"])))
 
 
 def boxes_at(searches: DataFrame, boxes: DataFrame, box: str = "box") -> DataFrame:
-    """Equi-join of positions with the boxes containing them."""
-    d = attach(_at_cells(searches), _cells(boxes, F.col(box)), ["image_id", "cx", "cy"])
-    return d.where(rects.contains(F.col(box), F.col("x"), F.col("y"))).drop("cx", "cy")
+    """Equi-join of positions with the boxes containing them.
+
+    A position probes one cell of each level that its image has boxes of, some 25 levels at most whatever the boxes are.
+    """
+    kept = [c for c in boxes.columns if c != "image_id"]
+    held = boxes.select("image_id", F.struct(*kept).alias("__held"))
+    cells = _cells(held, F.col("__held")[box])
+    levels = cells.groupBy("image_id").agg(F.collect_set("level").alias("__levels"))
+    d = attach(searches, levels, ["image_id"]).withColumn("level", F.explode("__levels")).drop("__levels")
+    d = d.withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("level"))})
+    d = attach(d, cells, ["image_id", "level", "cx", "cy"]).where(rects.contains(F.col("__held")[box], F.col("x"), F.col("y")))
+    return d.select(*searches.columns, *[F.col("__held")[c].alias(c) for c in kept])
 
 
 def cursor_words(words: DataFrame, searches: DataFrame) -> DataFrame:
