@@ -82,13 +82,31 @@ SELECT o_orderkey, CAST(book_ord AS INTEGER) AS book_ord,
   CASE WHEN try_cast(number_text AS BIGINT) BETWEEN 1 AND 4294967295 THEN try_cast(number_text AS BIGINT) END AS number
 FROM r LEFT JOIN books ON book_ord = k""")
 def identifier_parsing(spark, sf_dir):
-    ids = F.array(*[F.lit(b) for b, _ in fixed.BOOKS])
-    d = table(
-        spark, sf_dir, "orders", "o_orderkey", "cast(o_orderkey % 70 as int) as k",
-        "case when o_orderkey % 11 = 0 then 'x' || o_orderkey else cast(o_orderkey * 400000 - 800000 as string) end as number_text",
-    ).withColumn("book_id", F.coalesce(F.get(ids, F.col("k")), F.lit("unknown")))
-    d = d.join(F.broadcast(dims.books(spark).select("book_id", "book_ord")), "book_id", "left")
-    return d.select("o_orderkey", "book_ord", refs.number(F.col("number_text")).alias("number"))
+    d = table(spark, sf_dir, "orders", "o_orderkey", "cast(o_orderkey % 70 as int) as k", NUMBER_TEXT).withColumn("book_id", identifier(F.col("k")))
+    return d.select("o_orderkey", refs.book_ord(F.col("book_id")).alias("book_ord"), refs.number(F.col("number_text")).alias("number"))
+
+
+NUMBER_TEXT = "case when o_orderkey % 11 = 0 then 'x' || o_orderkey else cast(o_orderkey * 400000 - 800000 as string) end as number_text"
+
+
+def identifier(k):
+    return F.coalesce(F.get(F.array(*[F.lit(b) for b, _ in fixed.BOOKS]), k), F.lit("unknown"))
+
+
+@query("parsed_references", f"""WITH {vers_cte('esv')}, r AS (SELECT o_orderkey, o_orderkey % 70 + 1 AS b,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 40 END AS c, o_orderkey % 45 AS v FROM orders),
+k AS (SELECT r.*, CASE WHEN b > 66 THEN 'unknown book' WHEN c IS NULL OR c < 1 OR v < 1 THEN 'no number'
+  WHEN last_verse IS NULL OR v > last_verse THEN 'no such verse' END AS error FROM r LEFT JOIN vers ON book_ord = b AND chapter = c)
+SELECT o_orderkey, CAST(CASE WHEN error IS NULL THEN b END AS INTEGER) AS book_ord, CAST(CASE WHEN error IS NULL THEN c END AS INTEGER) AS chapter,
+  CAST(CASE WHEN error IS NULL THEN v END AS INTEGER) AS verse, error FROM k""")
+def parsed_references(spark, sf_dir):
+    """Texts of book, chapter and verse: the references that exist and the others with the reason."""
+    d = table(spark, sf_dir, "orders", "o_orderkey", "'esv' as vers_name", "cast(o_orderkey % 70 as int) as k",
+              "case when o_orderkey % 11 = 0 then 'x' || o_custkey else cast(o_custkey % 40 as string) end as c", "cast(o_orderkey % 45 as string) as v")
+    good, bad = versify.parsed(d.withColumn("b", identifier(F.col("k"))), chapters("esv"), "b", "c", "v")
+    none = F.lit(None).cast("int")
+    bad = bad.select("o_orderkey", *[none.alias(c) for c in ("book_ord", "chapter", "verse")], "error")
+    return good.select("o_orderkey", "book_ord", "chapter", "verse", F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
 @query("request_range", f"""WITH {vers_cte('esv')}, r AS (SELECT o_orderkey, o_custkey % 66 + 1 AS b, o_orderkey % 25 AS c1,

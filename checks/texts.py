@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from versewright import dims, fixed
 from versewright.functions import refs
 from versewright.functions import text as tx
-from versewright.operators import extract
+from versewright.operators import extract, versify
 from versewright.plans import pipelines
 
 from .base import ORD, books_cte, chapter_table, chapters, flat, lit, query, table, vers_cte, verse_refs
@@ -129,6 +129,28 @@ def chapter_ranges(spark, sf_dir):
     return flat(found.select("l_orderkey", "l_linenumber", F.explode("ranges").alias("r")), "r")
 
 
+@query("verse_level_ranges", f"""WITH {vers_cte('kjv')}, r AS (SELECT l_orderkey, l_linenumber, v.book_ord AS b, v.chapter AS c, v.verse AS v1, v.last_verse AS last,
+  l_linenumber % 2 = 0 AS crossing, n.chapter IS NOT NULL AS followed
+  FROM lineitem JOIN verse v ON v.verse_ord = {ORD} LEFT JOIN vers n ON n.book_ord = v.book_ord AND n.chapter = v.chapter + 1 WHERE v.book_ord IN ({PLAIN_BOOKS})),
+k AS (SELECT * FROM r WHERE v1 + 2 <= last AND (followed OR NOT crossing))
+SELECT l_orderkey, l_linenumber, b AS fb, c AS fc, v1 AS fv, b AS tb, c AS tc, v1 AS tv FROM k
+UNION ALL SELECT l_orderkey, l_linenumber, b, c, CAST(v1 + 1 AS INTEGER), b, CAST(CASE WHEN crossing THEN c + 1 ELSE c END AS INTEGER),
+  CAST(CASE WHEN crossing THEN 1 ELSE v1 + 2 END AS INTEGER) FROM k""")
+def verse_level_ranges(spark, sf_dir):
+    """A verse and then, in its chapter, a range or one into the next chapter: ``Name 3,16a.17-18b`` and ``Name 3,16.17-4,1``."""
+    kjv = chapters("kjv")
+    d = verse_refs(spark, sf_dir).where(f"book_ord in ({PLAIN_BOOKS})")
+    d = versify.verse_count(d, kjv).withColumn("crossing", F.col("l_linenumber") % 2 == 0)
+    d = d.join(F.broadcast(versify.chapter_counts(chapter_table(spark, "kjv"))), ["vers_name", "book_ord"])
+    d = d.where("verse + 2 <= verse_count and (not crossing or chapter < chapter_count)")
+    v = F.col("verse")
+    crossing = F.concat(v, F.lit("."), v + 1, F.lit("-"), F.col("chapter") + 1, F.lit(",1"))
+    within = F.concat(v, F.lit("a."), v + 1, F.lit("-"), v + 2, F.lit("b"))
+    text = F.concat(_named("de", "book_ord"), F.lit(" "), F.col("chapter"), F.lit(","), F.when(F.col("crossing"), crossing).otherwise(within), F.lit(" lesen"))
+    found = extract.find_citations(d.select("l_orderkey", "l_linenumber", text.alias("text")), kjv, "text", "de", "kjv")
+    return flat(found.select("l_orderkey", "l_linenumber", F.explode("ranges").alias("r")), "r")
+
+
 def _named(lang, book):
     names = PLAIN_NAMES[lang]
     return F.get(F.array(*[F.lit(names.get(b)) for b in range(1, 67)]), F.col(book) - 1)

@@ -2,13 +2,15 @@ import os
 import random
 import re
 import tempfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from versewright import registry
-from versewright.sources import archives, captures, markup, metadata
+from versewright.sources import archives, captures, markup, metadata, snapshots
+from versewright.streaming import signals
 
 USFM = r"""\id JON Probe
 \h Jona
@@ -60,9 +62,10 @@ def test_both_formats_give_the_same_book(spark, fmt, text):
 
 
 def _zip(folder, name, entries):
-    with zipfile.ZipFile(os.path.join(folder, name), "w") as archive:
+    with zipfile.ZipFile(os.path.join(folder, f".{name}.part"), "w") as archive:
         for entry, content in entries.items():
             archive.writestr(entry, content)
+    os.replace(os.path.join(folder, f".{name}.part"), os.path.join(folder, name))
 
 
 def test_incremental_load_of_a_folder(spark):
@@ -97,10 +100,10 @@ def test_incremental_load_of_a_folder(spark):
         "void.zip": "empty archive", "text.zip": "no zip archive", "hole.zip": "HOS.usfm: damaged", "lock.zip": "JOL.usfm: encrypted",
     }
     assert {r.file: r.error for r in archives.load(spark, f"file:{source}", store).collect()} == errors
-    verses = archives.read_verses(spark, f"{store}/verses")
+    verses = archives.store_table(spark, store, "verses")
     assert verses.groupBy("scripture").count().orderBy("scripture").collect() == [("k.zip", 5), ("l.zip", 21)]
     assert archives.passage(verses, "k.zip", 32, 1, 3).first().markup == VERSES[1, 3]
-    catalog = {r.file: (r.catalog_name, r.abbreviation) for r in archives.catalog(spark.read.parquet(f"{store}/info")).collect()}
+    catalog = {r.file: (r.catalog_name, r.abbreviation) for r in archives.catalog(archives.store_table(spark, store, "info")).collect()}
     assert catalog == {"k.zip": ("Probe", "Pr"), "l.zip": ("Probe (1)", "Unknown Abbreviation")}
     # One vanishes, one no longer reads: neither is in the catalog, only what no longer reads keeps its verses.
     _zip(source, "m.zip", {"OBA.sfm": chapter})
@@ -109,14 +112,88 @@ def test_incremental_load_of_a_folder(spark):
     _zip(source, "k.zip", {"JON.usfm": b"\\id JON\n\\c 1\n\\p\n\\v 1 \xff\n"})
     status = {r.file: r.error for r in archives.load(spark, f"file:{source}", store).collect()}
     assert status == {k: v for k, v in errors.items() if k != "l.zip"} | {"k.zip": "JON.usfm: no UTF-8 text"}
-    assert {r.scripture for r in archives.read_verses(spark, f"{store}/verses").select("scripture").distinct().collect()} == {"k.zip", "m.zip"}
-    for table in ("info", "names", "manifest"):
-        assert {r.file for r in spark.read.parquet(f"{store}/{table}").select("file").distinct().collect()} == {"m.zip"}
+    assert {r.scripture for r in archives.store_table(spark, store, "verses").select("scripture").distinct().collect()} == {"k.zip", "m.zip"}
+    for table in ("info", "names"):
+        assert {r.file for r in archives.store_table(spark, store, table).select("file").distinct().collect()} == {"m.zip"}
+    assert {(r.file, r.stamp is None) for r in snapshots.manifest(spark, store).collect()} == {("k.zip", True), ("m.zip", False)}
     assert archives.import_archives(spark, f"file:{source}", target) == 1
     assert [n for n in os.listdir(target) if not n.startswith(".")] == ["m.zip"]
     assert archives.import_archives(spark, f"file:{target}", f"{target}/") == 0
 
 
+CHAPTER = "\\id OBA\n\\c 1\n\\m\n" + "".join(f"\\v {i} Wort\n" for i in range(1, 22))
+
+
+def _state(spark, store):
+    return {t: sorted(map(str, archives.store_table(spark, store, t).collect())) for t in ("verses", "names", "info")}
+
+
+def test_a_load_that_stops_leaves_the_version_before(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    source, store = os.path.join(folder, "src"), os.path.join(folder, "store")
+    os.mkdir(source)
+    _zip(source, "a.zip", {"OBA.sfm": CHAPTER})
+    archives.load(spark, f"file:{source}", store)
+    before, version = _state(spark, store), snapshots.current(spark, store)
+    assert version == 1 and len(before["verses"]) == 21
+    archives.load(spark, f"file:{source}", store)
+    assert snapshots.current(spark, store) == 1  # nothing has changed
+    _zip(source, "b.zip", {"OBA.sfm": CHAPTER})
+    os.remove(os.path.join(source, "a.zip"))
+
+    def breaks(entries):
+        out = archives.read_archives(entries)
+        return out | {"info": out["info"].where(F.raise_error(F.lit("stopped")).isNotNull())}  # after verses and names are written
+
+    with pytest.raises(Exception, match="stopped"):
+        archives.load(spark, f"file:{source}", store, reader=breaks)
+    assert snapshots.current(spark, store) == 1 and _state(spark, store) == before
+    archives.load(spark, f"file:{source}", store)
+    assert {r.scripture for r in archives.store_table(spark, store, "verses").select("scripture").distinct().collect()} == {"b.zip"}
+    # Two loads from one version: the second is refused, and what it has written is in no version.
+    rows = {t: archives.store_table(spark, store, t).withColumnsRenamed({"scripture": "file"}) for t in ("verses", "names", "info")}
+    kept = snapshots.manifest(spark, store)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, store, 1, rows, lambda load: kept)
+    after = _state(spark, store)
+    assert len(snapshots.expire(spark, store)) == 3 and _state(spark, store) == after
+    assert snapshots.read(spark, store, "verses", 2).count() == 21
+
+
+def test_a_watched_folder(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    source, store = os.path.join(folder, "src"), os.path.join(folder, "store")
+    os.mkdir(source)
+    seen = []
+
+    def reader(entries):
+        seen.append({r.file for r in entries.select("file").distinct().collect()})
+        return archives.read_archives(entries)
+
+    def until(version, files):
+        deadline = time.time() + 120
+        while snapshots.current(spark, store) < version and time.time() < deadline:
+            assert q.isActive, q.exception()
+            time.sleep(0.5)
+        assert {r.scripture for r in archives.store_table(spark, store, "verses").select("scripture").distinct().collect()} == files
+
+    _zip(source, "a.zip", {"OBA.sfm": CHAPTER})
+    _zip(source, "b.zip", {"OBA.sfm": CHAPTER})
+    q = signals.watch_folder(spark, f"file:{source}", store, f"{folder}/state", "1 second", reader).start()
+    try:
+        until(1, {"a.zip", "b.zip"})
+        os.remove(os.path.join(source, "a.zip"))
+        until(2, {"b.zip"})
+        _zip(source, "b.zip", {"OBA.sfm": CHAPTER + "\\c 2\n\\m\n\\v 1 mehr\n"})
+        until(3, {"b.zip"})
+        assert archives.store_table(spark, store, "verses").count() == 22
+        _zip(source, "c.zip", {"OBA.sfm": CHAPTER})
+        until(4, {"b.zip", "c.zip"})
+    finally:
+        q.stop()
+    assert [s for s in seen if s] == [{"a.zip", "b.zip"}, {"b.zip"}, {"c.zip"}]
+
+
 def test_catalog_names_by_brute_force(spark):
     rnd = random.Random(12)
     names = [rnd.choice(["Alt", "Alt", "Neu", "Alt (2)", "Neu (1)", "Alt (1) (1)", "Neu (03)", "Alt (4000000000)"]) for _ in range(30)]

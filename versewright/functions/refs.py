@@ -41,6 +41,12 @@ def book_id(book_ord: Column) -> Column:
     return F.element_at(F.array(*[F.lit(b) for b, _ in fixed.BOOKS]), book_ord)
 
 
+def book_ord(identifier: Column) -> Column:
+    """Number of a book by its identifier, null for an unknown one."""
+    at = F.array_position(F.array(*[F.lit(b) for b, _ in fixed.BOOKS]), identifier)
+    return F.when(at > 0, at.cast("int"))
+
+
 def format_ref(r: Column) -> Column:
     return F.format_string("%s %d, %d", book_id(r["book_ord"]), r["chapter"], r["verse"])
 

@@ -245,6 +245,23 @@ def total_verses(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("vers_name").agg(F.sum("last_verse").alias("verses"))
 
 
+def parsed(df: DataFrame, chapters: Chapters, book: str, chapter: str, verse: str) -> tuple[DataFrame, DataFrame]:
+    """References given as texts: those that exist, with ``book_ord, chapter, verse``, and the others with an ``error``.
+
+    Errors, the first that applies: ``unknown book``, ``no number`` (none, below 1 or above the largest), ``no such verse``.
+    """
+    names = {"__book": refs.book_ord(F.col(book)), "__chapter": refs.number(F.col(chapter)), "__verse": refs.number(F.col(verse))}
+    d = _at_chapter(df.withColumns(names), chapters, F.col("__book"), F.col("__chapter"), {"last_verse": "__last"})
+    error = F.when(F.col("__book").isNull(), "unknown book").when(
+        F.col("__chapter").isNull() | F.col("__verse").isNull(), "no number").when(
+        ~F.coalesce(F.col("__verse") <= F.col("__last"), F.lit(False)), "no such verse")
+    d = d.withColumn("__error", error)
+    kept = [c for c in df.columns if c not in ("book_ord", "chapter", "verse")]
+    good = d.where("__error is null").select(*kept, *[F.col(f"__{c}").cast("int").alias(n) for c, n in (
+        ("book", "book_ord"), ("chapter", "chapter"), ("verse", "verse"))])
+    return good, d.where("__error is not null").select(*df.columns, F.col("__error").alias("error"))
+
+
 # --- versifications derived from observed verses -----------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from .. import dims
 from ..operators import versify
 from ..operators.skew import attach, union_all
 from ..session import written
-from . import markup, metadata
+from . import markup, metadata, snapshots
 
 # An archive, or a part of it, that can't be unzipped has a row with an ``error`` and without content.
 ENTRY = "file string, size long, modified long, entry_idx int, entry string, content binary, error string"
@@ -30,7 +30,7 @@ FORMATS = [("usfm", (".usfm", ".sfm")), ("usx", (".usx",))]
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """``file, size, modified, path`` of the archives directly in a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("ignoreMissingFiles", True).load(folder)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("modified"), "path",
@@ -42,7 +42,7 @@ def scan_entries(spark: SparkSession, folder: str, only: DataFrame | None = None
 
     ``only`` restricts the files by name; ``wanted``, endings of entry names, leaves other entries zipped.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("ignoreMissingFiles", True).load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("modified"), "content",
     )
@@ -299,52 +299,38 @@ def load(
     """Bring the store up to date with a folder and return the status of the archives read.
 
     Only changed archives are read, each unzipped once. An archive that does not read keeps its old verses but leaves the
-    catalog, and is tried again the next time; a vanished one leaves both. Tables: ``verses`` (by ``scripture`` = file),
-    ``names``, ``info`` and ``manifest``.
+    catalog, and is tried again the next time; a vanished one leaves both. The tables ``verses``, ``names`` and ``info``
+    change together (:mod:`.snapshots`); where nothing has changed there is no new version.
     """
-    tables = {t: f"{store.rstrip('/')}/{t}" for t in ("verses", "names", "info", "manifest")}
-    kept = _kept(spark, tables["manifest"], "file string, stamp string")
+    store = store.rstrip("/")
+    before = snapshots.current(spark, store)
+    kept = snapshots.manifest(spark, store, before)
     files = written(scan_files(spark, folder), "files")
     todo = written(changed(files, kept, reload), "changed")
     gone = written(vanished(files, kept).select("file"), "gone")
     endings = tuple(x for _, extensions in FORMATS for x in extensions) + tuple(name.lower() for name, _ in metadata.INFO_FILES)
     out = reader(written(scan_entries(spark, folder, todo, endings), "entries"))
     status = written(out["status"], "status")
-    read = status.where("error is null").select("file")
-    write_verses(out["verses"].withColumnRenamed("file", "scripture"), tables["verses"])
-    replaced = todo.select("file")
-    for table in ("names", "info"):
-        _merge(spark, out[table], tables[table], replaced, gone)
-    for row in gone.toLocalIterator():  # names of folders, no rows
-        _delete(spark, f"{tables['verses']}/scripture={row.file}")
-    # Last, so that a load that fails before is done again as a whole.
-    _merge(spark, attach(todo, read, ["file"], "left_semi").select("file", "stamp"), tables["manifest"], replaced, gone)
-    return status
-
-
-def _path(spark: SparkSession, path: str):
-    """A Hadoop path with its file system, in full."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(target), system
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target, system = _path(spark, path)
-    system.delete(target, True)
+    if todo.isEmpty() and gone.isEmpty():
+        return status
+    readable = status.where("error is null").select("file")
 
+    def rows(load_id: str) -> DataFrame:
+        new = attach(todo.select("file", "stamp"), readable, ["file"], "left_semi")
+        new = new.select("file", "stamp", F.lit(load_id).alias("load"), F.lit(True).alias("listed"))
+        stay = attach(attach(kept, todo.select("file"), ["file"], "left_anti"), gone, ["file"], "left_anti")
+        old = attach(attach(kept, todo.select("file"), ["file"], "left_semi"), readable, ["file"], "left_anti")
+        old = old.select("file", F.lit(None).cast("string").alias("stamp"), "load", F.lit(False).alias("listed"))
+        return new.unionByName(stay).unionByName(old)
 
-def _kept(spark: SparkSession, path: str, schema) -> DataFrame:
-    target, system = _path(spark, path)
-    return spark.read.schema(schema).parquet(path) if system.exists(target) else spark.createDataFrame([], schema)
+    snapshots.commit(spark, store, before, {t: out[t] for t in ("verses", "names", "info")}, rows)
+    return status
 
 
-def _merge(spark: SparkSession, new: DataFrame, path: str, replaced: DataFrame, gone: DataFrame) -> None:
-    """Rows of files read again or gone make way for the new ones; written aside first, then moved into place."""
-    old = _kept(spark, path, new.schema)
-    stay = attach(attach(old, replaced, ["file"], "left_anti"), gone, ["file"], "left_anti")
-    merged = written(stay.unionByName(new), "merge")
-    merged.write.mode("overwrite").parquet(path)
+def store_table(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """``verses`` (by ``scripture``, the file), ``names`` or ``info`` of the current version of a store."""
+    rows = snapshots.read(spark, store.rstrip("/"), table)
+    return rows.withColumnRenamed("file", "scripture") if table == "verses" else rows
 
 
 def import_archives(
@@ -354,7 +340,7 @@ def import_archives(
 
     Nothing is copied from the folder itself or from within it. Hadoop copies file by file, between any file systems.
     """
-    (origin, origin_system), (target, target_system) = _path(spark, source), _path(spark, folder)
+    (origin, origin_system), (target, target_system) = snapshots.hadoop_path(spark, source), snapshots.hadoop_path(spark, folder)
     inside = origin if origin_system.getFileStatus(origin).isDirectory() else origin.getParent()
     if inside.equals(target):
         return 0

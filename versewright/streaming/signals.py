@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +61,18 @@ def of_running(results: DataFrame, runs: DataFrame, at: str = "ts") -> DataFrame
     return d.where(F.col("stopped_at").isNull() | (F.col(at) < F.col("stopped_at"))).drop("stopped_at")
 
 
-def watch_folder(spark: SparkSession, folder: str, store: str, checkpoint: str):
-    """Reload a scripture folder whenever archives arrive in it; each micro-batch is an incremental load."""
+def watch_folder(
+    spark: SparkSession, folder: str, store: str, checkpoint: str, every: str = "30 seconds", reader: Callable | None = None
+):
+    """Compare a scripture folder with the store again and again and load what is new, was replaced or has vanished.
+
+    A micro-batch lists the folder; only archives whose size or time differ from the store's manifest are read. A batch in
+    which nothing differs makes no version, one that fails is repeated and leaves the version before it whole.
+    """
     from ..sources import archives
 
-    arrivals = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").schema(
-            "path string, modificationTime timestamp, length long, content binary"
-        ).load(folder).select("path", "length")
-    )
-    return arrivals.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: None if batch.isEmpty() else archives.load(spark, folder, store)
+    options = {"reader": reader} if reader else {}
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(
+        lambda batch, _: archives.load(spark, folder, store, **options) and None
     )
