@@ -21,11 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Longer arrays are kept on disk.
-IN_MEMORY = 64 << 20
+IN_MEMORY = 128 << 20
 #: Texts (of names) of so many symbols are sorted in memory by doubling.
 DOUBLED = 1 << 22
 #: Entries processed at a time, and in a range of several symbols.
-BLOCK, RANGE = 1 << 18, 1 << 10
+BLOCK, RANGE = 1 << 18, 1 << 12
 FAR = 1 << 30
 
 #: A suffix in a queue: its first symbol and position, how often the first symbol stands there in a row, the block of the
@@ -171,8 +171,8 @@ class _Text:
         return lo + np.flatnonzero(rises[lo:hi] & ~before)
 
     def before(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols before positions, packed, and how many; positions are looked up in order."""
-        order = np.argsort(pos)
+        """The symbols before positions, packed, and how many; on disk, positions are looked up in order."""
+        order = np.argsort(pos) if isinstance(self.text, np.memmap) else slice(None)
         at = pos[order]
         carry, left = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int32)
         for j in range(self.held):

@@ -25,7 +25,7 @@ WINDOW, ANCHOR = 200, 64
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 #: Bytes of segments that a shard should have: it's larger only where one anchor has more.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 
 _SYMBOLS = np.random.default_rng(20).integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
