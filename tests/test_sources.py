@@ -207,17 +207,65 @@ def test_catalog_names_by_brute_force(spark):
     assert [r.catalog_name for r in archives.named(d).orderBy("file").collect()] == taken
 
 
-def test_metadata_files(spark):
-    page = ('<div class="toc"><a href="https://ebible.org/abc1">T</a></div><h1 class="x">Title</h1><p>c &copy; 1950&nbsp;<b>X<br/>'
-            "Language: <a href='l'>Deutsch (German)</a></p>")
-    bundle = ("<DBLMetadata><identification><name>N</name><nameLocal>L</nameLocal></identification><language><name>G</name></language>"
-              "<copyright><a><statementContent><p>(c)</p></statementContent></a></copyright></DBLMetadata>")
-    row = spark.range(1).select(
-        metadata.ebible(F.lit(page)).alias("e"), metadata.dbl(F.lit(bundle)).alias("d"), metadata.dbl(F.lit("<a><b>")).alias("x")
-    ).first()
-    assert tuple(row.e) == ("Title", "abc1", "Deutsch", "c © 1950 X")
-    assert tuple(row.d) == ("L", None, "G", "(c)")
-    assert row.x is None
+def _record(rnd):
+    """What a scripture's files may tell; None where they don't."""
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))).title()
+    maybe = lambda value: value if rnd.random() < 0.8 else None
+    return {"name": maybe(f"{word()} & {word()}"), "abbreviation": maybe(word().lower() + str(rnd.randint(0, 99))), "language": maybe(word()),
+            "copyright": maybe(f"{word()} < {word()} {rnd.randint(1800, 2030)}")}
+
+
+def _xml(text):
+    return text.replace("&", "&amp;").replace("<", "&lt;")
+
+
+def _page(rnd, r):
+    """A web page of the record: parts in tags of either case, remarks and markup around them."""
+    q, up = rnd.choice("\"'"), rnd.choice([str, str.upper])
+    parts = ["<html><head><title>none of it</title></head>"]
+    if r["abbreviation"]:
+        parts.append(f"<nav class={q}toc{q}>\n <a rel=x href={q}http://host/a/{r['abbreviation']}{q}>read</a></nav>")
+    if r["name"]:
+        parts.append(f"<{up('h1')}{rnd.choice(['', ' id=t'])}> {_xml(r['name'])}</{up('h1')}>")
+    if r["copyright"]:
+        parts.append(f"<{up('p')}>{_xml(r['copyright']).replace(' ', rnd.choice([' ', '<i> </i>']), 1)}<{up('br')}>second line</{up('p')}>")
+    if r["language"]:
+        parts.append(f"<div>Language:{rnd.choice(['', ' '])}<a href={q}x{q}>{r['language']}{rnd.choice(['', ' (own name)'])}</a></div>")
+    return "".join(parts)
+
+
+def _bundle(rnd, r):
+    """Bundle metadata of the record: local values beside other ones, that count less, or alone."""
+    def both(name, value):
+        local = value is not None and rnd.random() < 0.5
+        if value is None:
+            return ""
+        return f"<{name}>{'other' if local else _xml(value)}</{name}>" + (f"<{name}Local>{_xml(value)}</{name}Local>" if local else "")
+
+    statement = f"<copyright><full><statementContent><p>{_xml(r['copyright'])}</p></statementContent></full></copyright>" if r["copyright"] else ""
+    language = f"<language>{both('name', r['language'])}</language>" if r["language"] else ""
+    return (f"<Meta><identification>{both('name', r['name'])}{both('abbreviation', r['abbreviation'])}</identification>{language}{statement}</Meta>")
+
+
+def _settings(rnd, r):
+    names = {"FullName": "name", "Name": "abbreviation", "Language": "language", "Copyright": "copyright"}
+    parts = [f"<{tag}>{_xml(r[key])}</{tag}>" for tag, key in names.items() if r[key]]
+    rnd.shuffle(parts)
+    return "<S>" + "<Deep><Name>no child of the root</Name></Deep>" * rnd.randint(0, 1) + "".join(parts) + "</S>"
+
+
+@pytest.mark.parametrize("reader, render", [("ebible", _page), ("dbl", _bundle), ("paratext", _settings)])
+def test_metadata_of_generated_files(spark, reader, render):
+    rnd = random.Random(reader)
+    records = [_record(rnd) for _ in range(25)]
+    for r in records if reader == "dbl" else []:  # without a name of its own, a bundle takes any other name in it
+        r["name"] = r["name"] or "Somewhat"
+    rows = [(i, render(rnd, r)) for i, r in enumerate(records)] + [(99, "<a><b>")]
+    found = spark.createDataFrame(rows, "i int, t string").select("i", metadata.READERS[reader](F.col("t")).alias("r"))
+    got = {x.i: x.r and x.r.asDict() for x in found.collect()}
+    if reader != "ebible":  # a page needs no form, the others are XML
+        assert got[99] is None
+    assert [got[i] for i in range(25)] == records
 
 
 def test_broken_captures_are_rejected(spark):
