@@ -129,3 +129,35 @@ def test_boxes_of_any_size_stand_in_four_cells(spark):
     inside = lambda b, x, y: b["x"] <= x < b["x"] + b["w"] and b["y"] <= y < b["y"] + b["h"]
     want = {(s, w) for image, s, x, y in points for other, w, b in boxes if image == other and inside(b, x, y)}
     assert {(r.search_id, r.word_idx) for r in found.collect()} == want and found.count() == len(want)
+
+
+def plan(spark, df):
+    """The plan without adaptive execution, which shows the shuffles that are used twice."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().sparkSession().sessionState().executePlan(
+            df._jdf.queryExecution().logical(), df._jdf.queryExecution().mode()).executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_islands_come_from_one_shuffle_of_the_words(spark, monkeypatch):
+    monkeypatch.setattr(ocr, "WIDTH", 8)
+    rnd, rows, want = random.Random(5), [], set()
+    for image in ("a", "b"):
+        line, run, number, before = 0, 0, 0, "none"
+        last = None
+        for i in range(60):
+            line += rnd.random() < 0.2
+            at = None if rnd.random() < 0.3 or 16 <= i < 27 else line
+            run += before == "none" or at != before
+            number += at is not None and at != last
+            before, last = at, last if at is None else at
+            rows.append((image, i, "x", (i, 0, 5, 5), None if at is None else ("t", (0, at * 30, 9, 9)), None))
+            want.add((image, i, run, None if at is None else number))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, WORDS).write.parquet(f"{folder}/words")
+    found = ocr.with_islands(spark.read.parquet(f"{folder}/words")).select("image_id", "word_idx", "line_run", "line_no")
+    assert {tuple(r) for r in found.collect()} == want
+    shown = plan(spark, found)
+    assert sum("+- Exchange hashpartitioning" in x and "__b" in x and "Reused" not in x for x in shown.split("\n")) <= 2, shown

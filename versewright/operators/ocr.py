@@ -73,11 +73,11 @@ def with_islands(words: DataFrame) -> DataFrame:
     A run ends where the box changes or is missing, a line only where another line begins.
     """
     changes = lambda prev, cur: ~prev.eqNullSafe(cur)
-    d = islands(words, ["image_id"], "word_idx", WIDTH, {
-        "line_run": (F.col("line.box"), changes), "para_run": (F.col("para.box"), changes),
-    })
-    lined = islands(d.where("line is not null"), ["image_id"], "word_idx", WIDTH, {"line_no": (F.col("line.box"), changes)})
-    return lined.unionByName(d.where("line is null").withColumn("line_no", F.lit(None).cast("long")))
+    line = F.col("line.box")
+    return islands(words, ["image_id"], "word_idx", WIDTH, {
+        "line_run": (line, changes), "para_run": (F.col("para.box"), changes),
+        "line_no": (F.when(F.col("line").isNotNull(), F.struct(line.alias("box"))), changes),
+    }, skipping=("line_no",))
 
 
 def _spans(islands_: DataFrame, run: str) -> DataFrame:

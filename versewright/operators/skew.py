@@ -26,30 +26,39 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 def islands(
     df: DataFrame, keys: list[str], order: str, width: int,
     specs: dict[str, tuple[Column, Callable[[Column, Column], Column]]], tiebreak: tuple[str, ...] = (),
+    skipping: tuple[str, ...] = (),
 ) -> DataFrame:
     """Number runs of consecutive rows per ``keys`` in the order of a numeric column, counted from 1.
 
     ``specs`` maps an output column to a value and a test ``begins(previous, current)`` that tells where a run begins.
-    A window group spans at most ``width`` of the order column; ``tiebreak`` orders rows equal in it.
+    A window group spans at most ``width`` of the order column; ``tiebreak`` orders rows equal in it. Columns named in
+    ``skipping`` pass over rows without a value, which get no number. All of them come from one shuffle of the rows.
     """
     at = F.struct(order, *tiebreak)
     d = df.withColumn("__b", F.floor(F.col(order) / F.lit(width)).cast("long"))
-    d = d.withColumns({f"__v_{n}": F.struct(v.alias("v")) for n, (v, _) in specs.items()})
+    # The join below drops these; said here, both of its sides are one shuffle.
+    d = d.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "__b")]))
+    held = lambda n, v: F.when(v.isNotNull(), F.struct(v.alias("v"))) if n in skipping else F.struct(v.alias("v"))
+    d = d.withColumns({f"__v_{n}": held(n, v) for n, (v, _) in specs.items()})
     inner = Window.partitionBy(*keys, "__b").orderBy(order, *tiebreak)
     flag = lambda begins, prev, cur: F.coalesce(begins(prev["v"], cur["v"]), F.lit(False)).cast("int")
-    d = d.withColumns({f"__p_{n}": F.lag(f"__v_{n}").over(inner) for n in specs})
+    # The last value before a row, of this bucket or of the buckets before.
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumns({f"__p_{n}": last(f"__v_{n}", inner) for n in specs})
     d = d.withColumns({
-        f"__f_{n}": F.when(F.col(f"__p_{n}").isNull(), 0).otherwise(flag(b, F.col(f"__p_{n}"), F.col(f"__v_{n}")))
-        for n, (_, b) in specs.items()
+        f"__f_{n}": F.when(F.col(f"__p_{n}").isNull() | F.col(f"__v_{n}").isNull(), 0).otherwise(
+            flag(b, F.col(f"__p_{n}"), F.col(f"__v_{n}"))
+        ) for n, (_, b) in specs.items()
     })
+    valued = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), at)
     summary = d.groupBy(*keys, "__b").agg(*[x for n in specs for x in (
-        F.min_by(f"__v_{n}", at).alias(f"__first_{n}"), F.max_by(f"__v_{n}", at).alias(f"__last_{n}"),
+        F.min_by(f"__v_{n}", valued(n)).alias(f"__first_{n}"), F.max_by(f"__v_{n}", valued(n)).alias(f"__last_{n}"),
         F.sum(f"__f_{n}").alias(f"__sum_{n}"),
     )])
     along = Window.partitionBy(*keys).orderBy("__b")
-    summary = summary.withColumns({f"__carry_{n}": F.lag(f"__last_{n}").over(along) for n in specs})
+    summary = summary.withColumns({f"__carry_{n}": last(f"__last_{n}", along) for n in specs})
     summary = summary.withColumns({
-        f"__open_{n}": F.when(F.col(f"__carry_{n}").isNull(), 1).otherwise(
+        f"__open_{n}": F.when(F.col(f"__first_{n}").isNull(), 0).when(F.col(f"__carry_{n}").isNull(), 1).otherwise(
             flag(b, F.col(f"__carry_{n}"), F.col(f"__first_{n}"))
         ) for n, (_, b) in specs.items()
     })
@@ -62,7 +71,9 @@ def islands(
     d = d.withColumns({f"__run_{n}": F.sum(f"__f_{n}").over(run) for n in specs})
     # At most ``width`` of the order per key and bucket, and partitioned for the window already: a plain join.
     d = d.join(carried, [*keys, "__b"])
-    return d.select(*df.columns, *[(F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(n) for n in specs])
+    return d.select(*df.columns, *[
+        F.when(F.col(f"__v_{n}").isNotNull(), F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(n) for n in specs
+    ])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
