@@ -163,6 +163,11 @@ def test_islands_come_from_one_shuffle_of_the_words(spark, monkeypatch):
     assert sum("+- Exchange hashpartitioning" in x and "__b" in x and "Reused" not in x for x in shown.split("\n")) <= 2, shown
 
 
+def test_a_box_stands_in_one_cell(spark, words):
+    cells = ocr._cells(words, F.col("box")).groupBy("image_id", "word_idx").count()
+    assert cells.agg(F.max("count")).first()[0] == 1
+
+
 def test_gaps_are_found_without_gathering_words(spark):
     import __spark_entry__ as entry_points
 

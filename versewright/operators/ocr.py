@@ -30,26 +30,26 @@ def _cell(at: Column, level: Column) -> Column:
 
 
 def _cells(df: DataFrame, box: Column) -> DataFrame:
-    """A row for each cell a box touches in the grid of its level, whose cells are as large as the box: four at most."""
+    """The cell each box begins in, in the grid of its level, whose cells are as large as the box at least."""
     d = df.where((box["w"] > 0) & (box["h"] > 0))
     size = F.greatest(box["w"], box["h"]) / F.lit(CELL)
     d = d.withColumn("level", F.greatest(F.ceil(F.log2(size)), F.lit(0)).cast("int"))
-    touched = lambda at, extent: F.sequence(_cell(at, F.col("level")), _cell(at + extent - 1, F.col("level")))
-    d = d.withColumn("cx", F.explode(touched(box["x"], box["w"])))
-    return d.withColumn("cy", F.explode(touched(box["y"], box["h"])))
+    return d.withColumns({"cx": _cell(box["x"], F.col("level")), "cy": _cell(box["y"], F.col("level"))})
 
 
 def boxes_at(searches: DataFrame, boxes: DataFrame, box: str = "box") -> DataFrame:
     """Equi-join of positions with the boxes containing them.
 
-    A position probes one cell of each level that its image has boxes of, some 25 levels at most whatever the boxes are.
+    A box holds positions of the cell it begins in and of the next ones at most, so a position probes four cells of each
+    level that its image has boxes of, some 25 levels at most whatever the boxes are.
     """
     kept = [c for c in boxes.columns if c != "image_id"]
     held = boxes.select("image_id", F.struct(*kept).alias("__held"))
     cells = _cells(held, F.col("__held")[box])
     levels = cells.groupBy("image_id").agg(F.collect_set("level").alias("__levels"))
     d = attach(searches, levels, ["image_id"]).withColumn("level", F.explode("__levels")).drop("__levels")
-    d = d.withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("level"))})
+    for c, at in (("cx", "x"), ("cy", "y")):
+        d = d.withColumn(c, _cell(F.col(at), F.col("level"))).withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c))))
     d = attach(d, cells, ["image_id", "level", "cx", "cy"]).where(rects.contains(F.col("__held")[box], F.col("x"), F.col("y")))
     return d.select(*searches.columns, *[F.col("__held")[c].alias(c) for c in kept])
 
