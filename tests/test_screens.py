@@ -172,3 +172,7 @@ def test_gaps_are_found_without_gathering_words(spark):
     import __spark_entry__ as entry_points
 
     assert "Aggregate" not in plan(spark, entry_points.queries()["ocr_wide_gaps"](spark, "/root/testdata/sf0.001"))
+
+
+def test_words_are_not_joined_with_pointed_at_images(spark, words):
+    assert "LeftSemi" not in plan(spark, ocr.position_texts(words, spark.createDataFrame([("two", 1, 15, 85)], SEARCHES)))

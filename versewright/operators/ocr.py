@@ -153,8 +153,6 @@ def position_texts(words: DataFrame, searches: DataFrame) -> DataFrame:
     ``image_id, search_id, x, y, text, found ARRAY<STRUCT<word_idx, begin, box, n>>, idx``; searches that point
     nowhere are left out.
     """
-    # Only images that are pointed at count.
-    words = attach(words, searches.select("image_id").distinct(), ["image_id"], "left_semi")
     boxes = words.select(
         "image_id", "word_idx", F.struct("line.box").alias("line"), F.struct("para.box").alias("para"),
         F.col("line").isNotNull().alias("l"), F.col("para").isNotNull().alias("p"),
