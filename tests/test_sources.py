@@ -289,3 +289,16 @@ def test_providers(spark):
     assert spark.range(1).select(url.alias("u")).first().u == "https://www.bible.com/bible/1/PSA.23.1-3.KJV"
     registry.register_functions(spark, {"twice": F.udf(lambda x: x * 2, "long")})
     assert spark.sql("SELECT twice(4) AS t").first().t == 8
+
+
+def test_texts_of_captures_are_numbered_without_a_join(spark):
+    box = "struct<x:int,y:int,w:int,h:int>"
+    one, two = ("one", (0, 0, 9, 9)), ("two", (0, 30, 9, 9))
+    rows = [("a", 0, "w", (0, 0, 1, 1), None, None), ("a", 1, "v", (1, 0, 1, 1), one, two), ("a", 2, "v", (2, 0, 1, 1), two, one),
+            ("a", 2, "u", (3, 0, 1, 1), two, None), ("b", 0, "w", (0, 0, 1, 1), two, None), ("b", 1, "w", (0, 0, 1, 1), None, two)]
+    words = spark.createDataFrame(rows, f"image_id string, word_idx int, text string, box {box}, line struct<text:string,box:{box}>, para struct<text:string,box:{box}>")
+    found = captures._numbered(words)
+    got = {(r.image_id, r.word_idx, r.text, r.box.x, r.line_n, r.para_n) for r in found.collect()}
+    assert got == {("a", 0, "w", 0, None, None), ("a", 1, "v", 1, 0, 1), ("a", 2, "v", 2, 1, 0), ("a", 2, "u", 3, 1, None),
+                   ("b", 0, "w", 0, 0, None), ("b", 1, "w", 0, None, 0)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

@@ -89,6 +89,27 @@ def layouts(files: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """``image_id, word_idx, text, box, line_n, para_n``: words with the numbers of their texts, counted by first use.
+
+    Texts are told apart by their digests, so that a word moves once and without the texts it stands in.
+    """
+    digest = lambda t: F.when(F.col(t).isNotNull(), F.unhex(F.sha2(F.to_json(t), 256)))
+    d = words.select("image_id", "word_idx", F.struct("text", "box").alias("w"), F.monotonically_increasing_id().alias("__row"),
+                     digest("line").alias("line"), digest("para").alias("para"))
+    # A row for the line, missing or not, and one for a paragraph.
+    use = lambda k, t, w: F.struct(F.lit(k).alias("k"), t.alias("t"), w.alias("w"))
+    para = F.when(F.col("para").isNotNull(), use(1, F.col("para"), F.lit(None).cast(d.schema["w"].dataType)))
+    d = d.select("image_id", "word_idx", "__row", F.inline(F.array_compact(F.array(use(0, F.col("line"), F.col("w")), para))))
+    d = d.repartition("image_id").withColumn("at", F.when(F.col("t").isNotNull(), F.struct("word_idx", "k")))
+    d = d.withColumn("at", F.min("at").over(Window.partitionBy("image_id", "t")))
+    d = d.withColumn("n", F.dense_rank().over(Window.partitionBy("image_id").orderBy(F.col("at").asc_nulls_last())) - 1)
+    number = lambda k: F.max(F.when((F.col("k") == k) & F.col("t").isNotNull(), F.col("n")))
+    d = d.groupBy("image_id", "word_idx", "__row").agg(
+        F.first("w", ignorenulls=True).alias("w"), number(0).alias("line_n"), number(1).alias("para_n"))
+    return d.select("image_id", "word_idx", "w.text", "w.box", "line_n", "para_n")
+
+
 def records(images: DataFrame, words: DataFrame, layouts: DataFrame) -> DataFrame:
     """``image_id, ord, value``: the records of each image in the order of its file.
 
@@ -105,10 +126,7 @@ def records(images: DataFrame, words: DataFrame, layouts: DataFrame) -> DataFram
     texts = index.select(
         "image_id", order(1, "n").alias("ord"), F.concat_ws(" ", F.lit("text"), numbers("t.box"), escaped(F.col("t.text"))).alias("value")
     )
-    d = words
-    for name in ("line", "para"):
-        side = index.select("image_id", F.col("t").alias(name), F.col("n").alias(f"{name}_n"))
-        d = d.join(side, ["image_id", name], "left")
+    d = _numbered(words)
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     rows = d.select("image_id", order(2, "word_idx").alias("ord"), F.concat_ws(
         " ", F.lit("word"), numbers("box"), shown("line_n"), shown("para_n"), escaped(F.col("text"))
