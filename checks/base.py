@@ -25,14 +25,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Tables of long texts: work on a row outweighs moving it.
-TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+# Tables whose rows take more work than moving them: long texts, and what files and citations are made of.
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "customer": "c_custkey"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *exprs: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *exprs: str, key: str | None = None) -> DataFrame:
+    """A table over all cores if its rows take long: always those of SPREAD, another one by the ``key`` given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXTS:
-        df = spread(df, TEXTS[name])
+    if key or name in SPREAD:
+        df = spread(df, key or SPREAD[name])
     return df.selectExpr(*exprs) if exprs else df
 
 
@@ -77,7 +78,8 @@ ORD = "(l_orderkey * 7 + l_linenumber) % 31102 + 1"
 def verse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versewright.operators import versify
 
-    d = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", f"cast({ORD} as int) as verse_ord", "'kjv' as vers_name")
+    d = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", f"cast({ORD} as int) as verse_ord", "'kjv' as vers_name",
+              key="l_orderkey")
     return versify.from_ordinals(d, chapters("kjv"))
 
 
@@ -92,7 +94,7 @@ def verse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", f"cast({ORD} as int) as from_ord",
-        f"cast({TO_ORD} as int) as to_ord", "'kjv' as vers_name",
+        f"cast({TO_ORD} as int) as to_ord", "'kjv' as vers_name", key="l_orderkey",
     )
     kjv = chapters("kjv")
     for side in ("from", "to"):

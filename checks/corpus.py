@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from versewright import fixed
 from versewright.functions import text as tx
+from versewright.operators import extract
 from versewright.session import shared_folder
 from versewright.sources import archives, markup, metadata
 
@@ -133,7 +134,9 @@ def metadata_settings(spark, sf_dir):
     d = table(spark, sf_dir, "customer", "c_custkey", """'<ScriptureText><Language>A &amp; B</Language><Naming><Name>no</Name></Naming><Name> ' || c_mktsegment || ' </Name>' ||
       case when c_custkey % 2 = 0 then '<Copyright>(c)</Copyright>' else '' end || '<FullName>Bible of ' || c_name ||
       case when c_custkey % 5 = 0 then '' else '</FullName></ScriptureText>' end as text""")
-    return d.select("c_custkey", metadata.paratext(F.col("text")).alias("i")).where("i is not null").select("c_custkey", "i.*")
+    # Read once, not again below the filter on it.
+    d = extract.computed_once(d, "i", metadata.paratext(F.col("text"))).where("i is not null")
+    return d.select("c_custkey", "i.*")
 
 
 @query("metadata_bundle", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Lokal ' ELSE '' END || c_name AS name, c_mktsegment AS abbreviation,

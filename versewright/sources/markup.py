@@ -132,7 +132,7 @@ def _front_only(flat: Column) -> Column:
 def well_formed(text: Column) -> Column:
     """Whether a text is well-formed XML; a malformed one parses to nothing instead of failing the job."""
     parsed = F.from_xml(text, "__none STRING, __bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    return F.coalesce(parsed["__bad"].isNull() & parsed.isNotNull(), F.lit(False))
+    return F.coalesce(tx.let(parsed, lambda p: p["__bad"].isNull() & p.isNotNull()), F.lit(False))
 
 
 def documents(entries: DataFrame) -> DataFrame:
