@@ -88,3 +88,9 @@ def test_ties_go_to_the_first_listed_default(spark, chapters):
     assert found == {"a": "kjv", "b": "kjv", "c": "kjv"}
     found = {r.scripture: r.closest for r in versify.closest_default(ends, chapters).collect()}
     assert found == {"a": fixed.VERSIFICATIONS[0], "b": "kjv", "c": fixed.VERSIFICATIONS[0]}
+
+
+def test_a_window_searches_no_chapter_for_each_verse(facts):
+    plan = versify.context_window(facts, packaged())._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("\n", plan.index("Generate"))]
+    assert "aggregate(" not in above

@@ -209,10 +209,21 @@ def context_window(df: DataFrame, chapters: Chapters, verses: int = 10) -> DataF
     d = _with_total(to_ordinals(df, chapters).where("verse_ord is not null"), chapters, "__total")
     first = F.greatest(F.col("verse_ord") - verses, F.lit(1))
     last = F.least(F.col("verse_ord") + verses, F.col("__total"))
-    d = d.withColumns({"__first": first, "focus_row": F.col("verse_ord") - first})
-    d = d.withColumn("__ord", F.explode(F.sequence(F.col("__first"), last)))
-    d = d.withColumn("row", F.col("__ord") - F.col("__first"))
+    d = d.withColumns({"__first": first, "__last": last, "focus_row": F.col("verse_ord") - first})
     kept = [*df.columns, "focus_row", "row"]
+    if isinstance(chapters, Packed):
+        # The chapters of both ends are searched once a window, and those between are counted; a verse costs no search.
+        vers = F.col("vers_name")
+        place = lambda name: chapters.place_of_ordinal(vers, F.col(name))
+        d = d.withColumn("__place", F.explode(F.sequence(place("__first"), place("__last"))))
+        at = F.col("__place")
+        d = d.withColumns({"__start": chapters.start_ord(at), "__end": chapters.start_ord(at) + chapters.last_verse(at),
+                           "__book": chapters.book_ord(at), "__chapter": chapters.chapter(vers, at)})
+        within = F.sequence(F.greatest(F.col("__first"), F.col("__start") + 1), F.least(F.col("__last"), F.col("__end")))
+        d = d.withColumn("__ord", F.explode(within)).withColumn("row", F.col("__ord") - F.col("__first"))
+        return d.select(*kept, refs.ref("__book", "__chapter", F.col("__ord") - F.col("__start")).alias("context"))
+    d = d.withColumn("__ord", F.explode(F.sequence(F.col("__first"), F.col("__last"))))
+    d = d.withColumn("row", F.col("__ord") - F.col("__first"))
     d = d.select(F.struct(*kept).alias("__row"), "vers_name", "__ord")
     d = from_ordinals(d, chapters, "__ord").withColumn("context", refs.ref("book_ord", "chapter", "verse"))
     return d.select("__row.*", "context")
