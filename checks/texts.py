@@ -125,7 +125,7 @@ def chapter_ranges(spark, sf_dir):
     text = F.concat(_named("de", "book_ord"), F.lit(" "), F.col("chapter"), F.lit("-"), F.col("chapter") + 1,
                     F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(verse), F.lit(" lesen"))
     d = d.select("l_orderkey", "l_linenumber", text.alias("text"))
-    found = extract.find_citations(d, kjv, "text", "de", "kjv")
+    found = extract.find_citations(d, kjv, "text", "de", "kjv", recurring=True)
     return flat(found.select("l_orderkey", "l_linenumber", F.explode("ranges").alias("r")), "r")
 
 
@@ -147,7 +147,7 @@ def verse_level_ranges(spark, sf_dir):
     crossing = F.concat(v, F.lit("."), v + 1, F.lit("-"), F.col("chapter") + 1, F.lit(",1"))
     within = F.concat(v, F.lit("a."), v + 1, F.lit("-"), v + 2, F.lit("b"))
     text = F.concat(_named("de", "book_ord"), F.lit(" "), F.col("chapter"), F.lit(","), F.when(F.col("crossing"), crossing).otherwise(within), F.lit(" lesen"))
-    found = extract.find_citations(d.select("l_orderkey", "l_linenumber", text.alias("text")), kjv, "text", "de", "kjv")
+    found = extract.find_citations(d.select("l_orderkey", "l_linenumber", text.alias("text")), kjv, "text", "de", "kjv", recurring=True)
     return flat(found.select("l_orderkey", "l_linenumber", F.explode("ranges").alias("r")), "r")
 
 

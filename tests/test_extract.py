@@ -167,3 +167,20 @@ def test_masks_by_brute_force(spark):
         wanted.append(filled(mask, texts))
         columns.append(masks.render(mask, values).alias(f"m{len(columns)}"))
     assert list(spark.range(1).select(*columns).first()) == wanted
+
+
+def test_recurring_texts_are_read_once(spark, chapters):
+    """Equal texts of equal language and versification are read once, with the rows that reading each gives."""
+    texts = ["Joh 3,16", "Joh 3,16", "Mk 1,2.4-5 und Lk 2", "nichts", "", None, "Jn 3:16", "Joh 99,1"]
+    rows = [(i, t, lang, vers) for i, (t, lang, vers) in enumerate((t, lang, v) for t in texts for lang in ("de", "en", None) for v in ("esv", "kjv", None))]
+    d = spark.createDataFrame(rows, "id int, text string, l string, v string")
+    for lang, vers in ((F.col("l"), F.col("v")), ("de", "esv")):
+        for unread in (False, True):
+            a = extract.find_citations(d, chapters, "text", lang, vers, unread)
+            b = extract.find_citations(d, chapters, "text", lang, vers, unread, recurring=True)
+            assert sorted(a.columns) == sorted(b.columns)
+            assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
+            assert a.count() > 0
+    many = spark.range(5000).select("id", F.lit("Joh 3,16").alias("text"))
+    plan = extract.find_citations(many, chapters, "text", "de", "esv", recurring=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.index("inline_outer" if "inline_outer" in plan else "inline")  # the texts are distinct below the reading

@@ -235,15 +235,28 @@ def with_ranges(df: DataFrame, chapters: Chapters, keep_unread: bool = False) ->
 
 def find_citations(
     df: DataFrame, chapters: Chapters, text: str = "text", lang: Column | str = "de", vers_name: Column | str = "esv",
-    keep_unread: bool = False,
+    keep_unread: bool = False, recurring: bool = False,
 ) -> DataFrame:
     """One row per citation of each text: ``begin, end, book_ord, passage, ranges``; the text column is dropped.
 
-    ``keep_unread`` keeps book names whose numbers give no range.
+    ``keep_unread`` keeps book names whose numbers give no range. ``recurring`` is for short texts, such as single
+    citations, of which many are equal: these are read once and the rows joined with what was found, so texts are moved.
     """
     vers = F.lit(vers_name) if isinstance(vers_name, str) else vers_name
-    found = by_language(lang, lambda x: matches(F.col(text), x))
     kept = [c for c in df.columns if c not in (text, "vers_name")]
+    if recurring:
+        read = F.lit(lang) if isinstance(lang, str) else F.when(lang == "de", "de").otherwise("en")
+        keys = ["__text", "__lang", "vers_name"]
+        rows = df.select(*kept, F.col(text).alias("__text"), read.alias("__lang"), vers.alias("vers_name"))
+        # The number of partitions is given: few bytes are much work here.
+        once = rows.select(*keys).distinct()
+        spark = df.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        once = once.repartition(tasks, *keys).withColumn("__read", F.col("__text"))
+        by = lang if isinstance(lang, str) else F.col("__lang")
+        found = find_citations(once, chapters, "__read", by, F.col("vers_name"), keep_unread)
+        return attach(rows, found, keys).drop("__text", "__lang")
+    found = by_language(lang, lambda x: matches(F.col(text), x))
     # Outer, so that no filter on the number of matches runs the pattern a second time.
     d = df.select(*kept, vers.alias("vers_name"), F.inline_outer(found)).where("book_ord is not null")
     return with_ranges(d, chapters, keep_unread)
