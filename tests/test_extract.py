@@ -184,3 +184,14 @@ def test_recurring_texts_are_read_once(spark, chapters):
     many = spark.range(5000).select("id", F.lit("Joh 3,16").alias("text"))
     plan = extract.find_citations(many, chapters, "text", "de", "esv", recurring=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") > plan.index("inline_outer" if "inline_outer" in plan else "inline")  # the texts are distinct below the reading
+
+
+def test_normalized_texts_by_the_patterns(spark):
+    """Every character, alone and between others, as the two patterns give it; ASCII needs no pattern."""
+    chars = [chr(c) for c in (*range(1, 0x300), *range(0x1680, 0x1690), *range(0x180A, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFE58, 0xFE63, 0xFEFF, 0xFF0D, 0x1F600)]
+    d = spark.createDataFrame([(t,) for c in chars for t in (c, f"a{c}{c} .*1\n")] + [("",), (None,), ("".join(chars),)], "t string")
+    for lang in ("de", "en"):
+        by_patterns = F.regexp_replace(F.regexp_replace("t", f"[{tx.DROPPED}]+", ""), f"[^{fixed.LETTERS[lang]}0-9]", "*")
+        assert d.where(~tx.normalized(F.col("t"), lang).eqNullSafe(by_patterns)).count() == 0
+    plan = d.select(tx.normalized(F.col("t"), "en").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "translate(" in plan

@@ -39,9 +39,16 @@ def category_counts(text: Column, lang: str) -> Column:
 
 
 def normalized(text: Column, lang: str) -> Column:
-    """The text book names are searched in: white space, lines and full stops dropped, other characters as ``*``."""
-    dropped = F.regexp_replace(text, f"[{DROPPED}]+", "")
-    return F.regexp_replace(dropped, f"[^{fixed.LETTERS[lang]}0-9]", "*")
+    """The text book names are searched in: white space, lines and full stops dropped, other characters as ``*``.
+
+    One translation drops the characters and stars those of ASCII, which are nearly all; a pattern, which takes far longer
+    a match, is left with the others, and texts of ASCII alone don't meet it.
+    """
+    dropped = "".join(map(chr, sorted({*fixed.WHITESPACE_CODES, *fixed.LINE_CODES, ord(".")})))
+    starred = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "*" and c not in dropped)
+    translated = F.translate(text, starred + dropped, "*" * len(starred))
+    others = lambda t: F.regexp_replace(t, f"[^{fixed.LETTERS[lang]}0-9*]", "*")
+    return let(translated, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), others(t)).otherwise(t))
 
 
 def trimmed(text: Column) -> Column:
