@@ -97,3 +97,17 @@ def test_islands_cross_buckets(spark):
         run = 1 if last is None or last[0] != key else run + (last[1] != v)
         want[key, pos], last = run, (key, v)
     assert got == want
+
+
+def test_a_derived_versification_reads_the_verses_once(spark, chapters):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    verses = spark.createDataFrame([("s", 1, 1, 31), ("s", 1, 1, 30), ("t", 40, 1, 25)], "scripture string, book_ord int, chapter int, verse int")
+    verses = verses.mapInPandas(counted, verses.schema)
+    assert versify.derive(verses, dims.books(spark), chapters).count() > 0
+    assert read.value == 3

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dims, fixed
 from ..functions import refs
+from ..session import written
 from .packed import Packed
 from .skew import attach
 
@@ -326,8 +327,11 @@ def fill_lacking(ends: DataFrame, books: DataFrame, defaults: DataFrame) -> Data
 
 
 def derive(verses: DataFrame, books: DataFrame, defaults: DataFrame) -> DataFrame:
-    """The complete versification of every scripture as a chapter table named after it."""
-    filled = fill_lacking(chapter_ends(verses), books, defaults)
+    """The complete versification of every scripture as a chapter table named after it.
+
+    The chapter ends, which are asked several times, are written, so that the verses are read once.
+    """
+    filled = fill_lacking(written(chapter_ends(verses), "ends"), books, defaults)
     return dims.with_ordinals(filled.withColumnRenamed("scripture", "vers_name"))
 
 
