@@ -195,3 +195,42 @@ def test_normalized_texts_by_the_patterns(spark):
         assert d.where(~tx.normalized(F.col("t"), lang).eqNullSafe(by_patterns)).count() == 0
     plan = d.select(tx.normalized(F.col("t"), "en").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1 and "translate(" in plan
+
+
+@pytest.mark.parametrize("lang", ["de", "en"])
+def test_patterns_stay_short(lang):
+    # Spark compares the pattern with the one before for every row: these had 700,000 characters.
+    assert len(tx.citation_pattern(lang)) < 40_000
+    assert len(tx.numbered_name(lang)) < 5_000
+
+
+@pytest.mark.parametrize("number, read", [
+    ("4294967295", "4294967295"), ("4294967296", None), ("4294967300", None), ("5000000000", None), ("12345678901", None),
+    ("0004294967295", "0004294967295"), ("00042949672950", None), ("999999999", "999999999"), ("34", "34"),
+])
+def test_numbers_up_to_the_limit(number, read):
+    pattern = re.compile(tx.number_pattern("en"))
+    found = pattern.match(number)
+    assert (found and found.group()) == read
+
+
+def test_a_digit_of_the_next_name_is_no_number():
+    assert re.match(tx.number_pattern("en"), "31 Samuel 2").group() == "3"
+    # The last digit begins a name, so what is left is small enough.
+    assert re.match(tx.number_pattern("en"), "42949672941 Samuel").group() == "4294967294"
+
+
+def test_single_verses_are_read_as_by_the_fold(spark, chapters, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, rnd.randint(1, 66), rnd.choice(["", " ", "  "]) + str(rnd.choice([rnd.randint(1, 4), rnd.randint(0, 152)])) + rnd.choice([",", ":", " . ", ";", "+ ", "&"])
+             + str(rnd.choice([*[rnd.randint(1, 20)] * 4, 0, rnd.randint(1, 180), 2 ** 40, 10 ** 25])) + rnd.choice(["", "", " "])) for i in range(2000)]
+    d = spark.createDataFrame(rows, "i int, book_ord int, passage string").withColumn("vers_name", F.lit("esv"))
+
+    def read():
+        found = extract.with_ranges(d, chapters, keep_unread=True)
+        return {r.i: plain(r.ranges) for r in found.select("i", "ranges").collect()}
+
+    short = read()
+    monkeypatch.setattr(extract, "SINGLE", "^never$")
+    assert short == read()
+    assert sum(map(bool, short.values())) > 50

@@ -242,6 +242,14 @@ def class_of(codes: list[int]) -> str:
     return "".join(f"\\x{{{c:X}}}" for c in codes)
 
 
+def ranges_of(codes: list[int]) -> str:
+    """:func:`class_of` in few characters: neighbours as a range, characters beyond Latin-1 as they are."""
+    shown = lambda c: f"\\x{c:02X}" if c < 256 else chr(c)
+    starts = [c for c in sorted({*codes}) if c - 1 not in codes]
+    ends = [c for c in sorted({*codes}) if c + 1 not in codes]
+    return "".join(shown(a) if a == b else f"{shown(a)}-{shown(b)}" for a, b in zip(starts, ends))
+
+
 @lru_cache(maxsize=None)
 def names_of(lang: str) -> list[tuple[int, str]]:
     """``(book_ord, name)`` in listed order, books counted from 1."""

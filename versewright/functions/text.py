@@ -12,6 +12,10 @@ from .. import fixed
 WS = fixed.class_of(fixed.WHITESPACE_CODES)
 LINE = fixed.class_of(fixed.LINE_CODES)
 DROPPED = WS + LINE + "."
+# The same classes as ranges, for long patterns.
+_WS = fixed.ranges_of(fixed.WHITESPACE_CODES)
+_LINE = fixed.ranges_of(fixed.LINE_CODES)
+_DROPPED = fixed.ranges_of([*fixed.WHITESPACE_CODES, *fixed.LINE_CODES, ord(".")])
 
 
 def let(value: Column, body) -> Column:
@@ -149,24 +153,29 @@ def _trie(names: list[str]) -> dict:
     return root
 
 
-def _alternatives(node: dict, accept: str) -> str:
+def _alternatives(node: dict, dropped: str) -> str:
     """A prefix tree as a pattern; dropped characters may stand between two letters, the shorter name goes first."""
-    options = [accept] if "" in node else []
-    longer = [_spellings(letter) + _alternatives(child, accept) for letter, child in node.items() if letter]
+    options = [""] if "" in node else []
+    longer = [_spellings(letter) + _alternatives(child, dropped) for letter, child in node.items() if letter]
     if longer:
         either = longer[0] if len(longer) == 1 else f"(?:{'|'.join(longer)})"
-        options.append(f"[{DROPPED}]*+{either}")
+        options.append(f"[{dropped}]*+{either}")
     return options[0] if len(options) == 1 else f"(?:{'|'.join(options)})"
 
 
-def _names(names: list[str], accept: str) -> str:
-    return f"(?:{'|'.join(_spellings(c) + _alternatives(child, accept) for c, child in _trie(names).items())})"
+def _names(names: list[str], dropped: str) -> str:
+    return f"(?:{'|'.join(_spellings(c) + _alternatives(child, dropped) for c, child in _trie(names).items())})"
 
 
 @lru_cache(maxsize=None)
-def name_pattern(lang: str, accept: str = "") -> str:
+def name_pattern(lang: str, dropped: str = DROPPED) -> str:
     names = [n for _, n in fixed.names_of(lang)]
-    return _names(names, accept)
+    return _names(names, dropped)
+
+
+def spelled_name(lang: str) -> str:
+    """:func:`name_pattern` in few characters."""
+    return name_pattern(lang, _DROPPED)
 
 
 @lru_cache(maxsize=None)
@@ -176,9 +185,13 @@ def first_letters(lang: str) -> str:
 
 @lru_cache(maxsize=None)
 def numbered_name(lang: str) -> str:
-    """A name starting with a digit, which takes its digit back from the passage before it."""
+    """Where a name starting with a digit begins, which takes its digit back from the passage before it.
+
+    For looking ahead only: of two names of which one begins with the other the shorter says it all.
+    """
     names = [n for _, n in fixed.names_of(lang) if n[0].isdigit()]
-    return f"(?=[0-9]){_names(names, '')}"
+    shortest = [n for n in names if not any(n != m and n.startswith(m) for m in names)]
+    return f"(?=[0-9]){_names(shortest, _DROPPED)}"
 
 
 def _digit(lang: str) -> str:
@@ -187,23 +200,27 @@ def _digit(lang: str) -> str:
 
 @lru_cache(maxsize=None)
 def number_pattern(lang: str) -> str:
-    """A number up to uint32."""
+    """A number up to uint32.
+
+    A digit that begins a name has a letter behind it, so only the last digit of a larger number can be one.
+    """
     d = _digit(lang)
     limit = str(fixed.MAX_UINT32)
-    larger = [f"[1-9]{d}{{10}}"]
+    larger, whole = ["[1-9][0-9]{9}"], []
     for i, c in enumerate(limit):
         if c != "9":
             rest = len(limit) - i - 1
-            larger.append(limit[:i] + f"[{int(c) + 1}-9]" + (f"{d}{{{rest}}}" if rest else ""))
-    return f"(?!0*+(?:{'|'.join(larger)})){d}++"
+            above = limit[:i] + f"[{int(c) + 1}-9]"
+            (larger if rest else whole).append(above + (f"[0-9]{{{rest - 1}}}" if rest > 1 else ""))
+    return f"(?!0*+(?:{'|'.join([f'(?:{"|".join(larger)}){d}', *whole])})){d}++"
 
 
 @lru_cache(maxsize=None)
 def passage_pattern(lang: str) -> str:
     """The text of a passage from its first separator or number to its last number."""
-    gap = f"(?>ff\\.|f\\.|[{fixed.POSTFIX_LETTERS}]|[{WS}])"
-    sep = f"[,;.:&+{LINE}]"
-    bridging = f"[,;:&+{LINE}]"
+    gap = f"(?>ff\\.|f\\.|[{fixed.POSTFIX_LETTERS}]|[{_WS}])"
+    sep = f"[,;.:&+{_LINE}]"
+    bridging = f"[,;:&+{_LINE}]"
     n = number_pattern(lang)
     leading = f"(?:{gap}*+{sep})*+"
     return f"{leading}{n}(?:{gap}*+(?:\\.{leading}|{bridging}{leading}{gap}*+){n})*+"
@@ -211,9 +228,13 @@ def passage_pattern(lang: str) -> str:
 
 @lru_cache(maxsize=None)
 def citation_pattern(lang: str) -> str:
-    """A book name followed by digits before the next word, with its passage if it has one."""
+    """A book name followed by digits before the next word, with its passage if it has one.
+
+    It is kept short: Spark compares a pattern with the one before for every row, and each task reads it anew.
+    """
     letters = fixed.LETTERS[lang]
     # One class and possessive: a loop without backtracking, however long the run before the digit is.
     digits_follow = f"(?=[[^{letters}0-9]{fixed.POSTFIX_LETTERS}]*+[0-9])"
-    name = name_pattern(lang, digits_follow)
-    return f"(?=[{first_letters(lang)}])(?>{name})(?:[{DROPPED}]*+{passage_pattern(lang)})?"
+    # Behind all names once: where it fails, the next longer name is tried.
+    name = spelled_name(lang) + digits_follow
+    return f"(?=[{first_letters(lang)}])(?>{name})(?:[{_DROPPED}]*+{passage_pattern(lang)})?"

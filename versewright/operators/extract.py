@@ -75,7 +75,7 @@ def matches(text: Column, lang: str) -> Column:
 
 def _named(match: Column, lang: str) -> Column:
     """A match with its book and the text behind the name."""
-    spelled = F.regexp_extract(match["text"], f"^{tx.name_pattern(lang, _behind_name(lang))}", 0)
+    spelled = F.regexp_extract(match["text"], f"^{tx.spelled_name(lang)}{_behind_name(lang)}", 0)
     size = F.char_length(match["text"])
     return tx.let(spelled, lambda name: F.struct(
         match["begin"].alias("begin"),
@@ -101,7 +101,8 @@ def book_of_name(name: Column, lang: str) -> Column:
     """Book of a spelled name: dropped characters removed, misread characters folded, then one map lookup."""
     known = {_folded(n): b for b, n in fixed.names_of(lang)}
     table = F.expr("str_to_map('" + ",".join(f"{n}:{b}" for n, b in known.items()) + "')")
-    spelled = F.translate(F.regexp_replace(name, f"[{tx.DROPPED}]", ""), "0OIlmS", "oo11Ms")
+    dropped = "".join(map(chr, [*fixed.WHITESPACE_CODES, *fixed.LINE_CODES, ord(".")]))
+    spelled = F.translate(name, "0OIlmS" + dropped, "oo11Ms")
     return F.element_at(table, spelled).cast("int")
 
 
@@ -198,11 +199,26 @@ def interpretations(tmpl: Column, last_verses: Column, starts: Column) -> Column
     return F.filter(F.transform(tried, read), lambda x: x.isNotNull())
 
 
+#: A chapter, one separator and a verse, which most passages are: there is one way to read them.
+SINGLE = "^ *[0-9]+ *[,;.:&+] *[0-9]+ *$"
+
+
+def single_verse(passage: Column, last_verses: Column) -> Column:
+    """The one range of a passage of the form :data:`SINGLE` as ``ARRAY<STRUCT<fc, fv, tc, tv>>``, null if it is no verse."""
+    numbers = F.translate(passage, ",;.:&+ ", ":" * 6)
+    number = lambda n, i: F.substring_index(n, ":", i).try_cast("long")
+    both = tx.let(numbers, lambda n: F.struct(number(n, 1).alias("c"), number(n, -1).alias("v")))
+    last = lambda p: F.try_element_at(last_verses, p["c"].try_cast("int"))
+    return tx.let(both, lambda p: F.when((p["v"] >= 1) & (p["v"] <= last(p)), F.array(
+        F.struct(p["c"].alias("fc"), p["v"].alias("fv"), p["c"].alias("tc"), p["v"].alias("tv")))))
+
+
 def ranges_of(passage: Column, book_ord: Column, last_verses: Column, starts: Column) -> Column:
     """The ranges of a passage: of all readings the one covering fewest verses, sorted by begin; empty if none fits."""
     best = tx.let(template(passage), lambda t: F.array_min(interpretations(t, last_verses, starts)))
+    out = F.when(passage.rlike(SINGLE), single_verse(passage, last_verses)).otherwise(best["out"])
     bound = lambda q, c, v: refs.ref(book_ord, q[c], q[v])
-    found = F.sort_array(F.transform(best["out"], lambda q: refs.ref_range(bound(q, "fc", "fv"), bound(q, "tc", "tv"))))
+    found = F.sort_array(F.transform(out, lambda q: refs.ref_range(bound(q, "fc", "fv"), bound(q, "tc", "tv"))))
     return F.coalesce(F.when(passage.rlike("[0-9]"), found), F.array().cast(RANGES))
 
 
@@ -302,6 +318,6 @@ def parse_at(
 
 def name_occurrences(df: DataFrame, text: str = "text", lang: str = "de") -> DataFrame:
     """One row per occurrence of a book name, whether or not numbers follow: ``name, book_ord``."""
-    pattern = f"(?=[{tx.first_letters(lang)}])(?>{tx.name_pattern(lang)})"
+    pattern = f"(?=[{tx.first_letters(lang)}])(?>{tx.spelled_name(lang)})"
     d = df.withColumn("name", F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).drop(text)
     return d.withColumn("book_ord", book_of_name(F.col("name"), lang))
