@@ -50,3 +50,27 @@ def test_stored_verses_are_not_moved(spark, verses):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_contents_by_brute_force(spark):
+    rows = [("A", 1, c, v, text) for c, last in ((1, 31), (2, 25), (3, 24)) for v in range(1, last + 1)
+            for text in [["<p></p>", None, f"<p>t{c}.{v}</p>"][min(v % 7, 2)]] if (c, v) != (2, 20)]
+    rows += [("A", 1, 1, 500_000_000, "<p>beyond</p>")]
+    verses = spark.createDataFrame(rows, "scripture string, book_ord int, chapter int, verse int, markup string")
+    order = [(c, v) for c, last in ((1, 31), (2, 25), (3, 24)) for v in range(1, last + 1)]
+    pairs = [(order[i], order[j]) for i in range(0, 80, 3) for j in range(i, 80, 7)]
+    held = {(c, v): m for _, _, c, v, m in rows}
+    wanted = {}
+    for a, b in pairs:
+        covered = order[order.index(a):order.index(b) + 1]
+        filled = [(v, held[c, v][3:-4]) for c, v in covered if held.get((c, v)) not in (None, "<p></p>")]
+        whole = (" ".join(t for _, t in filled), " ".join(f"{v} {t}" for v, t in filled))
+        wanted[a, b] = whole if all(x in held for x in covered) else (None, None)
+    found = cite.contents(ranges(spark, *pairs), verses, packaged())
+    place = lambda r: (r.chapter, r.verse)
+    assert {(place(r.range["from"]), place(r.range["to"])): (r.content, r.content_numbered) for r in found.collect()} == wanted
+
+
+def test_verses_are_joined_before_they_move(spark, verses):
+    plan = cite.contents(ranges(spark, ((1, 2), (1, 4))), verses, packaged())._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan

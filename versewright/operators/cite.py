@@ -150,9 +150,9 @@ def stored_by_chapter(verses: DataFrame, buckets: int) -> DataFrame:
 def contents(ranges: DataFrame, verses: DataFrame, chapters: Chapters) -> DataFrame:
     """``content`` and ``content_numbered`` per distinct ``scripture, vers_name, range``; null if a verse is missing.
 
-    Equal requests are answered once.  Verses are gathered by chapter (176 at most), ranges are split by chapter and
-    take their slice, so a range costs one row per chapter, not per verse.  Only the chapters asked for are gathered, and of
-    a table stored by :func:`stored_by_chapter` they are gathered where they stand.
+    Equal requests are answered once.  Verses are gathered by chapter (176 at most) and stand at their number there, ranges are
+    split by chapter and cut their piece, which is joined before it moves; so a range costs one row per chapter, not per verse.
+    Only the chapters asked for are gathered, and of a table stored by :func:`stored_by_chapter` they are gathered where they stand.
     """
     keys = ["scripture", "vers_name", "range"]
     chapter = ["scripture", "book_ord", "chapter"]
@@ -161,19 +161,26 @@ def contents(ranges: DataFrame, verses: DataFrame, chapters: Chapters) -> DataFr
         *keys, F.col("part.from.book_ord").alias("book_ord"), F.col("part.from.chapter").alias("chapter"),
         F.col("part.from.verse").alias("first"), F.col("part.to.verse").alias("last"),
     )
-    asked = attach(verses.select(*VERSE, "markup"), parts.select(*chapter).distinct(), chapter, "left_semi")
-    texts = asked.select(*VERSE, tx.markup_to_plain(F.col("markup")).alias("plain")).groupBy(*chapter).agg(
-        F.array_sort(F.collect_list(F.struct("verse", "plain"))).alias("v"))
-    d = attach(parts, texts, ["scripture", "book_ord", "chapter"], "left")
-    d = d.withColumn("v", F.filter("v", lambda v: v["verse"].between(F.col("first"), F.col("last"))))
+    asked = attach(verses.select(*VERSE, "markup"), parts.groupBy(*chapter).agg(F.max("last").alias("most")), chapter)
+    asked = asked.where(F.col("verse").between(1, F.col("most")))
+    texts = asked.select(*VERSE, "most", tx.markup_to_plain(F.col("markup")).alias("plain")).groupBy(*chapter).agg(
+        F.array_sort(F.collect_list(F.struct("verse", "plain"))).alias("v"), F.max("most").alias("most"))
+    until = lambda i: F.size(F.filter("v", lambda v: v["verse"] <= i))
+    # A verse without text is null, which is left out where texts are joined.
+    shown = lambda numbered: F.transform(F.sequence(F.lit(1), "most"), lambda i: F.nullif(
+        joined_text(F.filter("v", lambda v: v["verse"] == i), numbered), F.lit("")))
+    texts = texts.select(*chapter, F.transform(F.sequence(F.lit(0), "most"), until).alias("held"), shown(False).alias("plain"), shown(True).alias("numbered"))
+    d = attach(parts, texts, chapter, "left")
+    size = F.col("last") - F.col("first") + 1
+    piece = lambda c: F.array_join(F.slice(c, F.col("first"), size), " ")
+    d = d.select(*keys, *chapter[1:], piece("plain").alias("plain"), piece("numbered").alias("numbered"), F.coalesce(
+        F.get("held", F.col("last")) - F.get("held", F.col("first") - 1) == size, F.lit(False)).alias("complete"))
+    # Gathered apart, so that the one nobody reads is never made.
+    in_order = lambda c: F.array_sort(F.collect_list(F.struct(*chapter[1:], F.col(c).alias("t"))))
     gathered = d.groupBy(*keys).agg(
-        F.bool_and(F.coalesce(F.size("v"), F.lit(-1)) == F.col("last") - F.col("first") + 1).alias("complete"),
-        F.array_sort(F.collect_list(F.struct("book_ord", "chapter", "v"))).alias("c"),
-    )
-    text = lambda numbered: F.when(
-        F.col("complete"), joined_text(F.flatten("c.v"), numbered)
-    )
-    return gathered.select(*keys, text(False).alias("content"), text(True).alias("content_numbered"))
+        F.bool_and("complete").alias("complete"), in_order("plain").alias("plain"), in_order("numbered").alias("numbered"))
+    text = lambda c: F.when(F.col("complete"), F.array_join(F.filter(F.col(c)["t"], lambda t: t != ""), " "))
+    return gathered.select(*keys, text("plain").alias("content"), text("numbered").alias("content_numbered"))
 
 
 def citations(
