@@ -94,3 +94,13 @@ def test_a_window_searches_no_chapter_for_each_verse(facts):
     plan = versify.context_window(facts, packaged())._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("\n", plan.index("Generate"))]
     assert "aggregate(" not in above
+
+
+def test_ordinals_by_windows(spark):
+    books = lambda lasts: [lasts] + [[1]] * 65
+    own = Packed({"a": books([1, 1, 40, 2, 3, 31, 33]), "b": books([5])})
+    asked = spark.range(-2, 300).selectExpr("id as verse_ord", "explode(array('a', 'b', 'none', null)) as vers_name")
+    found = versify.from_ordinals(asked, own)
+    same(found, versify.from_ordinals(asked, own.table(spark)))
+    # Looked up in the row without exploding a list of one.
+    assert "Generate" not in versify.from_ordinals(asked.localCheckpoint(), own)._jdf.queryExecution().optimizedPlan().toString()

@@ -1,11 +1,12 @@
 """Versifications as arrays in the plan, so that facts meet them in their own row and are never moved.
 
 All versifications of a :class:`Packed` stand behind each other, chapter by chapter. A chapter's place follows from where its
-book begins; last verses and verses before a chapter are read at its place; an ordinal finds its chapter by halving.
+book begins; last verses and verses before a chapter are read at its place; an ordinal finds its chapter in a window.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from itertools import accumulate, chain
 
@@ -18,6 +19,8 @@ from .. import fixed
 #: More versifications than this belong in a chapter table, which is joined.
 MOST = 16
 BOOKS = 66
+#: Ordinals of a window, as a power of two.
+WINDOW_BITS = 5
 
 
 def _array(numbers: Sequence[int]) -> Column:
@@ -40,6 +43,14 @@ class Packed:
         self._last = _array([n for x in lasts for n in x])
         self._start = _array([n for x in lasts for n in list(accumulate(x, initial=0))[:-1]])
         self._book = _array([b for books in tables.values() for b, chapters in enumerate(books, 1) for _ in chapters])
+        # Starts counted through all versifications, and for windows of ordinals the chapter that each begins in.
+        self._offsets = [0, *accumulate(map(sum, lasts))][:-1]
+        through = list(accumulate(chain.from_iterable(lasts), initial=0))
+        windows = range(0, through[-1], 1 << WINDOW_BITS)
+        begun = [bisect_right(through, w, hi=len(through) - 1) - 1 for w in windows]
+        ends = [bisect_left(through, w + (1 << WINDOW_BITS), hi=len(through) - 1) - 1 for w in windows]
+        self._through, self._begun = _array(through[:-1]), _array(begun)
+        self._most_begin = max((e - b for b, e in zip(begun, ends)), default=0)
         # Where each book's chapters begin; one more entry ends the last book.
         self._firsts = [[base, *accumulate(map(len, books), initial=base)][1:] for base, books in zip(self.bases, tables.values())]
 
@@ -100,12 +111,15 @@ class Packed:
         return F.when(index.between(1, size), self._base(vers) + index - 1).cast("int")
 
     def place_of_ordinal(self, vers: Column, ordinal: Column) -> Column:
-        """Place of the chapter that a verse ordinal is in: the last one that begins before it."""
-        size = self._of(vers, [F.lit(n) for n in self.sizes])
-        steps = _array([1 << k for k in reversed(range(max(self.sizes, default=1).bit_length()))])
-        ahead = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-            (at + step < size) & (F.get(self._start, self._base(vers) + at + step) < ordinal), at + step).otherwise(at))
-        return F.when(ordinal.between(1, self.total(vers)), self._base(vers) + ahead).cast("int")
+        """Place of the chapter that a verse ordinal is in: the last one that begins before it.
+
+        The ordinals of all versifications are counted through; a window of them knows the chapter that it begins in, and only
+        the few chapters that begin inside it are looked at.
+        """
+        at = self._of(vers, [F.lit(x) for x in self._offsets]) + ordinal
+        begun = F.get(self._begun, F.shiftright(at - 1, WINDOW_BITS).try_cast("int"))
+        later = [F.when(F.get(self._through, begun + k) < at, 1).otherwise(0) for k in range(1, self._most_begin + 1)]
+        return F.when(ordinal.between(1, self.total(vers)), sum(later, begun)).cast("int")
 
     def last_verse(self, place: Column) -> Column:
         return F.get(self._last, place)

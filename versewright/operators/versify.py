@@ -101,9 +101,8 @@ def from_ordinals(df: DataFrame, chapters: Chapters, name: str = "verse_ord") ->
     """Add ``book_ord, chapter, verse`` of a verse ordinal; rows with an ordinal out of range drop out."""
     if isinstance(chapters, Packed):
         vers = F.col("vers_name")
-        # Exploded, so that the place is searched once a row and not for each column made of it.
-        place = F.filter(F.array(chapters.place_of_ordinal(vers, F.col(name))), lambda p: p.isNotNull())
-        d = df.select("*", F.explode(place).alias("__place"))
+        place = chapters.place_of_ordinal(vers, F.col(name))
+        d = df.where(F.col(name).between(1, chapters.total(vers))).withColumn("__place", place)
         at = F.col("__place")
         return d.withColumns({
             "book_ord": chapters.book_ord(at), "chapter": chapters.chapter(vers, at),
