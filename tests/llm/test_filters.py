@@ -1,8 +1,11 @@
+import glob
 import hashlib
+import os
 import random
 from itertools import permutations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +101,15 @@ def test_odd_and_empty_tables(spark, odd, empty):
     assert {(r.part, r.filter_order, r.step): r.removed for r in found.collect()} == {k: v[1] for k, v in want.items()}
     assert filters.audit(empty, labels).count() == 0
     assert filters.audit(odd, labels.where("false")).where("good_lost > 0 or toxic_lost > 0").count() == 0
+
+
+def test_tables_of_shards_are_read_a_few_rows_at_a_time(spark):
+    text = F.expr("array_join(transform(sequence(1, 300000), i -> hex(hash(id, i))), ' ')")
+    docs = spark.range(16).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    old = set(glob.glob(f"{shared}/shards-*"))
+    assert filters.matrix(docs, sums=True).where("words = 300000").count() == 16
+    (made,) = set(glob.glob(f"{shared}/shards-*")) - old
+    groups = [pq.ParquetFile(f).metadata.row_group(k).num_rows for f in glob.glob(os.path.join(made, "*.parquet"))
+              for k in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) >= 4 and max(groups) <= 2, groups

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versewright.llm.common import values
-from versewright.session import written
+from versewright.session import LARGE_ROWS, written
 
 FILTERS = "ABCDE"
 #: A shard ends once its texts have so many bytes. It has one row for a document at least.
@@ -149,7 +149,7 @@ def matrix(docs: DataFrame, sums: bool = False) -> DataFrame:
         F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = written(rows.mapInArrow(_sharder(buckets), _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    shards = written(rows.mapInArrow(_sharder(buckets), _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards", **LARGE_ROWS)
     # One row a bucket, together as many numbers as the shard has words, which its bytes bound.
     lists = dictionary(shards, buckets).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "numbers"))).alias("lists"))
     whole = F.transform("lists", lambda x: F.transform(x["numbers"], lambda n: n.cast("long") * buckets + x["bucket"]))
