@@ -1,12 +1,15 @@
 """From OCR words and pointed-at positions to the references under them.
 
-``words``: ``image_id, word_idx, text, box, line STRUCT<text, box>?, para STRUCT<text, box>?`` in reading order.
+``words``: ``image_id, word_idx, text, box, line STRUCT<text, box>?, para STRUCT<text, box>?`` in reading order, or the same
+by lines: ``image_id, first_word, last_word, line, para, words ARRAY<STRUCT<word_idx, text, box>>``, a row for consecutive
+words of one line and paragraph, which spares the texts of lines in every word.
 ``searches``: ``image_id, search_id, x, y``, a ``search_id`` being unique over all images.
 
 Positions meet boxes through grids of cells, one for each size of boxes, so a position is compared with the boxes of its
 own cells only.  Lines and
 paragraphs of an image are islands found by bucketed windows (:mod:`.skew`), so one image may hold any share of the
-words.  What is gathered per search is the text around one position: a paragraph or three lines.
+words.  Boxes of lines are what moves; words only where a position is near (:func:`.skew.fetched`).  What is gathered per
+search is the text around one position: a paragraph or three lines.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from ..functions import rects
 from ..functions import text as tx
 from ..session import written
 from . import extract
-from .skew import attach, islands
+from .skew import attach, fetched, islands
 from .versify import Chapters
 
 CELL = 64
@@ -54,85 +57,154 @@ def boxes_at(searches: DataFrame, boxes: DataFrame, box: str = "box") -> DataFra
     return d.select(*searches.columns, *[F.col("__held")[c].alias(c) for c in kept])
 
 
+def by_lines(words: DataFrame) -> DataFrame:
+    """Rows of consecutive words of one line and paragraph: ``image_id, first_word, last_word, line, para, words``.
+
+    A line may be several rows; those without a line have so many words that none is large.
+    """
+    columns = ["image_id", "first_word", "last_word", "line", "para", "words"]
+    if "words" in words.columns:
+        return words.select(*columns)
+    same = {"__run": (F.struct("line", "para"), lambda prev, cur: ~prev.eqNullSafe(cur))}
+    d = islands(words.select("image_id", "word_idx", "text", "box", "line", "para"), ["image_id"], "word_idx", WIDTH, same)
+    d = d.groupBy("image_id", "__run", F.floor(F.col("word_idx") / WIDTH).alias("__b")).agg(
+        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"),
+        F.min_by("line", "word_idx").alias("line"), F.min_by("para", "word_idx").alias("para"),
+        F.array_sort(F.collect_list(F.struct("word_idx", "text", "box"))).alias("words"),
+    )
+    return written(d.select(*columns), "lines")
+
+
+#: Fields of words and of located words that move as arrays of numbers, which are small, instead of nested rows.
+FIELDS = {
+    "word_idx": lambda w: w["word_idx"], "text": lambda w: w["text"], "begin": lambda w: w["begin"], "n": lambda w: w["n"],
+    "x": lambda w: w["box"]["x"], "y": lambda w: w["box"]["y"], "w": lambda w: w["box"]["w"], "h": lambda w: w["box"]["h"],
+}
+SIDES = ("x", "y", "w", "h")
+
+
+def packed(items: Column, *names: str) -> Column:
+    """The named fields and the box of an array of words as a row of arrays; a missing box has no sides.
+
+    A side that fits stands in two bytes; ``wide`` has those of all words of an array in which one doesn't.
+    """
+    sides = lambda n, kind: F.transform(items, lambda w: FIELDS[n](w).try_cast(kind))
+    large = F.exists(items, lambda w: F.coalesce(F.greatest(*[F.abs(FIELDS[n](w).cast("long")) for n in SIDES]) > 32767, F.lit(False)))
+    return F.struct(
+        *[F.transform(items, FIELDS[n]).alias(n) for n in names], *[sides(n, "smallint").alias(n) for n in SIDES],
+        F.when(large, F.struct(*[sides(n, "int").alias(n) for n in SIDES])).alias("wide"))
+
+
+def packed_side(columns: Column, name: str, i: Column) -> Column:
+    return F.coalesce(F.get(columns[name], i).cast("int"), F.get(columns["wide"][name], i))
+
+
+def _unpacked(columns: Column, *names: str) -> Column:
+    def item(i):
+        box = F.struct(*[packed_side(columns, n, i).alias(n) for n in SIDES])
+        return F.struct(*[F.get(columns[n], i).alias(n) for n in names[:2]], box.alias("box"), *[F.get(columns[n], i).alias(n) for n in names[2:]])
+
+    return F.transform(columns[names[0]], lambda _, i: item(i))
+
+
+def _within(box: Column, outer: Column) -> Column:
+    return (box["x"] >= outer["x"]) & (box["y"] >= outer["y"]) & (box["x"] + box["w"] <= outer["x"] + outer["w"]) & (
+        box["y"] + box["h"] <= outer["y"] + outer["h"])
+
+
+def outlines(lines: DataFrame) -> DataFrame:
+    """``image_id, first_word, line, para, outside`` of lines: their boxes and those of words that stand out."""
+    boxed = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["box"].alias("box"))).alias(c)
+    outside = F.filter("words", lambda w: ~F.coalesce(_within(w["box"], F.col("line.box")), F.lit(False)))
+    return lines.select(
+        "image_id", "first_word", boxed("line"), boxed("para"), F.transform(outside, lambda w: w["box"]).alias("outside"))
+
+
+def _cursors(lines: DataFrame, outlined: DataFrame, searches: DataFrame) -> DataFrame:
+    """The cursor word of each search with the ``first_word`` of its row of ``lines`` and whether that has a paragraph."""
+    key = ["image_id", "search_id", "x", "y"]
+    of_line = F.when(F.col("line.box").isNotNull(), F.array("line.box")).otherwise(F.array().cast(f"array<{rects.BOX}>"))
+    boxes = outlined.select("image_id", "first_word", F.explode(F.concat(of_line, "outside")).alias("box"))
+    near = written(boxes_at(searches.select(*key), boxes).select(*key, "first_word").distinct(), "near")
+    key_ = ["image_id", "first_word"]
+    given = F.col("para").isNotNull().alias("has_para")
+    d = fetched(near, lines, key_, F.col("line.box").alias("line"), given, packed(F.col("words"), "word_idx").alias("words"))
+    held = lambda w, i: rects.contains({n: packed_side(F.col("words"), n, i) for n in SIDES}, F.col("x"), F.col("y"))
+    d = d.select(*key, "first_word", "line", "has_para", F.array_min(F.filter(
+        F.transform(F.col("words.word_idx"), lambda w, i: F.when(held(w, i), w)), lambda w: w.isNotNull())).alias("held"))
+    choice = lambda level, word: F.struct(
+        F.lit(level).alias("level"), word.alias("cursor_word"), F.col("first_word"), F.col("has_para"))
+    best = F.when(F.col("held").isNotNull(), choice(0, F.col("held"))).when(
+        rects.contains(F.col("line"), F.col("x"), F.col("y")), choice(1, F.col("first_word")))
+    d = d.groupBy(*key).agg(F.min(best).alias("best")).where("best is not null")
+    return d.select(*key, "best.cursor_word", "best.first_word", "best.has_para")
+
+
 def cursor_words(words: DataFrame, searches: DataFrame) -> DataFrame:
     """``search_id, word_idx``: the first word containing a position, else the first word whose line contains it."""
-    of_lines = words.where("line is not null").groupBy("image_id", F.col("line.box").alias("box")).agg(
-        F.min("word_idx").alias("word_idx")
-    )
-    boxes = words.select("image_id", "box", "word_idx", F.lit(0).alias("level")).unionByName(
-        of_lines.withColumn("level", F.lit(1))
-    )
-    return boxes_at(searches, boxes).groupBy("image_id", "search_id", "x", "y").agg(
-        F.min_by("word_idx", F.struct("level", "word_idx")).alias("cursor_word")
-    )
+    lines = by_lines(words)
+    return _cursors(lines, written(outlines(lines), "outlines"), searches).drop("first_word", "has_para")
 
 
-def with_islands(words: DataFrame) -> DataFrame:
+def with_islands(words: DataFrame, order: str = "word_idx", around: bool = False) -> DataFrame:
     """Add ``line_no`` (over the words with a line), ``line_run`` and ``para_run`` (over all words).
 
-    A run ends where the box changes or is missing, a line only where another line begins.
+    A run ends where the box changes or is missing, a line only where another line begins; with ``around`` there is
+    ``line_no_around`` too, which numbers words without a line inside a line.
     """
     changes = lambda prev, cur: ~prev.eqNullSafe(cur)
     line = F.col("line.box")
-    return islands(words, ["image_id"], "word_idx", WIDTH, {
+    return islands(words, ["image_id"], order, WIDTH, {
         "line_run": (line, changes), "para_run": (F.col("para.box"), changes),
         "line_no": (F.when(F.col("line").isNotNull(), F.struct(line.alias("box"))), changes),
-    }, skipping=("line_no",))
+    }, skipping=("line_no",), around=("line_no",) if around else ())
 
 
-def _spans(islands_: DataFrame, run: str) -> DataFrame:
-    return islands_.where(F.col(run).isNotNull()).groupBy("image_id", run).agg(
-        F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word")
-    )
+FOUND = "array<struct<word_idx:bigint,begin:int,box:struct<x:int,y:int,w:int,h:int>,n:int>>"
 
 
-def text_runs(words: DataFrame, runs: DataFrame, cursors: DataFrame) -> DataFrame:
-    """The text around each cursor word as runs: ``search_id, run_no, run_text, first_word, last_word, focus_*``.
+def _parts(lines: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``image_id, kind, number, rows, texts``: what ``wanted (image_id, kind, number)`` names, gathered and located once.
 
-    The paragraph if the engine reports one, else the line with its neighbours, else the word alone.  ``runs`` are the
-    islands of the words; the texts of lines and paragraphs are taken from the few words that need them.
+    Of kind 0 is a line with the words inside it, of 1 a paragraph, of 2 a row without either. ``rows`` has the ends and the
+    run of each row; ``texts`` the text of the line or the texts that rows give for the paragraph, with the words found.
     """
-    key = ["image_id", "search_id", "x", "y"]
-    here = words.select(
-        "image_id", F.col("word_idx").alias("cursor_word"), F.col("text").alias("word_text"),
-        F.col("para.text").alias("para_text"), F.col("para").isNotNull().alias("has_para"),
-        F.col("line").isNotNull().alias("has_line"),
-    )
-    d = attach(cursors, here, ["image_id", "cursor_word"])
-    d = attach(d, runs.withColumnRenamed("word_idx", "cursor_word"), ["image_id", "cursor_word"])
-    focus = _spans(runs, "line_run").withColumnsRenamed({"first_word": "focus_first", "last_word": "focus_last"})
-    d = attach(d, focus, ["image_id", "line_run"])
-    d = written(d.withColumns({
-        "focus_first": F.when(F.col("has_line"), F.col("focus_first")).otherwise(F.col("cursor_word")),
-        "focus_last": F.when(F.col("has_line"), F.col("focus_last")).otherwise(F.col("cursor_word")),
-    }), "cursors")
-    shown = lambda t: F.translate(t, "\n\r", "  ")
-    out = [*key, "run_no", "run_text", "first_word", "last_word", "focus_first", "focus_last"]
-    paragraphs = attach(d.where("has_para"), _spans(runs, "para_run"), ["image_id", "para_run"]).withColumns({
-        "run_no": F.lit(0).cast("long"), "run_text": shown(F.col("para_text")),
-    }).select(*out)
-    single = d.where("not has_para and not has_line").withColumns({
-        "run_no": F.lit(0).cast("long"), "run_text": shown(F.col("word_text")), "first_word": F.col("cursor_word"),
-        "last_word": F.col("cursor_word"),
-    }).select(*out)
-    near = d.where("not has_para and has_line").withColumn(
-        "line_no", F.explode(F.sequence(F.col("line_no") - 1, F.col("line_no") + 1))
-    )
-    ended = F.concat(F.regexp_replace("line_text", "[\\r\\n]+$", ""), F.lit(" "))
-    line_texts = words.where("line is not null").select(
-        "image_id", F.col("word_idx").alias("first_word"), F.col("line.text").alias("line_text")
-    )
-    around = attach(near, _spans(runs, "line_no"), ["image_id", "line_no"])
-    around = attach(around, line_texts, ["image_id", "first_word"]).withColumns({
-        "run_no": F.col("line_no"), "run_text": ended,
-    }).select(*out)
-    return paragraphs.unionByName(single).unionByName(around)
+    key = ["image_id", "kind", "number"]
+    part = lambda kind, number: F.struct(F.lit(kind).alias("kind"), F.col(number).cast("long").alias("number"))
+    parts = F.array(part(0, "line_no_around"), part(1, "para_run"), part(2, "first_word"))
+    runs = runs.select("image_id", "first_word", F.col("line_no").isNotNull().alias("has_line"), "line_run", F.inline(parts))
+    members = written(fetched(wanted, runs, key), "members")
+    d = fetched(members, lines, ["image_id", "first_word"], "last_word", F.col("line.text").alias("line_text"),
+                F.col("para.text").alias("para_text"), packed(F.col("words"), "word_idx", "text").alias("words"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c)).alias(c)
+    rows = F.array_sort(F.collect_list(F.struct(
+        "first_word", "last_word", "has_line", "line_run", of(0, "line_text"), of(1, "para_text"), "words")))
+    d = d.groupBy(*key).agg(rows.alias("rows"))
+    of_line = F.filter("rows", lambda r: r["has_line"])
+    d = d.withColumns({"__begin": F.get(of_line, F.lit(0))["first_word"], "__end": F.try_element_at(of_line, F.lit(-1))["last_word"]})
+    inside = F.filter("rows", lambda r: (F.col("kind") != 0) | r["first_word"].between(F.col("__begin"), F.col("__end")))
+    d = d.where((F.col("kind") != 0) | F.col("__begin").isNotNull()).withColumn("rows", inside)
+    ended = lambda t: F.concat(F.regexp_replace(t, "[\\r\\n]+$", ""), F.lit(" "))
+    shown = F.when(F.col("kind") == 0, F.array(ended(F.get("rows", F.lit(0))["line_text"]))).when(
+        F.col("kind") == 1, F.array_distinct(F.transform("rows", lambda r: _shown(r["para_text"]))))
+    d = d.withColumns({"__shown": shown, "__words": F.flatten(F.transform("rows", lambda r: _unpacked(r["words"], "word_idx", "text")))})
+    text = lambda t, w: F.struct(t.alias("text"), tx.let(located_words(w, t), lambda f: packed(f, "word_idx", "begin", "n")).alias("found"))
+    found = F.transform("__shown", lambda t: text(t, F.col("__words")))
+    alone = F.transform("__words", lambda w: tx.let(_shown(w["text"]), lambda t: text(t, F.array(w))))
+    at = lambda r: F.when(F.col("kind") == 1, F.array_position(F.col("__shown"), _shown(r["para_text"]))).otherwise(1)
+    ends = F.transform("rows", lambda r: F.struct(
+        r["first_word"].alias("first_word"), r["last_word"].alias("last_word"), r["line_run"].alias("line_run"),
+        at(r).cast("int").alias("text")))
+    return d.select(*key, ends.alias("rows"), F.when(F.col("kind") == 2, alone).otherwise(found).alias("texts"))
+
+
+def _shown(text: Column) -> Column:
+    return F.translate(text, "\n\r", "  ")
 
 
 def located_words(run_words: Column, run_text: Column) -> Column:
     """``ARRAY<STRUCT<word_idx, begin, box, n>>``: the words found in a run, each behind the one before it."""
-    found = "array<struct<word_idx:bigint,begin:int,box:struct<x:int,y:int,w:int,h:int>,n:int>>"
-    start = F.struct(F.lit(1).alias("from"), F.array().cast(found).alias("out"))
+    start = F.struct(F.lit(1).alias("from"), F.array().cast(FOUND).alias("out"))
 
     def step(s, w):
         n = F.char_length(w["text"])
@@ -151,48 +223,47 @@ def position_texts(words: DataFrame, searches: DataFrame) -> DataFrame:
     """Per search the text around its position, its located words and the cursor character.
 
     ``image_id, search_id, x, y, text, found ARRAY<STRUCT<word_idx, begin, box, n>>, idx``; searches that point
-    nowhere are left out.
+    nowhere are left out.  The text is the paragraph if the engine reports one, else the line with its neighbours, else the
+    word alone.
     """
-    boxes = words.select(
-        "image_id", "word_idx", F.struct("line.box").alias("line"), F.struct("para.box").alias("para"),
-        F.col("line").isNotNull().alias("l"), F.col("para").isNotNull().alias("p"),
-    )
-    slim = boxes.select(
-        "image_id", "word_idx", F.when(F.col("l"), F.col("line")).alias("line"), F.when(F.col("p"), F.col("para")).alias("para")
-    )
-    # The islands without the texts, read several times below.
-    runs = written(with_islands(slim).select("image_id", "word_idx", "line_run", "para_run", "line_no"), "islands")
-    runs = written(text_runs(words, runs, cursor_words(words, searches)), "runs")
     key = ["image_id", "search_id", "x", "y"]
-    # The words of a run by its ordinals, an equi-join; each run is gathered and located once, however many searches
-    # point at it.
-    run = ["image_id", "first_word", "last_word", "run_text"]
-    wanted = runs.select(*run).distinct().withColumn("word_idx", F.explode(F.sequence("first_word", "last_word")))
-    plain = words.select("image_id", F.col("word_idx"), F.col("text"), "box")
-    members = attach(wanted, plain, ["image_id", "word_idx"]).groupBy(*run).agg(
-        F.array_sort(F.collect_list(F.struct("word_idx", "text", "box"))).alias("w"),
-    )
-    located = members.select(*run, located_words(F.col("w"), F.col("run_text")).alias("found"))
-    placed = attach(runs, located, run).select(
-        *key, "focus_first", "focus_last", F.struct("run_no", "run_text", "found").alias("run"),
-    )
-    gathered = placed.groupBy(*key).agg(
-        F.first("focus_first").alias("focus_first"), F.first("focus_last").alias("focus_last"),
-        F.sort_array(F.collect_list("run")).alias("runs"),
-    )
-    start = F.struct(
-        F.lit("").alias("text"),
-        F.array().cast("array<struct<word_idx:bigint,begin:int,box:struct<x:int,y:int,w:int,h:int>,n:int>>").alias("found"),
-    )
+    lines = by_lines(words)
+    outlined = written(outlines(lines), "outlines")
+    cursors = written(_cursors(lines, outlined, searches), "cursors")
+    runs = with_islands(outlined.select("image_id", "first_word", "line", "para"), "first_word", around=True)
+    runs = written(runs.drop("line", "para"), "islands")
+    cursors = fetched(cursors, runs, ["image_id", "first_word"]).withColumn("has_line", F.col("line_no").isNotNull())
+    part = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"))
+    near = lambda step, when: F.when(F.col("has_line") & when, part(0, F.col("line_no") + step))
+    parts = F.array_compact(F.array(
+        near(-1, ~F.col("has_para")), near(0, F.lit(True)), near(1, ~F.col("has_para")),
+        F.when(F.col("has_para"), part(1, F.col("para_run"))),
+        F.when(~F.col("has_para") & ~F.col("has_line"), part(2, F.col("first_word")))))
+    cursors = written(cursors.select(*key, "cursor_word", "first_word", "line_run", "has_line", "has_para", F.inline(parts)), "cursors")
+    at = ["image_id", "kind", "number"]
+    d = attach(cursors, _parts(lines, runs, written(cursors.select(*at).distinct(), "parts")), at)
+    # The words of the cursor's line: of its run, or the word alone.
+    own = F.filter("rows", lambda r: (F.col("kind") == 0) & F.col("has_line") & (r["line_run"] == F.col("line_run")))
+    row = F.get(F.filter("rows", lambda r: r["first_word"] == F.col("first_word")), F.lit(0))
+    alone = F.filter("texts", lambda t: F.get(t["found"]["word_idx"], F.lit(0)) == F.col("cursor_word"))
+    text = F.when(F.col("kind") == 0, F.when(~F.col("has_para"), F.get("texts", F.lit(0)))).when(
+        F.col("kind") == 1, F.get("texts", row["text"] - 1)).otherwise(F.get(alone, F.lit(0)))
+    d = d.select(*key, "cursor_word", F.get(own, F.lit(0))["first_word"].alias("focus_first"),
+                 F.try_element_at(own, F.lit(-1))["last_word"].alias("focus_last"), F.when(text.isNotNull(), F.struct("number", text.alias("t"))).alias("run"))
+    d = d.groupBy(*key).agg(
+        F.coalesce(F.min("focus_first"), F.min("cursor_word")).alias("focus_first"),
+        F.coalesce(F.max("focus_last"), F.min("cursor_word")).alias("focus_last"), F.sort_array(F.collect_list("run")).alias("runs"),
+    ).where(F.size("runs") > 0)
+    start = F.struct(F.lit("").alias("text"), F.array().cast(FOUND).alias("found"))
 
     def join(s, r):
-        shifted = F.transform(r["found"], lambda f: F.struct(
+        shifted = F.transform(_unpacked(r["t"]["found"], "word_idx", "begin", "n"), lambda f: F.struct(
             f["word_idx"].alias("word_idx"), (f["begin"] + F.char_length(s["text"])).alias("begin"),
             f["box"].alias("box"), f["n"].alias("n"),
         ))
-        return F.struct(F.concat(s["text"], r["run_text"]).alias("text"), F.concat(s["found"], shifted).alias("found"))
+        return F.struct(F.concat(s["text"], r["t"]["text"]).alias("text"), F.concat(s["found"], shifted).alias("found"))
 
-    d = gathered.withColumn("t", F.aggregate("runs", start, join))
+    d = d.withColumn("t", F.aggregate("runs", start, join))
     d = d.select(*key, F.col("t.text").alias("text"), F.col("t.found").alias("found"), "focus_first", "focus_last")
     focus = F.filter("found", lambda f: f["word_idx"].between(F.col("focus_first"), F.col("focus_last")))
     distances = F.flatten(F.transform(focus, lambda f: F.transform(

@@ -23,16 +23,41 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(F.broadcast(right) if bounded else right, keys, how)
 
 
+#: Bits of a map of wanted keys: 16 MB, however many keys there are. With more than a bit a key it is worth less, never wrong.
+BITS = 1 << 27
+
+
+def likely(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose keys may stand in ``wanted``: all that do and a few others, for a join that follows.
+
+    A map of bits by the hash of the keys is broadcast, whose size is fixed, so that the other rows aren't shuffled.
+    """
+    number = lambda d: (F.pmod(F.xxhash64(*[F.col(k).cast(df.schema[k].dataType) for k in keys]), F.lit(BITS)) + 1).alias("__n")
+    bits = wanted.select(number(wanted)).groupBy(F.bitmap_bucket_number("__n").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__n")).alias("__bits"))
+    d = df.select("*", number(df)).withColumns({"__bucket": F.bitmap_bucket_number("__n"), "__at": F.bitmap_bit_position("__n")})
+    d = attach(d, bits, ["__bucket"], bounded=True)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return d.where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1).select(*df.columns)
+
+
+def fetched(wanted: DataFrame, df: DataFrame, keys: list[str], *columns: Column | str) -> DataFrame:
+    """Inner join of ``wanted``, a stored table, with ``columns`` (all by default) of the few rows of ``df`` that have its keys."""
+    rows = likely(df, keys, wanted)
+    return attach(wanted, rows.select(*keys, *columns) if columns else rows, keys)
+
+
 def islands(
     df: DataFrame, keys: list[str], order: str, width: int,
     specs: dict[str, tuple[Column, Callable[[Column, Column], Column]]], tiebreak: tuple[str, ...] = (),
-    skipping: tuple[str, ...] = (),
+    skipping: tuple[str, ...] = (), around: tuple[str, ...] = (),
 ) -> DataFrame:
     """Number runs of consecutive rows per ``keys`` in the order of a numeric column, counted from 1.
 
     ``specs`` maps an output column to a value and a test ``begins(previous, current)`` that tells where a run begins.
     A window group spans at most ``width`` of the order column; ``tiebreak`` orders rows equal in it. Columns named in
-    ``skipping`` pass over rows without a value, which get no number. All of them come from one shuffle of the rows.
+    ``skipping`` pass over rows without a value, which get no number; for those in ``around`` there is a column ``…_around``
+    too, which numbers a row without a value as the run it stands inside. All of them come from one shuffle of the rows.
     """
     at = F.struct(order, *tiebreak)
     d = df.withColumn("__b", F.floor(F.col(order) / F.lit(width)).cast("long"))
@@ -73,7 +98,7 @@ def islands(
     d = d.join(carried, [*keys, "__b"])
     return d.select(*df.columns, *[
         F.when(F.col(f"__v_{n}").isNotNull(), F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(n) for n in specs
-    ])
+    ], *[(F.col(f"__base_{n}") + F.col(f"__run_{n}")).alias(f"{n}_around") for n in around])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
