@@ -2,11 +2,13 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from versewright.operators import ocr, skew
+from versewright.sources import captures
 
 BOX = "struct<x:int,y:int,w:int,h:int>"
 TEXT = f"struct<text:string,box:{BOX}>"
@@ -121,6 +123,29 @@ def test_position_texts_by_lines(spark, tables):
     assert all(want[s] == (text, found) for s, (text, found, _) in got[0].items())
 
 
+def test_captures_by_lines_are_read_back(spark, tables):
+    rows, words, lines = tables
+    images = words.select("image_id").distinct().withColumns({"width": F.lit(10), "height": F.lit(20)})
+    layout = spark.createDataFrame([("i1", 0, (0, 0, 9, 9), None)], f"image_id string, line_idx int, line_box {BOX}, para_box {BOX}")
+    want, index = set(), {}
+    for image, _, t, box, line, para in rows:
+        index[image] = index.get(image, -1) + 1
+        want.add((image, index[image], t, box, line, para))
+    for given in (words, lines):
+        files = captures.files(images, given, layout)
+        parsed = captures.parsed(files)
+        both = lambda t: t and (t.text, tuple(t.box))
+        assert {(r.image_id, r.word_idx, r.text, tuple(r.box), both(r.line), both(r.para)) for r in captures.words(parsed).collect()} == want
+        assert [r.image_id for r in captures.layouts(parsed).collect()] == ["i1"]
+
+
+def test_words_of_captures_do_not_take_the_texts_along(spark):
+    files = spark.createDataFrame([("a", "image 1 1\ntext 0 0 9 9 x\nword 1 2 3 4 0 - x")], "image_id string, content string")
+    plan = captures.words(captures.parsed(files))._jdf.queryExecution().sparkPlan().toString()
+    (beside,) = re.findall(r"\), \[([^\]]*)\], false, \[word_idx", plan)
+    assert re.fullmatch(r"image_id#\d+", beside), beside
+
+
 def test_rows_that_may_be_wanted(spark):
     rows = spark.range(200_000).select((F.col("id") % 1000).cast("string").alias("a"), F.col("id").cast("int").alias("b"))
     wanted = rows.where("b % 997 = 0").select("a", F.col("b").cast("long").alias("b"))

@@ -6,11 +6,15 @@ array index without a join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rects
 from ..functions.text import let
+from ..operators.extract import computed_once
+from ..operators.ocr import SIDES, by_lines, packed, packed_side
 
 MARK = "\uFDD2"
 NUMBER, BOX = "-?\\d+", "-?\\d+ -?\\d+ -?\\d+ -?\\d+"
@@ -30,10 +34,13 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    text = F.replace(text, F.lit("\\\\"), F.lit(MARK))
-    for written, plain in (("\\n", "\n"), ("\\r", "\r")):
-        text = F.replace(text, F.lit(written), F.lit(plain))
-    return F.replace(F.regexp_replace(text, "\\\\(.)", "$1"), F.lit(MARK), F.lit("\\"))
+    def without(t):
+        d = F.replace(t, F.lit("\\\\"), F.lit(MARK))
+        for written, plain in (("\\n", "\n"), ("\\r", "\r")):
+            d = F.replace(d, F.lit(written), F.lit(plain))
+        return F.replace(F.regexp_replace(d, "\\\\(.)", "$1"), F.lit(MARK), F.lit("\\"))
+
+    return let(text, lambda t: F.when(t.contains("\\"), without(t)).otherwise(t))
 
 
 def _box(numbers: Column) -> Column:
@@ -48,13 +55,14 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """``image_id, width, height, texts, records`` of the complete files; a broken record rejects its file."""
-    lines = F.transform(F.split("content", "\n"), lambda r: F.regexp_replace(r, "\r$", ""))
-    d = files.select("image_id", lines.alias("lines"))
-    tag = lambda r: F.substring_index(r, " ", 1)
+    lines = let(F.split("content", "\n"), lambda rows: F.when(F.col("content").contains("\r"), F.transform(
+        rows, lambda r: F.regexp_replace(r, "\r$", ""))).otherwise(rows))
+    d = computed_once(files.select("image_id", "content"), "lines", lines)
+    tagged = lambda r, name: (r == name) | r.startswith(f"{name} ")
     broken = F.exists("lines", lambda r: F.coalesce(*[
-        F.when((tag(r) == name) & ~r.rlike(pattern), True) for name, pattern in RECORDS.items()
+        F.when(tagged(r, name) & ~r.rlike(pattern), True) for name, pattern in RECORDS.items()
     ], F.lit(False)))
-    of = lambda name: F.filter("lines", lambda r: tag(r) == name)
+    of = lambda name: F.filter("lines", lambda r: tagged(r, name))
     image = F.element_at(of("image"), -1)
     texts = F.transform(of("text"), lambda r: F.struct(
         unescaped(F.regexp_extract(r, RECORDS["text"], 2)).alias("text"),
@@ -70,13 +78,18 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def words(files: DataFrame) -> DataFrame:
     """OCR words ``image_id, word_idx, text, box, line, para`` of parsed files."""
-    d = files.select("image_id", "texts", F.posexplode("words").alias("word_idx", "r"))
-    part = lambda i: F.regexp_extract("r", RECORDS["word"], i)
-    at = lambda i: F.get(F.col("texts"), part(i).try_cast("int"))
-    return d.select(
-        "image_id", "word_idx", unescaped(part(4)).alias("text"), _box(part(1)).alias("box"), at(2).alias("line"),
-        at(3).alias("para"),
-    )
+    def word(r, i):
+        fields = F.split(r, " ", 8)
+        at = lambda f, k: F.get(F.col("texts"), F.get(f, F.lit(k)).try_cast("int"))
+        # The pattern leaves a character out that ends a line at the end.
+        ended = reduce(Column.__or__, [r.endswith(c) for c in "\r\u0085\u2028\u2029"])
+        text = lambda f: F.when(ended, F.regexp_extract(r, RECORDS["word"], 4)).otherwise(F.coalesce(F.get(f, F.lit(7)), F.lit("")))
+        return let(fields, lambda f: F.struct(
+            i.alias("word_idx"), unescaped(text(f)).alias("text"),
+            rects.rect(*[F.get(f, F.lit(k)) for k in range(1, 5)]).alias("box"), at(f, 5).alias("line"), at(f, 6).alias("para")))
+
+    # Made inside the row of the file: a row for each word must not take the texts of the file along.
+    return files.select("image_id", F.inline(F.transform("words", word)))
 
 
 def layouts(files: DataFrame) -> DataFrame:
@@ -110,30 +123,81 @@ def _numbered(words: DataFrame) -> DataFrame:
     return d.select("image_id", "word_idx", "w.text", "w.box", "line_n", "para_n")
 
 
+def _numbers(box: Column) -> Column:
+    return F.concat_ws(" ", *[box[k].cast("string") for k in SIDES])
+
+
+def _head() -> Column:
+    return F.concat_ws(" ", F.lit("image"), "width", "height")
+
+
+def _layout() -> Column:
+    para = F.when(F.col("para_box").isNull(), "- - - -").otherwise(_numbers(F.col("para_box")))
+    return F.concat_ws(" ", F.lit("layout"), _numbers(F.col("line_box")), para)
+
+
+def files(images: DataFrame, words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``image_id, content``: the file of each image, from words or from words by lines (see :mod:`..operators.ocr`).
+
+    All that is said of an image moves once and is gathered once, a line as one row; texts are numbered and records are
+    written inside the row of the image, which is as large as its file. The texts of words that are what blanks part in the
+    text of their line don't move.
+    """
+    text = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(
+        " ", F.lit("text"), _numbers(F.col(c)["box"]), escaped(F.col(c)["text"])))
+    lines = by_lines(words).select(
+        "image_id", "first_word", text("line").alias("value"), text("para").alias("para"), packed(F.col("words")).alias("words"),
+        F.transform("words", lambda w: F.coalesce(escaped(w["text"]), F.lit(""))).alias("texts"))
+    of_record = lambda value: F.slice(F.split(value, " "), 6, 1 << 30)
+    moved = F.when(~F.col("texts").eqNullSafe(of_record(F.col("value"))), F.col("texts"))
+    lines = lines.select("image_id", F.struct(
+        F.lit(1).alias("kind"), F.col("first_word").cast("long").alias("at"), "value", "para", moved.alias("texts"), "words").alias("r"))
+    kind = lines.schema["r"].dataType
+    alone = lambda n, at, value: F.struct(
+        F.lit(n).alias("kind"), at.cast("long").alias("at"), value.alias("value"), F.lit(None).cast("string").alias("para"),
+        F.lit(None).cast("array<string>").alias("texts"), F.lit(None).cast(kind["words"].dataType).alias("words")).alias("r")
+    d = lines.unionByName(images.select("image_id", alone(0, F.lit(0), _head()))).unionByName(
+        layouts.select("image_id", alone(2, F.col("line_idx"), _layout())))
+    d = d.groupBy("image_id").agg(F.collect_list("r").alias("r"))
+    d = computed_once(d, "r", F.array_sort("r"))
+    of = lambda n: F.filter("r", lambda r: r["kind"] == n)
+    values = lambda n: F.transform(of(n), lambda r: r["value"])
+    d = d.select("image_id", values(0).alias("head"), of(1).alias("lines"), values(2).alias("layout"))
+    used = F.flatten(F.transform("lines", lambda r: F.array(r["value"], r["para"])))
+    d = computed_once(d, "texts", F.array_distinct(F.array_compact(used)))
+    number = lambda t: F.coalesce((F.array_position(F.col("texts"), t) - 1).cast("string"), F.lit("-"))
+
+    def records_of(r):
+        numbers = F.concat_ws(" ", number(r["value"]), number(r["para"]))
+        word = lambda w, n, t, i: F.concat_ws(
+            " ", F.lit("word"), *[packed_side(w, k, i).cast("string") for k in SIDES], n, t)
+        texts = F.coalesce(r["texts"], of_record(r["value"]))
+        return let(numbers, lambda n: F.transform(texts, lambda t, i: word(r["words"], n, t, i)))
+
+    rows = F.flatten(F.transform("lines", records_of))
+    return d.select("image_id", F.array_join(F.concat("head", "texts", rows, "layout"), "\n").alias("content"))
+
+
 def records(images: DataFrame, words: DataFrame, layouts: DataFrame) -> DataFrame:
     """``image_id, ord, value``: the records of each image in the order of its file.
 
     Texts are numbered by their first use; an image is as large as a screen.
     """
-    numbers = lambda b: F.concat_ws(" ", *[F.col(f"{b}.{k}").cast("string") for k in ("x", "y", "w", "h")])
     used = words.select("image_id", "word_idx", F.posexplode(F.array("line", "para")).alias("k", "t")).where("t is not null")
     first = used.groupBy("image_id", "t").agg(F.min(F.struct("word_idx", "k")).alias("at"))
     w = Window.partitionBy("image_id").orderBy("at")
     index = first.select("image_id", "t", (F.row_number().over(w) - 1).alias("n"))
-    head = images.select("image_id", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")).alias("ord"),
-                         F.concat_ws(" ", F.lit("image"), "width", "height").alias("value"))
+    head = images.select("image_id", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")).alias("ord"), _head().alias("value"))
     order = lambda kind, n: F.struct(F.lit(kind).alias("kind"), F.col(n).cast("long").alias("n"))
     texts = index.select(
-        "image_id", order(1, "n").alias("ord"), F.concat_ws(" ", F.lit("text"), numbers("t.box"), escaped(F.col("t.text"))).alias("value")
+        "image_id", order(1, "n").alias("ord"), F.concat_ws(" ", F.lit("text"), _numbers(F.col("t.box")), escaped(F.col("t.text"))).alias("value")
     )
     d = _numbered(words)
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     rows = d.select("image_id", order(2, "word_idx").alias("ord"), F.concat_ws(
-        " ", F.lit("word"), numbers("box"), shown("line_n"), shown("para_n"), escaped(F.col("text"))
+        " ", F.lit("word"), _numbers(F.col("box")), shown("line_n"), shown("para_n"), escaped(F.col("text"))
     ).alias("value"))
-    para = F.when(F.col("para_box").isNull(), "- - - -").otherwise(numbers("para_box"))
-    layout = layouts.select("image_id", order(3, "line_idx").alias("ord"),
-                            F.concat_ws(" ", F.lit("layout"), numbers("line_box"), para).alias("value"))
+    layout = layouts.select("image_id", order(3, "line_idx").alias("ord"), _layout().alias("value"))
     return head.unionByName(texts).unionByName(rows).unionByName(layout)
 
 
