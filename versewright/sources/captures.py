@@ -80,7 +80,9 @@ def words(files: DataFrame) -> DataFrame:
     """OCR words ``image_id, word_idx, text, box, line, para`` of parsed files."""
     def word(r, i):
         fields = F.split(r, " ", 8)
-        at = lambda f, k: F.get(F.col("texts"), F.get(f, F.lit(k)).try_cast("int"))
+        # A hyphen isn't tried as a number: each such failure costs more than all else that is read of a word.
+        number = lambda v: F.when(v != "-", v.try_cast("int"))
+        at = lambda f, k: F.get(F.col("texts"), number(F.get(f, F.lit(k))))
         # The pattern leaves a character out that ends a line at the end.
         ended = reduce(Column.__or__, [r.endswith(c) for c in "\r\u0085\u2028\u2029"])
         text = lambda f: F.when(ended, F.regexp_extract(r, RECORDS["word"], 4)).otherwise(F.coalesce(F.get(f, F.lit(7)), F.lit("")))
